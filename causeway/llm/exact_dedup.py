@@ -61,9 +61,14 @@ def run_stream(spark: SparkSession, source: str, schema, checkpoint: str) -> Dat
 
     State: digest -> (n, keeper), where keeper is the largest (doc_id, locator).
     """
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, _PROVIDER)
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": _PROVIDER,
+        # no space reserved ahead: with many small stores that outgrows their contents
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         rows = spark.readStream.schema(schema).parquet(source)
         lowest = F.lit(-(2**63)).cast("long")  # a null identifier sorts below all
@@ -79,7 +84,8 @@ def run_stream(spark: SparkSession, source: str, schema, checkpoint: str) -> Dat
         if query.exception() is not None:
             raise query.exception()
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return (
         spark.read.format("statestore").load(checkpoint)
         .select(F.col("key.digest").alias("digest"), F.col("value.count").alias("n"), F.col("value.max").alias("keeper"))
