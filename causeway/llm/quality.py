@@ -34,6 +34,18 @@ THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
 
 
+#: Stand for a word that repeats the word one or two places before it.
+REPEATS = ("\x00same", "\x00again")
+
+
+def tokens(text: str | None) -> list[str]:
+    """White-space words, repetitions replaced by a token of their own (a word n-gram)."""
+    words = (text or "").split()
+    return [
+        w if w != p and w != q else REPEATS[w != p] for w, p, q in zip(words, ["", *words], ["", "", *words])
+    ]
+
+
 def train(rows: list[tuple[str, int]], seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Vectors (BUCKETS, DIM), layer (2, DIM) and bias (2,) from (text, label) rows."""
     rng = np.random.default_rng(seed)
@@ -42,7 +54,7 @@ def train(rows: list[tuple[str, int]], seed: int = 1) -> tuple[np.ndarray, np.nd
     cache: dict = {}
     data = []
     for text, label in rows:
-        at, times = document_features((text or "").split(), LO, HI, BUCKETS, cache)
+        at, times = document_features(tokens(text), LO, HI, BUCKETS, cache)
         data.append((at.astype(np.int32), times / max(1.0, float(times.sum())), label))
     steps, done = EPOCHS * len(data), 0
     for _ in range(EPOCHS):
@@ -90,7 +102,7 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
     table, bias = model.value
     words = WordScores(table[:, None], LO, HI)
     for batch in batches:
-        z = np.array([words.mean((t.as_py() or "").split())[0] + bias for t in batch.column("text")], np.float64)
+        z = np.array([words.mean(tokens(t.as_py()))[0] + bias for t in batch.column("text")], np.float64)
         p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "score"]
