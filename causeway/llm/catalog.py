@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, near_dedup
+from . import exact_dedup, langid, mixing, near_dedup, pii, quality, sentencepiece_codec, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,10 +21,18 @@ def _on_documents(f: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_substring_dedup": _on_documents(substring_dedup.op1_query),
+        "op2_mix_sources": _on_documents(mixing.op2_query),
         "op3_exact_dedup": _on_documents(exact_dedup.op3_query),
         "op10_minhash_near_dedup": _on_documents(near_dedup.near_dedup),
+        "op6_personal_data": _on_documents(pii.personal_data),
+        "op7_sentencepiece": _on_documents(sentencepiece_codec.op7_query),
+        "op8_quality": lambda spark, sf_dir: quality.op8_query(
+            _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+        ),
+        "op9_language": _on_documents(langid.op9_query),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op1_substring_dedup": substring_dedup.ORACLE_SQL, "op3_exact_dedup": exact_dedup.ORACLE_SQL}

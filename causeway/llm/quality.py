@@ -10,7 +10,7 @@ every task applies to its whole texts.
 
 Labels, lang, source and doc_id are no inputs of a score.
 
-Defined results: null, empty or blank texts get the score of the bias alone; a null
+Defined results: null, empty or blank texts get the score of the end token alone; a null
 ``doc_id`` is not held out and scored like others, but never trained on; labels that
 are null or other than 0 and 1, and labels of absent documents, are ignored; a document
 with several labels is an example for each; without usable labels every score is 0.5.
@@ -28,14 +28,16 @@ from pyspark.sql import functions as F
 
 from .subword import WordScores, document_features, fit_in_one_task, remainder, share
 
-BUCKETS, DIM, LO, HI = 1 << 17, 16, 2, 4
-TRAIN_ROWS, EPOCHS, RATE = 4_000, 6, 0.4
+BUCKETS, DIM, LO, HI = 1 << 17, 8, 2, 4
+TRAIN_ROWS, EPOCHS, RATE = 4_000, 16, 1.0
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
 
 
 #: Stand for a word that repeats the word one or two places before it.
 REPEATS = ("\x00same", "\x00again")
+#: Closes every document, so that a few words alone decide little and empty texts have features.
+END = ["\x00end"] * 4
 
 
 def tokens(text: str | None) -> list[str]:
@@ -43,7 +45,7 @@ def tokens(text: str | None) -> list[str]:
     words = (text or "").split()
     return [
         w if w != p and w != q else REPEATS[w != p] for w, p, q in zip(words, ["", *words], ["", "", *words])
-    ]
+    ] + END
 
 
 def train(rows: list[tuple[str, int]], seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,6 +71,7 @@ def train(rows: list[tuple[str, int]], seed: int = 1) -> tuple[np.ndarray, np.nd
             p /= p.sum()
             p[label] -= 1
             pull = p @ layer
+            pull /= max(1.0, float(np.abs(pull).max()) / 4)  # keeps steps finite
             layer -= rate * np.outer(p, mean)
             bias -= rate * 0.1 * p
             # a feature that fills a share w of a document moves by w of the step,

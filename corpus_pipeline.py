@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import exact_dedup, near_dedup
+from causeway.llm import exact_dedup, mixing, near_dedup, quality, sentencepiece_codec
 from causeway.llm.common import cut
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents scored below 0.3 go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup: of equal texts the row with the largest doc_id stays."""
     return exact_dedup.drop_copies(docs)
@@ -18,9 +23,22 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return near_dedup.drop_near(docs, k=5)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pfair mixture: all documents, written in the order that mixes the sources."""
+    return mixing.mixed(docs)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every text, with the check that they decode to it."""
+    return sentencepiece_codec.encode(docs)
+
+
 STAGES = [
+    ("quality classifier", keep_good),
     ("exact dedup", remove_copies),
     ("MinHash near-dedup", remove_near_copies),
+    ("mixing sources", mix_sources),
+    ("SentencePiece encoding", tokenise),
 ]
 
 #: The classifier is trained by gradient descent and the tokenizer is a merge loop: SQL can't express them.
