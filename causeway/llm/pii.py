@@ -114,8 +114,7 @@ _NUMBER_WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _DIGIT_RUN = re.compile(
     rf"(?<!\w)(?:(?:\+|\bplus\b)[ -]?)?(?:(?:{_NUMBER_WORD}|[0-9])(?:\W{{1,3}})){{8,}}(?:{_NUMBER_WORD}|[0-9])(?!\w)", re.I
 )
-_DIGIT_SIGN = re.compile(r"[\[({<] ?(?:at|@|arroba|chez|dot|\.|punkt|point|punto) ?[\])}>]|[^ ] @|@ [^ ]| (?:dot|punkt|point|punto) ", re.I)
-_PART = re.compile(rf"(?:{_NUMBER_WORD})(?!\w)|plus\b|[\s\S]", re.I)
+_DIGIT_PART = re.compile(rf"(?:{_NUMBER_WORD})(?!\w)|plus\b|[\s\S]", re.I)
 _IP_RUN = re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|\{\.\}|[\[({] ?dot ?[\])}]|\bdot\b) ?[0-9]{1,3}){3}(?![0-9.])", re.I)
 _AT = r"(?: ?[\[({<] ?(?:at|@|arroba|chez) ?[\])}>] ?| at | ?@ ?)"
 _DOT = r"(?: ?[\[({<] ?(?:dot|\.|punkt|point|punto) ?[\])}>] ?| (?:dot|punkt|point|punto) |\.)"
