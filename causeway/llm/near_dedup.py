@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, mix, shingle_set
+from .common import cut, mix, shingle_set
 from .components import Forest, components
 
 K, PERCENT = 4, 80
@@ -298,7 +298,8 @@ def confirmed_edges(docs: DataFrame, groups: DataFrame, k: int = K, percent: int
     """``a, b``: a forest of the links, confirmed on the full sets, of every group."""
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     sized = groups.join(sizes, "component").select(F.col("vertex").alias("doc_id"), "component", "n")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(sized, "doc_id").select("doc_id", "text", "component", "n")
+    # always a merge join: a plan that broadcasts small groups only would change with size
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(sized.hint("merge"), "doc_id").select("doc_id", "text", "component", "n")
     sets = texts.mapInArrow(lambda it: _sets(it, k), "doc_id long, component long, n long, members binary")
     units = block_pairs(sets, ["component"], "doc_id").select("component", "lo", "hi", "mine", "doc_id", "members")
     return units.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(
@@ -322,8 +323,6 @@ def near_dedup(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame
     # copies hang on to their representative
     copies = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.unionAll(copies))
-    for t in (near, member):
-        pass
     out = sig.select("doc_id", "n_shingles").join(found.withColumnRenamed("vertex", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
