@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, mixing, near_dedup, pii, quality, sentencepiece_codec, substring_dedup, topk
+from . import exact_dedup, html_extract, langid, mixing, near_dedup, pii, quality, sentencepiece_codec, substring_dedup, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op2_mix_sources": _on_documents(mixing.op2_query),
         "op3_exact_dedup": _on_documents(exact_dedup.op3_query),
         "op10_minhash_near_dedup": _on_documents(near_dedup.near_dedup),
+        "op4_html_text": lambda spark, sf_dir: html_extract.extract(_table(spark, sf_dir, "pages")),
         "op5_topk": lambda spark, sf_dir: topk.top_k(_table(spark, sf_dir, "embeddings")),
         "op6_personal_data": _on_documents(pii.personal_data),
         "op7_sentencepiece": _on_documents(sentencepiece_codec.op7_query),
