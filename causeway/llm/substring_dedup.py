@@ -11,7 +11,7 @@ are judged on the input, not on what is left.
     all documents share costs two bytes a document, not a row.
 2.  Each bucket is counted by sorting its hashes: the least ``doc_id`` of a repeated
     hash owns it, and the other documents get it in their removal list.
-3.  The lists go back to the texts by ``doc_id``; positions of listed windows merge into
+3.  The lists go back to the texts, packed for each of the homes to which ``doc_id`` is hashed; positions of listed windows merge into
     maximal removal intervals, and the kept words are digested.
 
 The number of buckets is a multiple of ``spark.sql.shuffle.partitions``, so a bucket
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,15 +141,32 @@ def _losses(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return d[order], h[order]
 
 
-def _lists(d: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-    start = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.zeros(0, np.int64)
-    ends = np.append(start[1:], len(d))
-    data = [h[s:e].tobytes() for s, e in zip(start.tolist(), ends.tolist())]
-    return pa.RecordBatch.from_arrays([pa.array(d[start], pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "lost"])
+def home(doc_id: int, parts: int) -> int:
+    """The home of a document: ``pmod(xxhash64(doc_id), parts)`` as Spark computes it."""
+    h = xxhash.xxh64_intdigest(int(doc_id).to_bytes(8, "little", signed=True), 42)
+    return (h - (1 << 64) if h >> 63 else h) % parts
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Removal lists (doc_id, lost) out of rows sorted by bucket."""
+def _lists(d: np.ndarray, h: np.ndarray, parts: int) -> pa.RecordBatch:
+    """One row for each home: its documents, the length of each one's list, the hashes."""
+    start = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+    length = np.diff(np.append(start, len(d)))
+    homes = np.array([home(x, parts) for x in d[start].tolist()])
+    order = np.argsort(homes, kind="stable")
+    cuts = np.flatnonzero(np.diff(homes[order])) + 1
+    rows: list[list] = [[], [], [], []]
+    for at in np.split(order, cuts):
+        rows[0].append(int(homes[at[0]]))
+        rows[1].append(d[start[at]].tobytes())
+        rows[2].append(length[at].astype(np.int32).tobytes())
+        rows[3].append(b"".join(h[s : s + n].tobytes() for s, n in zip(start[at].tolist(), length[at].tolist())))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], names=["home", "ids", "lengths", "hashes"]
+    )
+
+
+def _count(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Removal lists, packed for each home, out of rows sorted by bucket."""
     bucket, hs, ds = None, [], []
     out: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -156,18 +174,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = np.concatenate([x for x, _ in out])
         h = np.concatenate([x for _, x in out])
         order = np.argsort(d, kind="stable")
-        return _lists(d[order], h[order])
+        return _lists(d[order], h[order], parts)
 
     def finish() -> None:
         if hs:
-            out.append(_losses(np.concatenate(hs), np.concatenate(ds)))
+            found = _losses(np.concatenate(hs), np.concatenate(ds))
+            if len(found[0]):
+                out.append(found)
 
     for batch in batches:
         for b, ids, hashes, docs in zip(*(c.to_pylist() for c in batch.columns)):
             if b != bucket:
                 finish()
                 bucket, hs, ds = b, [], []
-                if sum(len(x) for x, _ in out) > 1_000_000:
+                if sum(len(x) for x, _ in out) > 4_000_000:
                     yield merged()
                     out.clear()
             h, d = _unpack(ids, hashes, docs)
@@ -178,14 +198,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield merged()
 
 
-def removal_lists(docs: DataFrame, k: int = K) -> DataFrame:
-    """``doc_id, lost``: packed hashes of the windows that ``doc_id`` loses (some rows each)."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def removal_lists(docs: DataFrame, parts: int, k: int = K) -> DataFrame:
+    """Packed hashes of the windows that documents lose, a row for each home and task."""
     buckets = parts * BUCKETS_PER_PARTITION
     dealt = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         lambda it: _deal(it, k, buckets), "bucket int, ids binary, hashes binary, docs binary"
     )
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count, "doc_id long, lost binary")
+    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
+        lambda it: _count(it, parts), "home int, ids binary, lengths binary, hashes binary"
+    )
 
 
 def intervals(hashes: np.ndarray, lost: np.ndarray, k: int) -> np.ndarray:
@@ -198,22 +219,33 @@ def intervals(hashes: np.ndarray, lost: np.ndarray, k: int) -> np.ndarray:
 
 
 def _remove(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Reads, for each home, first the removal lists (kind 0), then the texts (kind 1)."""
+    here, lists = None, {}
     for batch in batches:
         out: list[list] = [[], [], [], [], []]
         kept_texts = []
-        for doc_id, text, lost in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+        homes, kinds, doc_ids, ids, lengths, hashes = (batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 6))
+        for i, text in enumerate(batch.column(3)):
+            if homes[i] != here:
+                here, lists = homes[i], {}
+            if kinds[i] == 0:
+                ends = np.cumsum(np.frombuffer(lengths[i], np.int32))
+                pieces = np.split(np.frombuffer(hashes[i], np.uint64), ends[:-1])
+                for d, piece in zip(np.frombuffer(ids[i], np.int64).tolist(), pieces):
+                    lists.setdefault(d, []).append(piece)
+                continue
             body = _encoded(text)
             words = body.split()
             spans = np.zeros((0, 2), np.int64)
+            lost = lists.get(doc_ids[i])
             if lost:
-                lost_hashes = np.frombuffer(b"".join(lost), np.uint64)
-                spans = intervals(window_hashes(word_hashes(body), k), lost_hashes, k)
+                spans = intervals(window_hashes(word_hashes(body), k), np.concatenate(lost), k)
             n, gone = len(words), int((spans[:, 1] - spans[:, 0]).sum())
             for s, e in reversed(spans.tolist()):
                 del words[s:e]
             kept = b" ".join(words)
             kept_texts.append(kept)
-            for col, v in zip(out, (doc_id, n, gone, hashlib.sha256(kept).hexdigest(), spans.tolist())):
+            for col, v in zip(out, (doc_ids[i], n, gone, hashlib.sha256(kept).hexdigest(), spans.tolist())):
                 col.append(v)
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())))
         yield pa.RecordBatch.from_arrays(
@@ -228,10 +260,17 @@ def substring_dedup(docs: DataFrame, k: int = K) -> DataFrame:
     ``removed`` lists the maximal removal intervals as word offsets [start, end);
     ``kept`` is the kept text (words joined by one space, UTF-8).
     """
-    lists = removal_lists(docs, k).groupBy("doc_id").agg(F.collect_list("lost").alias("lost"))
-    left = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = left.join(lists, "doc_id", "left").select("doc_id", "text", "lost")
-    return joined.mapInArrow(
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    doc_id, none = F.col("doc_id").cast("long"), F.lit(None)
+    texts = docs.select(
+        F.pmod(F.xxhash64(doc_id), F.lit(parts)).cast("int").alias("home"), F.lit(1).alias("kind"), doc_id.alias("doc_id"), "text",
+        none.cast("binary").alias("ids"), none.cast("binary").alias("lengths"), none.cast("binary").alias("hashes"),
+    )
+    lists = removal_lists(docs, parts, k).select(
+        "home", F.lit(0).alias("kind"), none.cast("long").alias("doc_id"), none.cast("string").alias("text"), "ids", "lengths", "hashes"
+    )
+    dealt = lists.unionByName(texts).repartition(parts, "home").sortWithinPartitions("home", "kind")
+    return dealt.mapInArrow(
         lambda it: _remove(it, k),
         "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<array<long>>, kept binary",
     )
