@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .subword import WordScores, document_features, fit_in_one_task, remainder, share
+from .subword import WordScores, document_features, fit_in_one_task, groups, remainder, share
 
 # Families of languages by their two-letter codes.
 FAMILIES = {
@@ -77,12 +77,11 @@ def machine(data: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, rng: np
 def train(rows: list[tuple[str, str]], seed: int = 1) -> dict:
     """Machines from (text, lang) rows: table (BUCKETS, m), biases and what each separates."""
     rng = np.random.default_rng(seed)
-    cache: dict = {}
     data, langs = [], []
     for text, lang in rows:
         words = _LETTERS.findall((text or "").lower())
         if words:
-            at, times = document_features(words, LO, HI, BUCKETS, cache)
+            at, times = document_features(words, LO, HI, BUCKETS)
             data.append((at, (times / times.sum()).astype(np.float64)))
             langs.append(lang)
     families: dict[str, list[str]] = {}
@@ -153,9 +152,10 @@ def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
     scores = WordScores(model["table"], LO, HI)
     for batch in batches:
         out = []
-        for text in batch.column(1):
-            words = _LETTERS.findall((text.as_py() or "").lower())
-            out.append(decide(model, scores.mean(words) + model["bias"]) if words else ("und", 0.0))
+        for texts in groups(batch.column(1)):
+            words = [_LETTERS.findall((t or "").lower()) for t in texts]
+            margins = scores.means(words) + model["bias"]
+            out += [decide(model, m) if w else ("und", 0.0) for w, m in zip(words, margins)]
         langs, sure = zip(*out) if out else ((), ())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(langs, pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "lang_pred", "score"]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .subword import WordScores, document_features, fit_in_one_task, remainder, share
+from .subword import WordScores, document_features, fit_in_one_task, groups, remainder, share
 
 BUCKETS, DIM, LO, HI = 1 << 17, 8, 2, 4
 TRAIN_ROWS, EPOCHS, RATE = 4_000, 16, 1.0
@@ -53,10 +53,9 @@ def train(rows: list[tuple[str, int]], seed: int = 1) -> tuple[np.ndarray, np.nd
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
-    cache: dict = {}
     data = []
     for text, label in rows:
-        at, times = document_features(tokens(text), LO, HI, BUCKETS, cache)
+        at, times = document_features(tokens(text), LO, HI, BUCKETS)
         data.append((at.astype(np.int32), times / max(1.0, float(times.sum())), label))
     steps, done = EPOCHS * len(data), 0
     for _ in range(EPOCHS):
@@ -105,7 +104,8 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
     table, bias = model.value
     words = WordScores(table[:, None], LO, HI)
     for batch in batches:
-        z = np.array([words.mean(tokens(t.as_py()))[0] + bias for t in batch.column("text")], np.float64)
+        found = [words.means(map(tokens, texts))[:, 0] for texts in groups(batch.column("text"))]
+        z = np.concatenate([np.zeros(0), *found]) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "score"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable
 
@@ -10,69 +9,114 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import _Powers, mix
 
-def word_features(word: str, lo: int, hi: int, buckets: int) -> list[int]:
-    """Buckets of the word itself and of its ``lo``- to ``hi``-grams in ``<word>``.
 
-    Words of more than 64 characters count as a word and by n-grams of their ends only
-    in this feature map; the word feature covers all of it.
+_chars = _Powers(0xA24BAED4963EE407 | 1)
+
+
+def word_features(words: list[str], lo: int, hi: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Feature buckets of all words, one after the other, and how many each word has.
+
+    A word has a feature for itself and one for each of the ``lo``- to ``hi``-grams of
+    ``<word>``; all are hashed together, by prefix sums over the characters.
     """
-    out = [zlib.crc32(("w" + word).encode("utf-8", "surrogatepass")) % buckets]
-    marked = f"<{word}>" if len(word) <= 64 else f"<{word[:32]}>{word[-32:]}>"
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    marked = "".join([f"<{w}>" for w in words])
+    code = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    end = np.cumsum(size)
+    start = end - size
+    up, down = _chars.get(len(code) + 1)
+    total = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum((code + np.uint64(1)) * up[:-1], out=total[1:])
+    owner = np.repeat(np.arange(len(words)), size)
+    room = np.repeat(end, size) - np.arange(len(code))
+    hashes = [mix((total[end] - total[start]) * down[start] + np.uint64(1 << 40))]
+    owners = [np.arange(len(words))]
     for n in range(lo, hi + 1):
-        for i in range(len(marked) - n + 1):
-            out.append(zlib.crc32(marked[i : i + n].encode("utf-8", "surrogatepass")) % buckets)
-    return out
+        at = np.flatnonzero(room >= n)
+        hashes.append(mix((total[at + n] - total[at]) * down[at] + np.uint64(n)))
+        owners.append(owner[at])
+    by = np.concatenate(owners)
+    order = np.argsort(by, kind="stable")
+    ids = (np.concatenate(hashes) % np.uint64(buckets)).astype(np.int64)
+    return ids[order], np.bincount(by, minlength=len(words))
 
 
-def document_features(words: Iterable[str], lo: int, hi: int, buckets: int, cache: dict) -> tuple[np.ndarray, np.ndarray]:
+def document_features(words: Iterable[str], lo: int, hi: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature buckets of a document and how often each occurs."""
-    ids, times = [], []
-    for w, n in Counter(words).items():
-        f = cache.get(w)
-        if f is None:
-            if len(cache) > 200_000:
-                cache.clear()
-            f = cache[w] = word_features(w, lo, hi, buckets)
-        ids += f
-        times += [n] * len(f)
-    at, inverse = np.unique(np.array(ids, np.int64), return_inverse=True)
-    return at, np.bincount(inverse, np.array(times, np.float64), len(at)).astype(np.float32)
+    counted = Counter(words)
+    ids, n = word_features(list(counted), lo, hi, buckets)
+    times = np.repeat(np.fromiter(counted.values(), np.float64, len(counted)), n)
+    at, inverse = np.unique(ids, return_inverse=True)
+    return at, np.bincount(inverse, times, len(at)).astype(np.float32)
 
 
 class WordScores:
     """Sums of folded feature scores: a linear model over averaged features.
 
     ``table`` has a row for each bucket and a column for each score.  As a document's
-    vector is the mean of its features' vectors, its scores are sums over words.
+    vector is the mean of its features' vectors, its scores are sums over words, and a
+    task computes those of each distinct word once (it forgets them at ``limit`` words).
     """
 
-    def __init__(self, table: np.ndarray, lo: int, hi: int, limit: int = 150_000):
-        self.table, self.lo, self.hi, self.limit = table, lo, hi, limit
+    def __init__(self, table: np.ndarray, lo: int, hi: int, limit: int = 400_000):
+        self.table, self.lo, self.hi, self.limit = table.astype(np.float64), lo, hi, limit
+        self._forget()
+
+    def _forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((1024, table.shape[1] + 1))
-
-    def _add(self, word: str) -> int:
-        i = len(self.at)
-        if i == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        f = word_features(word, self.lo, self.hi, len(self.table))
-        self.rows[i, :-1] = self.table[f].sum(axis=0, dtype=np.float64)
-        self.rows[i, -1] = len(f)
-        self.at[word] = i
-        return i
-
-    def mean(self, words: list[str]) -> np.ndarray:
-        """Mean score over all features of the words; zeros without words."""
+        self.rows = np.zeros((0, self.table.shape[1] + 1))
+
+    def _learn(self, words: list[str]) -> None:
+        got = []
+        for i in range(0, len(words), 20_000):
+            ids, n = word_features(words[i : i + 20_000], self.lo, self.hi, len(self.table))
+            sums = np.add.reduceat(self.table[ids], np.cumsum(n) - n, axis=0)
+            got.append(np.concatenate([sums, n[:, None]], axis=1))
+        self.rows = np.concatenate([self.rows, *got])
+
+    def means(self, docs: Iterable[list[str]]) -> np.ndarray:
+        """Mean scores over all features of each document's words; zeros without words."""
         if len(self.at) > self.limit:
-            self.at.clear()
-        counts = Counter(words)
-        get, add = self.at.get, self._add
-        idx = [i if (i := get(w)) is not None else add(w) for w in counts]
-        if not idx:
-            return np.zeros(self.table.shape[1])
-        total = np.fromiter(counts.values(), np.float64, len(idx)) @ self.rows[idx]
-        return total[:-1] / total[-1]
+            self._forget()
+        at, new, places, times, sizes = self.at, [], [], [], []
+        for words in docs:
+            counted = Counter(words)
+            for w in counted:
+                i = at.get(w)
+                if i is None:
+                    i = at[w] = len(at)
+                    new.append(w)
+                places.append(i)
+            times += counted.values()
+            sizes.append(len(counted))
+        if new:
+            self._learn(new)
+        out = np.zeros((len(sizes), self.table.shape[1]))
+        size = np.array(sizes, np.int64)
+        full = np.flatnonzero(size)
+        if len(full):
+            parts = self.rows[places] * np.array(times, np.float64)[:, None]
+            total = np.add.reduceat(parts, (np.cumsum(size) - size)[full], axis=0)
+            out[full] = total[:, :-1] / total[:, -1:]
+        return out
+
+
+def groups(column, size: int = 1 << 20):
+    """The strings of an Arrow column in lists of about ``size`` characters."""
+    held, n = [], 0
+    for value in column:
+        text = value.as_py()
+        held.append(text)
+        n += len(text or "")
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def share(key: Column, fraction: Column) -> Column:
