@@ -137,4 +137,5 @@ def fit_in_one_task(rows: DataFrame, fit: Callable[[list[tuple]], bytes]) -> byt
         held = [tuple(r.values()) for b in batches for r in b.to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([fit(held)], pa.binary())], names=["model"])
 
-    return bytes(rows.repartition(1).mapInArrow(task, "model binary").head()[0])
+    got = rows.repartition(1).mapInArrow(task, "model binary").head()
+    return bytes(got[0]) if got else fit([])  # without rows no task runs
