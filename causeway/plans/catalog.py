@@ -12,6 +12,7 @@ from ..operators import append, dag, lookup, score, temporal, transcript
 from ..operators.recall import forest_edges, recall
 from ..sources import schema
 from ..sources.schema import RecallConfig
+from ..sources.shared import cut
 from . import graph
 from .oracle_recall import recall_sql
 
@@ -49,6 +50,12 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return graph.memories(c), graph.edges(c)
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The graph with its derived edges written once, as a store has them."""
+    m, e = _graph(spark, sf_dir)
+    return m, cut(e, "edges")
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.table(spark, sf_dir, "events").withColumn("us", temporal.micros(F.col("ts")))
 
@@ -177,7 +184,7 @@ def _recalls(name: str, config: RecallConfig, roots: str, rounds: int) -> None:
     """A recall query for the roots that the condition picks, one graph for each root's conv_id % 3."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        m, e = _graph(spark, sf_dir)
+        m, e = _stored(spark, sf_dir)
         picked = m.where(roots).select((F.col("conv_id") % 3).alias("graph_id"), F.col("rowid").alias("node_id"))
         return recall(m, e, picked, config).select("graph_id", "node_id", "level", "dir", "parent_id", "refcount")
 
@@ -195,13 +202,13 @@ _recalls("recall_many", RecallConfig(2, 2, 200), "turn = 0 and conv_id % 9 = 5",
 @query()
 def recall_unbounded(spark, sf_dir):
     """All that one root reaches without a limit of depth or size (no SQL: the rounds are not known)."""
-    m, e = _graph(spark, sf_dir)
+    m, e = _stored(spark, sf_dir)
     roots = m.where("rowid = 20001").select(F.lit(0).cast("bigint").alias("graph_id"), F.col("rowid").alias("node_id"))
     return recall(m, e, roots, RecallConfig(0, 0, 10**9)).select("node_id", "level", "dir", "parent_id", "refcount")
 
 
 def _chat_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, e = _graph(spark, sf_dir)
+    m, e = _stored(spark, sf_dir)
     roots = lookup.page(m.select("rowid"), 1, 5).select(F.lit(0).cast("bigint").alias("graph_id"), F.col("rowid").alias("node_id"))
     return recall(m, e, roots, RecallConfig(2, 3, 10))
 
