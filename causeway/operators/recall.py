@@ -26,9 +26,9 @@ def _candidates(front: DataFrame, edges: DataFrame, directions: dict[int, tuple[
     out = None
     for d, (near, far) in directions.items():
         side = front if cross else front.where(F.col("dir") == d)
-        got = side.select("graph_id", F.col("node_id").alias("parent"), F.col("seq").alias("pseq")).join(
+        got = side.select("graph_id", F.col("node_id").alias("parent"), F.col("seq").alias("pseq"), (F.col("level") + 1).alias("level")).join(
             edges.select(F.col(near).alias("parent"), F.col(far).alias("child")), "parent"
-        ).select("graph_id", "child", "parent", "pseq", F.lit(d).alias("dir"))
+        ).select("graph_id", "child", "parent", "pseq", "level", F.lit(d).alias("dir"))
         out = got if out is None else out.unionAll(got)
     return out
 
@@ -55,14 +55,15 @@ def recall(memories: DataFrame, edges: DataFrame, roots: DataFrame, config: Reca
         found = _candidates(front, edges, ways, cross=level == 1)
         rank = (F.struct("pseq", "dir", "child") if level == 1 else F.struct("dir", "pseq", "child")).alias("rank")
         best = found.groupBy("graph_id", "child").agg(
-            F.min(F.struct(rank, "parent", "dir", "pseq")).alias("w"), F.count(F.lit(1)).alias("refcount")
+            F.min(F.struct(rank, "parent", "dir", "pseq")).alias("w"), F.count(F.lit(1)).alias("refcount"), F.max("level").alias("level")
         )
         fresh = best.join(seen.select("graph_id", F.col("node_id").alias("child")), ["graph_id", "child"], "left_anti")
         order = Window.partitionBy("graph_id").orderBy("w.rank")
-        base = F.lit(level) * F.lit(1 << 40)
+        # the level comes from the data, so that all rounds share their generated code
+        base = F.shiftleft(F.col("level").cast("bigint"), 40)
         won = cut(
             fresh.select(
-                "graph_id", F.col("child").alias("node_id"), F.lit(level).alias("level"), F.col("w.dir").alias("dir"),
+                "graph_id", F.col("child").alias("node_id"), "level", F.col("w.dir").alias("dir"),
                 F.col("w.parent").alias("parent_id"), "refcount", (F.row_number().over(order) + base).cast("bigint").alias("seq"),
             ),
             "recall",
@@ -72,25 +73,23 @@ def recall(memories: DataFrame, edges: DataFrame, roots: DataFrame, config: Reca
         # graphs below their budget take the fringe in whole and expand it; the others end here
         size = seen.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
         below = size.where(F.col("n") < config.memories).select("graph_id")
-        have = None
-        for f in fronts:
-            have = f.select("graph_id") if have is None else have.unionAll(f.select("graph_id"))
-        have = have.groupBy("graph_id").agg(F.count(F.lit(1)).alias("have"))
-        fill = Window.partitionBy("graph_id").orderBy(F.desc("refcount"), "dir", "seq")
-        ended = kept.join(below, "graph_id", "left_anti").withColumn("place", F.row_number().over(fill)).join(have, "graph_id", "left")
-        ended = ended.where(F.col("place") <= F.lit(config.memories) - F.coalesce("have", F.lit(0)))
-        ended = ended.withColumn("seq", (base + F.col("place")).cast("bigint"))
-        # both outcomes in one table: a row goes on, or fills up a graph that ends
-        step = cut(
-            kept.join(below, "graph_id", "left_semi").withColumn("on", F.lit(True)).unionByName(
-                ended.select(*won.columns).withColumn("on", F.lit(False))
-            ),
-            "recall",
-        )
-        front = step.where("on").select(*won.columns)
-        parts.append(step.select(*won.columns))
-        if front.isEmpty():
+        marked = kept.join(below.withColumn("below", F.lit(True)), "graph_id", "left")
+        on = F.col("below").isNotNull()
+        go, end = marked.agg(F.count(F.when(on, 1)), F.count(F.when(~on, 1))).head()
+        if end:
+            have = fronts[0].select("graph_id")
+            for f in fronts[1:]:
+                have = have.unionAll(f.select("graph_id"))
+            have = have.groupBy("graph_id").agg(F.count(F.lit(1)).alias("have"))
+            fill = Window.partitionBy("graph_id").orderBy(F.desc("refcount"), "dir", "seq")
+            ended = marked.where(~on).withColumn("place", F.row_number().over(fill)).join(have, "graph_id", "left")
+            ended = ended.where(F.col("place") <= F.lit(config.memories) - F.coalesce("have", F.lit(0)))
+            parts.append(cut(ended.withColumn("seq", (base + F.col("place")).cast("bigint")).select(*won.columns), "recall"))
+        if not go:
             break
+        # where no graph has ended, the level goes on as it was written
+        front = kept if not end else cut(marked.where(on).select(*won.columns), "recall")
+        parts.append(front)
         fronts.append(front)
     out = parts[0]
     for p in parts[1:]:

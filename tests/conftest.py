@@ -14,7 +14,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     from causeway.session import session
 
-    s = session("tests", "local[4]", spark__ui__enabled="false", spark__sql__shuffle__partitions="4", spark__ui__showConsoleProgress="false")
+    s = session("tests", "local[4]", spark__ui__enabled="false", spark__sql__shuffle__partitions="3", spark__ui__showConsoleProgress="false")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
