@@ -89,3 +89,8 @@ def memories_with_indegree_at_most(memories: DataFrame, edges: DataFrame, count:
     """Memories that ``count`` others or fewer refer to, newest first; no row without a count."""
     few = indegrees(memories, edges).where(F.col("refs") <= F.lit(count).cast("long"))
     return memories.join(few, "rowid").orderBy(F.desc("uuid"))
+
+
+def ask(spark, text: str, args: dict[str, object] | None = None, **tables: DataFrame) -> DataFrame:
+    """A SQL statement with named markers (``:name``) over the given tables (``{name}``)."""
+    return spark.sql(text, args=args or {}, **tables)

@@ -52,3 +52,18 @@ def ewma(values: DataFrame, key: str, order: str, value: str, alpha: float) -> D
     # the first value keeps the weight that the later ones leave over
     weight = F.when(F.col("back") == F.col("n") - 1, F.pow(F.lit(1 - alpha), F.col("back"))).otherwise(alpha * F.pow(F.lit(1 - alpha), F.col("back")))
     return ranked.groupBy(key).agg(F.sum(weight * F.col(value)).alias("ewma"))
+
+
+def propagate(importance: DataFrame, edges: DataFrame, share: float, rounds: int = 1) -> DataFrame:
+    """``id, importance`` after passing a share of it, each round, to what a memory depends on.
+
+    ``edges`` may have a ``weight``; each round sums inside tasks before it shuffles.
+    """
+    weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
+    links = edges.select("src_id", "dst_id", weight.alias("w"))
+    now = importance.select("id", F.col("importance").cast("double").alias("importance"))
+    for _ in range(rounds):
+        sent = now.select(F.col("id").alias("src_id"), "importance").join(links, "src_id")
+        got = sent.groupBy(F.col("dst_id").alias("id")).agg(F.sum(F.col("importance") * F.col("w") * share).alias("got"))
+        now = now.join(got, "id", "left").select("id", (F.col("importance") + F.coalesce("got", F.lit(0.0))).alias("importance"))
+    return now

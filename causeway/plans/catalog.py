@@ -494,3 +494,47 @@ select conv_id, round(sum(x * case when b = n - 1 then power(0.5, b) else 0.5 *
 def importance_ewma(spark, sf_dir):
     c = graph.table(spark, sf_dir, "conversations").withColumn("x", F.length("text").cast("double"))
     return score.ewma(c, "conv_id", "turn", "x", 0.5).select("conv_id", F.round("ewma", 6).alias("ewma"))
+
+
+@query(GRAPH + ", i as (select rowid, (length(text) % 11)::double as x from m) select i.rowid as id, round(x + coalesce((select sum(j.x) / 2 from e join i j on j.rowid = e.src_id where e.dst_id = i.rowid), 0), 6) as importance from i")
+def importance_propagated(spark, sf_dir):
+    m, e = _graph(spark, sf_dir)
+    own = m.select(F.col("rowid").alias("id"), (F.length(F.col("parts")[0]["content"]) % 11).alias("importance"))
+    return score.propagate(own, e, 0.5).select("id", F.round("importance", 6).alias("importance"))
+
+
+@query(GRAPH + "select rowid, uuid from m where conv_id = 53 and kind = 'self'")
+def ask_with_parameters(spark, sf_dir):
+    m, _ = _graph(spark, sf_dir)
+    return lookup.ask(spark, "select rowid, uuid from {m} where conv_id = :conv and kind = :kind", {"conv": 53, "kind": "self"}, m=m)
+
+
+@query("""select conv_id as graph_id, conv_id * 1000 + turn as id,
+row_number() over (partition by conv_id order by case when turn = 1 then null else length(text) end nulls first, turn) as pos from conversations""")
+def toposort_by_key(spark, sf_dir):
+    """Without edges the key alone orders: texts by length, a missing key first, then ids."""
+    c = graph.table(spark, sf_dir, "conversations")
+    nodes = c.select(F.col("conv_id").alias("graph_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(F.col("turn") != 1, F.length("text")).alias("size"))
+    return dag.toposort(nodes, graph.inner_edges(c).limit(0), F.col("size"))
+
+
+@query("select event_id, epoch_us(ts) // 1000000 + event_id % 90 as ready from events")
+def sleep_ready(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    now = F.floor(F.col("us") / 1_000_000)
+    return e.select("event_id", timers.ready_at(now, F.lit(None).cast("bigint"), F.col("event_id") % 90).alias("ready"))
+
+
+@query("select event_id, event_type as action, props as params from events")
+def invocations(spark, sf_dir):
+    calls = graph.table(spark, sf_dir, "events").select(F.col("event_type").alias("action"), F.col("props").alias("params"), F.col("event_id").alias("flow"))
+    return temporal.invocations(calls).select(F.col("flow").alias("event_id"), "action", "params")
+
+
+@query(GRAPH + "select uuid, kind, (select count(*) from e where e.src_id = m.rowid) as n_targets from m where kind = 'other'")
+def memory_builders(spark, sf_dir):
+    """New memories of users' turns, built as a batch and appended to an empty store."""
+    m, e = _graph(spark, sf_dir)
+    rows = lookup.with_edges(m, e)
+    users = rows.where("kind = 'other'").select(*schema.create_other(F.col("uuid"), F.col("parts")[0]["content"], F.col("edges")), "rowid")
+    return users.select("uuid", "kind", F.size("targets").cast("bigint").alias("n_targets"))

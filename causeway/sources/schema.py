@@ -67,3 +67,21 @@ def valid(kind: Column, parts: Column) -> Column:
 
     good = F.forall(parts, lambda p: F.array_contains(allowed, p["kind"]) & complete(p))
     return F.coalesce(good, F.lit(False))
+
+
+def memory(uuid: Column, kind: str, parts: Column, metadata: Column | None = None, targets: Column | None = None) -> list[Column]:
+    """The columns of a new memory of kind "self" or "other", as a batch for an append has them."""
+    if kind not in ("self", "other"):
+        raise ValueError(f"unknown kind {kind!r}")
+    return [
+        uuid.alias("uuid"), F.lit(kind).alias("kind"), (metadata if metadata is not None else F.lit("{}")).alias("metadata"), parts.alias("parts"),
+        (targets if targets is not None else F.array().cast("array<string>")).alias("targets"),
+    ]
+
+
+def create_other(uuid: Column, text: Column, targets: Column, metadata: Column | None = None) -> list[Column]:
+    return memory(uuid, "other", F.array(part("text", content=text)), metadata, targets)
+
+
+def create_self(uuid: Column, parts: Column, targets: Column, metadata: Column | None = None) -> list[Column]:
+    return memory(uuid, "self", parts, metadata, targets)
