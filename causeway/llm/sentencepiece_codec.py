@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .subword import groups
+
 # Fixed values of the published model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -163,10 +165,11 @@ class WordCoder:
     """Codes marked words, each distinct one once, and joins their ids to texts' ids.
 
     For tokenizers that cut at marked words (``cuts``).  ``checks`` is a sentencepiece
-    processor to compare every distinct word with, or None.
+    processor to compare every distinct word with, or None.  Words are forgotten once
+    ``limit`` are held, so memory does not follow the vocabulary of the corpus.
     """
 
-    def __init__(self, path: str, checks=None, limit: int = 500_000):
+    def __init__(self, path: str, checks=None, limit: int = 100_000):
         from tokenizers import Tokenizer
 
         tok = _tokenizer(path)
@@ -218,8 +221,8 @@ class WordCoder:
                     new.append(w)
                 places.append(i)
             counts.append(len(words))
-        if new:
-            self._learn(new)
+        for i in range(0, len(new), 20_000):
+            self._learn(new[i : i + 20_000])
         idx = np.array(places, np.int64)
         length = self.length[idx]
         ends = np.cumsum(length)
@@ -255,21 +258,17 @@ def _code(batches: Iterator[pa.RecordBatch], path: str, parity: bool, step: int)
         checks = sentencepiece.SentencePieceProcessor(model_file=path)
     code = WordCoder(path, checks).code if tok.pre_tokenizer is not None else lambda texts: _whole(tok, checks, texts)
     for batch in batches:
-        texts = [(t.as_py() or "").encode("utf-8", "replace").decode("utf-8") for t in batch.column(1)]
         at = 0
-        while at < len(texts):  # a bounded amount of text at a time
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= step):
-                size += len(texts[end])
-                end += 1
-            ids, n, back, same = code(texts[at:end])
+        for held in groups(batch.column(1), step):  # a bounded amount of text at a time
+            texts = [(t or "").encode("utf-8", "replace").decode("utf-8") for t in held]
+            ids, n, back, same = code(texts)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids, pa.int32()))
-            shown = pa.array(same) if parity else pa.nulls(end - at, pa.bool_())
+            shown = pa.array(same) if parity else pa.nulls(len(texts), pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, end - at), lists, pa.array(n, pa.int64()), pa.array(back), shown],
+                [batch.column(0).slice(at, len(texts)), lists, pa.array(n, pa.int64()), pa.array(back), shown],
                 names=["doc_id", "ids", "n_tokens", "round_trip", "parity"],
             )
-            at = end
+            at += len(texts)
 
 
 def encode(docs: DataFrame, model_path: str = MODEL, parity: bool = False, step: int = 1 << 20) -> DataFrame:
