@@ -107,6 +107,11 @@ def _merges(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(out)]
 
 
+def cuts(model: dict) -> bool:
+    """Whether no piece holds the marker after another character."""
+    return not any(MARK in t.lstrip(MARK) for t, _, kind in model["pieces"] if kind in (NORMAL, USER_DEFINED))
+
+
 def build(model: dict):
     """A ``tokenizers.Tokenizer`` that codes as the parsed model does."""
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
@@ -135,7 +140,7 @@ def build(model: dict):
     if model["escape"]:
         steps.append(normalizers.Replace(" ", MARK))
     tok.normalizer = normalizers.Sequence(steps)
-    if not any(MARK in t.lstrip(MARK) for t, _, kind in pieces if kind in (NORMAL, USER_DEFINED)):
+    if cuts(model):
         tok.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
     user = [AddedToken(t, normalized=True) for t, _, kind in pieces if kind == USER_DEFINED]
     if user:
@@ -170,14 +175,14 @@ class WordCoder:
     """
 
     def __init__(self, path: str, checks=None, limit: int = 100_000):
-        from tokenizers import Tokenizer
-
-        tok = _tokenizer(path)
-        self.normalise = tok.normalizer.normalize_str
-        self.decode = tok.decode_batch
-        self.words = Tokenizer.from_str(tok.to_str())
+        with open(path, "rb") as f:
+            self.model = parse(f.read())
+        self.words = build(self.model)
+        del self.model["pieces"]
+        self.normalise = self.words.normalizer.normalize_str
+        self.decode = self.words.decode_batch
         self.words.normalizer = self.words.pre_tokenizer = None
-        self.model, self.checks, self.limit = parse(open(path, "rb").read()), checks, limit
+        self.checks, self.limit = checks, limit
         self.plain = not self.model["charsmap"] and not self.model["squeeze"] and self.model["dummy_prefix"] and self.model["escape"]
         self.find = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
         self._reset()
@@ -250,13 +255,15 @@ def _whole(tok, checks, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def _code(batches: Iterator[pa.RecordBatch], path: str, parity: bool, step: int) -> Iterator[pa.RecordBatch]:
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
-    tok = _tokenizer(path)
+    os.environ.setdefault("RAYON_NUM_THREADS", "2")  # each thread has a memory pool of its own
+    with open(path, "rb") as f:
+        by_word = cuts(parse(f.read()))
     checks = None
     if parity:
         import sentencepiece
 
         checks = sentencepiece.SentencePieceProcessor(model_file=path)
-    code = WordCoder(path, checks).code if tok.pre_tokenizer is not None else lambda texts: _whole(tok, checks, texts)
+    code = WordCoder(path, checks).code if by_word else lambda texts: _whole(_tokenizer(path), checks, texts)
     for batch in batches:
         at = 0
         for held in groups(batch.column(1), step):  # a bounded amount of text at a time
