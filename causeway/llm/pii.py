@@ -5,7 +5,8 @@ non-overlapping for each kind, failing matches dropped.  On top, small transduce
 disguised stretches -- homoglyph letters and digits, spelled digits, "at"/"dot" between
 the parts of an address -- into plain characters.  Every output character carries the
 source characters it came from, so what the same detectors find in the rewritten text maps
-back to spans of the source.  An added span never overlaps a base span of its kind.
+back to spans of the source.  An added span is never equal to or inside another span of its
+kind, but it may contain or overlap one: a disguise can hide a part of an address only.
 
 To leave prose alone: an "at" or "dot" counts as disguise only in brackets, or as a word
 between parts of an address that ends in a known top-level name and has both; spelled
@@ -110,20 +111,35 @@ _TOP = "com org net edu gov mil int info biz io co ai app dev me uk us ca au nz
 
 _SUSPECT = re.compile("[" + re.escape("".join(_LOOKALIKES) + _INVISIBLE) + "\uff01-\uff5e\U0001d400-\U0001d7ff]+")
 _DIGIT_WORDS = frozenset([*_SPELLED, *"0123456789"])
+# Letters that match others without regard to case, though lower() keeps them.
+_SAME_CASE = str.maketrans("İıſ", "iis")
+_WORD = re.compile(r"\w+")
 _NUMBER_WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _DIGIT_RUN = re.compile(
     rf"(?<!\w)(?:(?:\+|\bplus\b)[ -]?)?(?:(?:{_NUMBER_WORD}|[0-9])(?:\W{{1,3}})){{8,}}(?:{_NUMBER_WORD}|[0-9])(?!\w)", re.I
 )
 _DIGIT_PART = re.compile(rf"(?:{_NUMBER_WORD})(?!\w)|plus\b|[\s\S]", re.I)
 _IP_RUN = re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|\{\.\}|[\[({] ?dot ?[\])}]|\bdot\b) ?[0-9]{1,3}){3}(?![0-9.])", re.I)
-_AT = r"(?: ?[\[({<] ?(?:at|@|arroba|chez) ?[\])}>] ?| at | ?@ ?)"
-_DOT = r"(?: ?[\[({<] ?(?:dot|\.|punkt|point|punto) ?[\])}>] ?| (?:dot|punkt|point|punto) |\.)"
+_IN_BRACKETS = r" ?[\[({{<] ?(?:{}) ?[\])}}>] ?"
+_AT_MARK, _DOT_MARK = _IN_BRACKETS.format(r"at|@|arroba|chez"), _IN_BRACKETS.format(r"dot|\.|punkt|point|punto")
+_AT = rf"(?:{_AT_MARK}| at | ?@ ?)"
+_DOT = rf"(?:{_DOT_MARK}| (?:dot|punkt|point|punto) |\.)"
 _ADDRESS = re.compile(
     rf"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,3}}?){_AT}"
     rf"(?P<domain>[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{0,4}}{_DOT}(?:{_TOP.replace(' ', '|')}))(?![A-Za-z0-9-]|\.[A-Za-z0-9])",
     re.I,
 )
+# Without words outside of brackets any top-level name will do.
+_MARKED_DOT = rf"(?:{_DOT_MARK}|\.)"
+_MARKED_ADDRESS = re.compile(
+    rf"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]{{1,64}}(?:{_MARKED_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,3}}?)(?:{_AT_MARK}| ?@ ?)"
+    rf"(?P<domain>[A-Za-z0-9-]{{1,63}}(?:{_MARKED_DOT}[A-Za-z0-9-]{{1,63}}){{0,4}}{_MARKED_DOT}(?:xn--[A-Za-z0-9-]{{1,59}}|[A-Za-z]{{2,63}}))"
+    r"(?![A-Za-z0-9-]|\.[A-Za-z0-9])",
+    re.I,
+)
+_MARK = re.compile(f"{_AT_MARK}|{_DOT_MARK}", re.I)
 _SIGN = re.compile(r"[\[({<] ?(?:at|@|arroba|chez|dot|\.|punkt|point|punto) ?[\])}>]|[^ ] @|@ [^ ]| (?:dot|punkt|point|punto) ", re.I)
+_BEYOND = re.compile("[^\x00-\x7e]")
 _PART = re.compile(rf"(?P<dot>{_DOT})|[\s\S]", re.I)
 
 
@@ -137,15 +153,26 @@ class Rewritten:
         return self.spans[start][0], self.spans[end - 1][1]
 
 
-def plain_letters(source: str, start: int) -> Rewritten:
+def plain_letters(source: str) -> Rewritten:
     """Homoglyphs and compatibility forms as ASCII, invisible signs left out."""
-    out, spans = [], []
-    for i, c in enumerate(source, start):
+    out: list[str] = []
+    spans: list[tuple[int, int]] = []
+    at = 0
+
+    def keep(start: int, end: int) -> None:
+        out.append(source[start:end])
+        spans.extend(zip(range(start, end), range(start + 1, end + 1)))
+
+    for m in _BEYOND.finditer(source):
+        i, c = m.start(), m[0]
+        keep(at, i)
+        at = i + 1
         if c in _INVISIBLE:
             continue
-        for x in _LOOKALIKES.get(c) or (c if c < "\x7f" else unicodedata.normalize("NFKC", c)):
+        for x in _LOOKALIKES.get(c) or unicodedata.normalize("NFKC", c):
             out.append(_LOOKALIKES.get(x, x))
-            spans.append((i, i + 1))
+            spans.append((i, at))
+    keep(at, len(source))
     return Rewritten("".join(out), spans)
 
 
@@ -201,39 +228,38 @@ def deobfuscated(text: str) -> Iterator[Rewritten]:
     plain = _piece(text, 0, len(text)) if len(text) < 4096 else None
     views: list[tuple[str, Rewritten | None]] = [(text, plain)]
     if not text.isascii() and _SUSPECT.search(text):
-        for lo, hi in _windows(_SUSPECT.finditer(text), 64, len(text)):
-            view = plain_letters(text[lo:hi], lo)
-            yield view
-            views.append((view.text, view))
+        view = plain_letters(text)
+        yield view
+        views.append((view.text, view))
     for body, view in views:
 
         def part(start: int, end: int, view: Rewritten | None = view) -> Rewritten:
             return _piece(text, start, end) if view is None else _sub(view, start, end)
 
-        flags = bytes(map(_DIGIT_WORDS.__contains__, body.lower().replace("-", " ").replace(",", " ").split()))
-        if b"\1\1\1" in flags:
+        # a run is at least nine words that are digits, whatever stands between them
+        folded = (body if body.isascii() else body.translate(_SAME_CASE)).lower()
+        if b"\1" * 9 in bytes(map(_DIGIT_WORDS.__contains__, _WORD.findall(folded))):
             for m in _DIGIT_RUN.finditer(body):
                 yield spelled_digits(part(*m.span()))
         for lo, hi in _windows(_SIGN.finditer(body), 320, len(body)):
             for m in _IP_RUN.finditer(body, lo, hi):
                 yield spoken_dots(part(*m.span()))
-            for m in _ADDRESS.finditer(body, lo, hi):
-                if _SIGN.search(m[0]):
+            spoken = (m for m in _ADDRESS.finditer(body, lo, hi) if _SIGN.search(m[0]))
+            marked = (m for m in _MARKED_ADDRESS.finditer(body, lo, hi) if _MARK.search(m[0]))
+            for found in (spoken, marked):
+                for m in found:
                     sign = part(m.end("local"), m.start("domain"))
                     one = Rewritten("@", [(sign.spans[0][0], sign.spans[-1][1])])
                     yield _joined(spoken_dots(part(*m.span("local"))), one, spoken_dots(part(*m.span("domain"))))
 
 
 def added(text: str, base: list[Span]) -> list[Span]:
-    """Spans found only in the rewritten text, mapped back; none overlaps its kind's base spans."""
-    taken = {k: [(s, e) for kind, s, e in base if kind == k] for k in KINDS}
+    """Spans found only in the rewritten text, mapped back; none is equal to or inside another of its kind."""
+    found = {(kind, *view.back(s, e)) for view in deobfuscated(text) for kind, s, e in find(view.text)}
     out: list[Span] = []
-    for view in deobfuscated(text):
-        for kind, s, e in find(view.text):
-            s, e = view.back(s, e)
-            if all(e <= a or b <= s for a, b in taken[kind]):
-                taken[kind].append((s, e))
-                out.append((kind, s, e))
+    for kind, s, e in sorted(found, key=lambda x: (x[1], -x[2])):
+        if not any(k == kind and a <= s and e <= b for k, a, b in [*base, *out]):
+            out.append((kind, s, e))
     return out
 
 
@@ -271,11 +297,11 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def redact(text: str, mark: str = "[{}]") -> str:
-    """``text`` with every span replaced by its kind (overlapping spans by the first)."""
+    """``text`` with every span replaced by its kind (overlapping spans as one, by the first)."""
     base = find(text)
     out, at = [], 0
     for kind, s, e in sorted(base + added(text, base), key=lambda x: (x[1], -x[2])):
         if s >= at:
             out += [text[at:s], mark.format(kind)]
-            at = e
+        at = max(at, e)
     return "".join([*out, text[at:]])
