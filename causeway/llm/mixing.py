@@ -1,17 +1,22 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 The documents of a source, in a seeded hash order, are cut into blocks of ``block_rows``.
-Target weights are whole units of 1/P (``P`` is the period; largest remainders round the
-weights given to it).  A source of weight w releases its j-th block at slot floor(j / w)
-with deadline ceil((j + 1) / w); in every slot the released block with the earliest
-deadline goes out.  On one stream this meets all deadlines, so after any t slots a source
-has had less than one block more or less than w * t.
-
-The schedule of such weights repeats after P slots, so only one period is laid out on the
-driver, and every document finds its slot by arithmetic.  When a source has no block left,
-a new phase starts with the weights of the others scaled up: nothing is dropped, and the
-bound holds inside each phase.  The driver sees counts of at most ``MAX_SOURCES`` sources;
-rarer ones are mixed as one pooled source.
+Weights that are given are taken as the exact fractions their decimals stand for; weights
+by size are whole units of 1/``PERIOD`` by largest remainders, at least one each.  A source
+of weight w releases its j-th block at slot floor(j / w) with deadline ceil((j + 1) / w); in
+every slot the released block with the earliest deadline goes out.  On one stream this meets
+all deadlines, so after any t slots a source has had less than one block more or less than
+w * t.
+
+The schedule repeats after as many slots as the weights' common denominator, so only one
+period is laid out on the driver (or the phase, if that is shorter), and every document finds
+its slot by arithmetic.  When a source has no block left, a new phase starts with the weights
+of the others scaled up: nothing is dropped, and the bound holds inside each phase.
+
+The driver lays out the ``MAX_SOURCES`` heaviest sources.  The others share a pool that weighs
+the sum of its members' weights and is scheduled as one source; inside it the members' blocks
+go out by the middles of their windows, (j + 1/2) / w, numbered on Spark.  A member of a share
+s of a pool of n is within 1/2 + s * n / 2 blocks of its share of the pool until one runs out.
 
 Ranks inside a source are found without bringing a source together: its rows are dealt by
 hash to sub-buckets of about ``SUB_ROWS``, counted, and ranked inside each sub-bucket on top
@@ -27,27 +32,45 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Mapping
+from fractions import Fraction
+from math import gcd, lcm
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import number_rows
+
 BLOCK_ROWS, PERIOD, MAX_SOURCES, SUB_ROWS = 16, 1000, 200, 1500
 TEMPERATURE = 0.7
 
 
 def units(weights: Mapping[str, float], period: int) -> dict[str, int]:
-    """Whole shares of ``period``, at least 1 each, by largest remainders."""
+    """Whole shares of ``period`` by largest remainders, at least 1 each."""
     total = sum(weights.values())
-    spare = period - len(weights)
-    exact = {k: spare * w / total for k, w in weights.items()}
-    out = {k: 1 + int(x) for k, x in exact.items()}
-    for k in sorted(exact, key=lambda k: (int(exact[k]) - exact[k], k))[: period - sum(out.values())]:
+    exact = {k: period * w / total for k, w in weights.items()}
+    out = {k: max(1, int(x)) for k, x in exact.items()}
+    for k in sorted(exact, key=lambda k: (out[k] - exact[k], k))[: max(0, period - sum(out.values()))]:
         out[k] += 1
+    # what the least ones got is taken where it is missed least
+    for _ in range(sum(out.values()) - period):
+        out[max((k for k in out if out[k] > 1), key=lambda k: (out[k] - exact[k], k))] -= 1
     return out
 
 
-def lay_out(shares: Mapping[str, int]) -> list[str]:
-    """The source of every slot of one period: earliest deadline first among released blocks."""
+def fractions(weights: Mapping[str, float | Fraction]) -> dict[str, int]:
+    """The least whole numbers that stand as the weights do, decimals taken at their word."""
+    exact = {k: Fraction(str(w)) for k, w in weights.items()}
+    scale = lcm(*(w.denominator for w in exact.values()))
+    whole = {k: int(w * scale) for k, w in exact.items()}
+    common = gcd(*whole.values())
+    return {k: n // common for k, n in whole.items()}
+
+
+def lay_out(shares: Mapping[str, int], left: Mapping[str, int] | None = None) -> list[str]:
+    """The source of every slot of one period: earliest deadline first among released blocks.
+
+    With ``left`` it ends before the first slot of a source that has no block left.
+    """
     period = sum(shares.values())
     waiting = [(0, k, 0) for k in sorted(shares)]  # (release, source, index of block)
     ready: list[tuple[int, str, int]] = []
@@ -58,28 +81,34 @@ def lay_out(shares: Mapping[str, int]) -> list[str]:
             _, k, j = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(j + 1) * period // shares[k]), k, j))
         _, k, j = heapq.heappop(ready)
+        if left is not None and j >= left[k]:
+            break
         slots.append(k)
         if j + 1 < shares[k]:
             heapq.heappush(waiting, ((j + 1) * period // shares[k], k, j + 1))
     return slots
 
 
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int = PERIOD) -> list[dict]:
+def phases(blocks: Mapping[str, int], weights: Mapping[str, float | Fraction], period: int | None = PERIOD) -> list[dict]:
     """Phases until all blocks are out: for each source its share, offsets in the period,
-    first block and number of blocks; ``start`` is the phase's first slot."""
+    first block and number of blocks; ``start`` is the phase's first slot.  Weights are
+    rounded to ``period``, or exact if it is None."""
     left = {k: n for k, n in blocks.items() if n > 0}
     used = dict.fromkeys(left, 0)
     out, start = [], 0
     while left:
-        shares = units({k: weights[k] for k in left}, max(period, 10 * len(left)))
-        slots = lay_out(shares)
+        now = {k: weights[k] for k in left}
+        shares = fractions(now) if period is None else units(now, max(period, 10 * len(left)))
+        total = sum(shares.values())
+        short = period is None and total > sum(left.values())
+        slots = lay_out(shares, left if short else None)
         at: dict[str, list[int]] = {k: [] for k in left}
         for t, k in enumerate(slots):
             at[k].append(t)
         # the phase ends where a source would need a block that it doesn't have
-        length = min(n // shares[k] * len(slots) + at[k][n % shares[k]] for k, n in left.items())
-        took = {k: length // len(slots) * shares[k] + sum(t < length % len(slots) for t in at[k]) for k in left}
-        out.append({"start": start, "period": len(slots), "at": at, "first": {k: used[k] for k in left}, "took": took})
+        length = len(slots) if short else min(n // shares[k] * total + at[k][n % shares[k]] for k, n in left.items())
+        took = {k: length // total * shares[k] + sum(t < length % total for t in at[k]) for k in left}
+        out.append({"start": start, "period": total, "share": shares, "at": at, "first": {k: used[k] for k in left}, "took": took})
         start += length
         used = {k: used[k] + took[k] for k in left}
         left = {k: n - took[k] for k, n in left.items() if n > took[k]}
@@ -93,7 +122,7 @@ def mix(
     """``row`` (a struct of all columns of ``docs``) with ``mix_source, phase, block, slot, position``.
 
     ``position`` orders the mixture.  Without ``weights`` a source of n documents weighs
-    n ** temperature.
+    n ** temperature in units of 1 / ``period``.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -102,34 +131,46 @@ def mix(
         F.xxhash64(docs["doc_id"].cast("string"), F.lit(seed)).alias("dice"),
     )
     counted = rows.groupBy("name").count()
-    top = counted.orderBy(F.desc("count"), "name").limit(MAX_SOURCES).collect()
-    total = {r["name"]: r["count"] for r in top}
-    if len(total) == MAX_SOURCES:
-        total["rest"] = counted.agg(F.sum("count")).head()[0] - sum(total.values())
-    if not any(total.values()):
-        schema = f"row {rows.schema['row'].dataType.simpleString()}, mix_source string, phase int, block long, slot long, position long"
-        return spark.createDataFrame([], schema)
     if weights is None:
-        target = {k: float(n) ** temperature for k, n in total.items() if n}
+        weighed = counted.withColumn("weight", F.pow("count", F.lit(temperature)))
     else:
-        given = {"null" if k is None else f"s:{k}": float(w) for k, w in weights.items()}
-        least = min([w for w in given.values() if w > 0], default=1.0)
-        target = {k: given[k] if given.get(k, 0) > 0 else least for k in total}
+        given = {"null" if k is None else f"s:{k}": float(w) for k, w in weights.items() if float(w) > 0}
+        least = min(given.values(), default=1.0)
+        known = spark.createDataFrame(list(given.items()), "name string, weight double")
+        weighed = counted.join(known, "name", "left").withColumn("weight", F.coalesce("weight", F.lit(least)))
+    top = weighed.orderBy(F.desc("weight"), F.desc("count"), "name").limit(MAX_SOURCES + 1).collect()
+    if not top:
+        schema = f"row {rows.schema['row'].dataType.simpleString()}, mix_source string, phase int, block long, slot long, position long"
+        return spark.createDataFrame([], schema)
+    pooled, top = len(top) > MAX_SOURCES, top[:MAX_SOURCES]
+    total = {r["name"]: r["count"] for r in top}
     blocks = {k: -(-n // block_rows) for k, n in total.items()}
-    plan = phases(blocks, target, period)
+    target = {r["name"]: r["weight"] if weights is None else Fraction(str(r["weight"])) for r in top}
+    subs_of = F.ceil(F.col("count") / SUB_ROWS).cast("long")
+    if pooled:
+        members = weighed.where(~F.col("name").isin(list(total)))
+        pool = members.select("name", "weight", F.ceil(F.col("count") / block_rows).cast("long").alias("blocks"), subs_of.alias("subs"))
+        if weights is None:
+            sums = pool.agg(F.sum("weight"), F.sum("blocks")).head()
+            target["rest"], blocks["rest"] = sums[0], sums[1]
+        else:
+            sums = pool.groupBy("weight").agg(F.count(F.lit(1)), F.sum("blocks")).collect()
+            target["rest"], blocks["rest"] = sum(Fraction(str(r[0])) * r[1] for r in sums), sum(r[2] for r in sums)
+    plan = phases(blocks, target, period if weights is None else None)
     spans = [
         (k, i, p["start"], p["period"], p["first"][k], p["took"][k], p["at"][k])
         for i, p in enumerate(plan) for k in p["at"] if p["took"][k]
     ]
     spans_df = spark.createDataFrame(
-        spans, "mix_source string, phase int, start long, period long, first long, took long, at array<int>"
+        spans, "track string, phase int, start long, period long, first long, took long, at array<int>"
     )
-    sizes = spark.createDataFrame([(k, -(-n // SUB_ROWS)) for k, n in total.items() if n], "mix_source string, subs long")
+    sizes = spark.createDataFrame([(k, -(-n // SUB_ROWS)) for k, n in total.items()], "name string, subs long")
 
-    known = F.array(*[F.lit(k) for k in total])
-    named = rows.withColumn("mix_source", F.when(F.array_contains(known, F.col("name")), F.col("name")).otherwise("rest"))
-    # both tables have at most MAX_SOURCES + 1 sources, spans at most period slots for each phase
-    dealt = named.join(F.broadcast(sizes), "mix_source").withColumn("sub", F.pmod(F.xxhash64("dice"), F.col("subs")))
+    # the tables of the top have at most MAX_SOURCES + 1 sources, spans a period's slots for each phase
+    sized = rows.join(F.broadcast(sizes), "name")
+    if pooled:
+        sized = sized.unionByName(rows.join(pool.select("name", "subs"), "name"))
+    dealt = sized.withColumnRenamed("name", "mix_source").withColumn("sub", F.pmod(F.xxhash64("dice"), F.col("subs")))
     subs = dealt.groupBy("mix_source", "sub").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("mix_source").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = subs.select("mix_source", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -137,9 +178,17 @@ def mix(
     ranked = dealt.withColumn("rank", F.row_number().over(inside)).join(offsets, ["mix_source", "sub"])
     place = F.col("offset") + F.col("rank") - 1
     blocked = ranked.withColumn("block", F.floor(place / block_rows).cast("long")).withColumn("within", place % block_rows)
-    there = (F.col("block") >= F.col("first")) & (F.col("block") < F.col("first") + F.col("took"))
-    out = blocked.join(F.broadcast(spans_df), "mix_source").where(there)
-    j = F.col("block") - F.col("first")
+    blocked = blocked.withColumn("track", F.col("mix_source")).withColumn("turn", F.col("block"))
+    if pooled:
+        each = pool.select("name", "weight", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        middle = each.withColumn("middle", (F.col("block") + 0.5) / F.col("weight"))
+        turns = number_rows(middle, ["middle", "name", "block"]).select(F.col("name").alias("mix_source"), "block", (F.col("n") - 1).alias("turn"))
+        own = F.col("mix_source").isin(list(total))
+        inner = blocked.where(~own).drop("turn").join(turns, ["mix_source", "block"]).withColumn("track", F.lit("rest"))
+        blocked = blocked.where(own).unionByName(inner)
+    there = (F.col("turn") >= F.col("first")) & (F.col("turn") < F.col("first") + F.col("took"))
+    out = blocked.join(F.broadcast(spans_df), "track").where(there)
+    j = F.col("turn") - F.col("first")
     share = F.size("at")
     slot = F.col("start") + F.floor(j / share) * F.col("period") + F.element_at("at", (j % share + 1).cast("int"))
     return out.withColumn("slot", slot.cast("long")).select(
