@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut
 
+LAYERS_HELD = 64
+
 
 def invert(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"))
@@ -126,24 +130,25 @@ def toposort(nodes: DataFrame, edges: DataFrame, key: Column | None = None, reve
     return lists.join(links, "graph_id", "left").select("graph_id", "nodes", "links").mapInPandas(task, "graph_id bigint, id bigint, pos bigint")
 
 
-def layers(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, layer`` of a large graph: the longest path that leads to a node.
 
     Ordering by (layer, id) is a topological order, dependents first, though not the one of
-    :func:`toposort`.  Nodes on cycles, or behind one, are left out.
+    :func:`toposort`.  Nodes on cycles, or behind one, are left out.  It takes a round for
+    every layer, as many as there are.
     """
     links = edges.where("src_id <> dst_id").join(nodes.select(F.col("id").alias("src_id")), "src_id", "left_semi")
     links = cut(links.join(nodes.select(F.col("id").alias("dst_id")), "dst_id", "left_semi").select("src_id", "dst_id").distinct(), "links")
     left = cut(nodes.select("id").distinct(), "left")
-    parts = []
-    for layer in range(max_rounds):
+    out = left.withColumn("layer", F.lit(0)).limit(0)
+    parts: list[DataFrame] = []
+    for layer in itertools.count():
         top = cut(left.join(links.select(F.col("dst_id").alias("id")), "id", "left_anti"), "layer")
         if top.isEmpty():
             break
         parts.append(top.withColumn("layer", F.lit(layer)))
         left = cut(left.join(top, "id", "left_anti"), "left")
         links = cut(links.join(top.select(F.col("id").alias("src_id")), "src_id", "left_anti"), "links")
-    out = parts[0] if parts else left.withColumn("layer", F.lit(0)).limit(0)
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        if len(parts) == LAYERS_HELD:  # a plan of thousands of tables can't be compiled
+            out, parts = cut(reduce(DataFrame.unionAll, parts, out), "layers"), []
+    return reduce(DataFrame.unionAll, parts, out)
