@@ -33,12 +33,3 @@ def duck():
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.sql(f"create view {t} as from '{SF}/{t}.parquet'")
     return con
-
-
-def same(df, found) -> bool:
-    """Rows of a DataFrame and of a DuckDB relation, columns by name, in any order."""
-    def rows(data, cols):
-        at = sorted(range(len(cols)), key=lambda i: cols[i])
-        return sorted(tuple(str(r[i]) for i in at) for r in data)
-
-    return sorted(df.columns) == sorted(found.columns) and rows(df.collect(), df.columns) == rows(found.fetchall(), found.columns)

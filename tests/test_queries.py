@@ -1,7 +1,7 @@
 """Every registered query of the graph engine against its SQL."""
 
 import pytest
-from conftest import same
+from query_compare import same
 
 from causeway.plans import catalog
 
