@@ -7,8 +7,9 @@ scores rank -- and byte fallback.  Executors encode batches of whole texts on th
 library's threads.
 
 If no piece holds the marker after another character, no merge or piece can cross the
-start of a marked word.  Texts are then cut there, which changes no result, and a task
-has each distinct word coded once; otherwise texts are encoded in one go.
+start of a marked word.  Texts are then cut there, which changes no result, and a worker
+codes a word that it has met lately once only; otherwise texts are encoded in one go.  What
+a worker builds from the model file stays with it from task to task.
 
 Defined results: null is encoded as the empty text (no ids).  Special pieces (control,
 unknown) written out in a text are ordinary text.  Extra columns are ignored.
@@ -19,11 +20,12 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .subword import groups
@@ -157,78 +159,114 @@ def load(path: str):
         return build(parse(f.read()))
 
 
-_loaded: dict[str, object] = {}
+#: What a worker process has built from a model, kept from task to task.
+_loaded: dict[tuple, object] = {}
 
 
 def _tokenizer(path: str):
-    if path not in _loaded:
-        _loaded[path] = load(path)
-    return _loaded[path]
+    if ("whole", path) not in _loaded:
+        _loaded["whole", path] = load(path)
+    return _loaded["whole", path]
+
+
+def _coder(path: str, parity: bool):
+    """The function that codes texts, and with ``parity`` compares them with the library."""
+    if ("code", path, parity) not in _loaded:
+        with open(path, "rb") as f:
+            by_word = cuts(parse(f.read()))
+        checks = None
+        if parity:
+            import sentencepiece
+
+            checks = sentencepiece.SentencePieceProcessor(model_file=path)
+        _loaded["code", path, parity] = WordCoder(path, checks).code if by_word else lambda texts: _whole(_tokenizer(path), checks, texts)
+    return _loaded["code", path, parity]
 
 
 class WordCoder:
     """Codes marked words, each distinct one once, and joins their ids to texts' ids.
 
     For tokenizers that cut at marked words (``cuts``).  ``checks`` is a sentencepiece
-    processor to compare every distinct word with, or None.  Words are forgotten once
-    ``limit`` are held, so memory does not follow the vocabulary of the corpus.
+    processor to compare every distinct word with, or None.  Once ``limit`` words are held,
+    those seen once since the last time are forgotten, and of the others at most the half
+    of ``limit`` seen most stays, so memory does not follow the vocabulary of the corpus.
     """
 
-    def __init__(self, path: str, checks=None, limit: int = 100_000):
+    def __init__(self, path: str, checks=None, limit: int = 160_000):
         with open(path, "rb") as f:
             self.model = parse(f.read())
         self.words = build(self.model)
-        del self.model["pieces"]
+        # what a piece says; those that stand for bytes or for nothing are left to the decoder
+        self.said = [t if kind in (NORMAL, USER_DEFINED) else None for t, _, kind in self.model.pop("pieces")]
         self.normalise = self.words.normalizer.normalize_str
         self.decode = self.words.decode_batch
         self.words.normalizer = self.words.pre_tokenizer = None
         self.checks, self.limit = checks, limit
         self.plain = not self.model["charsmap"] and not self.model["squeeze"] and self.model["dummy_prefix"] and self.model["escape"]
         self.find = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
-        self._reset()
-
-    def _reset(self) -> None:
         self.at: dict[str, int] = {}
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.start = self.length = self.seen = np.zeros(0, np.int64)
         self.pool, self.back, self.same = np.zeros(0, np.int32), np.zeros(0, bool), np.zeros(0, bool)
 
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.seen > 1)
+        if len(keep) > self.limit // 2:
+            keep = np.sort(keep[np.argpartition(-self.seen[keep], self.limit // 2)[: self.limit // 2]])
+        words = list(self.at)
+        self.at = {words[i]: n for n, i in enumerate(keep.tolist())}
+        length = self.length[keep]
+        ends = np.cumsum(length)
+        self.pool = self.pool[np.repeat(self.start[keep] - (ends - length), length) + np.arange(length.sum())]
+        self.start, self.length, self.seen = ends - length, length, np.zeros(len(keep), np.int64)
+        self.back, self.same = self.back[keep], self.same[keep]
+
     def _learn(self, new: list[str]) -> None:
         ids = [e.ids for e in self.words.encode_batch_fast(new, add_special_tokens=False)]
-        spaced = [w.replace(MARK, " ") for w in new]
         cut = self.model["dummy_prefix"]
-        # decoding drops the space of the dummy prefix, so it is given one more to drop
-        first = [self.words.token_to_id(MARK)] if cut else []
-        back = self.decode([first + i for i in ids], skip_special_tokens=False)
+        # joined pieces that give the word are what the decoder would give
+        said, back = self.said, []
+        for w, i in zip(new, ids):
+            try:
+                back.append("".join([said[x] for x in i]) == w)
+            except TypeError:  # a piece that only the decoder can say
+                back.append(None)
+        if left := [n for n, ok in enumerate(back) if not ok]:
+            # decoding drops the space of the dummy prefix, so it is given one more to drop
+            first = [self.words.token_to_id(MARK)] if cut else []
+            for n, text in zip(left, self.decode([first + ids[n] for n in left], skip_special_tokens=False)):
+                back[n] = text == new[n].replace(MARK, " ")
         same = [True] * len(new)
         if self.checks is not None:
+            spaced = [w.replace(MARK, " ") for w in new]
             theirs = self.checks.encode([x[1:] if cut and x[0] == " " else x for x in spaced], num_threads=1)
             lone = [self.checks.piece_to_id(MARK)]  # a lone space can't be given without its prefix
             same = [x == (lone if w == MARK and cut else y) for w, x, y in zip(new, ids, theirs)]
-        length = np.array([len(i) for i in ids], np.int64)
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
         self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
-        self.pool = np.concatenate([self.pool, np.array([x for i in ids for x in i], np.int32)])
-        self.back = np.concatenate([self.back, np.array([x == y for x, y in zip(back, spaced)], bool)])
+        self.seen = np.concatenate([self.seen, np.zeros(len(ids), np.int64)])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.int32, int(length.sum()))])
+        self.back = np.concatenate([self.back, np.array(back, bool)])
         self.same = np.concatenate([self.same, np.array(same, bool)])
 
     def code(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All ids, and for each text their number, round trip and parity."""
         if len(self.at) > self.limit:
-            self._reset()
-        at, places, counts, new = self.at, [], [], []
+            self._forget()
+        words: list[str] = []
+        counts = []
         for t in texts:
-            marked = (" " + t).replace(" ", MARK) if self.plain else self.normalise(t)
-            words = self.find(marked) if t or not self.plain else []
-            for w in words:
-                i = at.get(w)
-                if i is None:
-                    i = at[w] = len(at)
-                    new.append(w)
-                places.append(i)
-            counts.append(len(words))
+            before = len(words)
+            if t or not self.plain:
+                words += self.find((" " + t).replace(" ", MARK) if self.plain else self.normalise(t))
+            counts.append(len(words) - before)
+        at = self.at
+        new = list(dict.fromkeys(filterfalse(at.__contains__, words)))
+        at.update(zip(new, range(len(at), len(at) + len(new))))
         for i in range(0, len(new), 20_000):
             self._learn(new[i : i + 20_000])
-        idx = np.array(places, np.int64)
+        idx = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+        self.seen += np.bincount(idx, minlength=len(self.seen))
         length = self.length[idx]
         ends = np.cumsum(length)
         ids = self.pool[np.repeat(self.start[idx] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
@@ -256,40 +294,41 @@ def _whole(tok, checks, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.nd
 def _code(batches: Iterator[pa.RecordBatch], path: str, parity: bool, step: int) -> Iterator[pa.RecordBatch]:
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
     os.environ.setdefault("RAYON_NUM_THREADS", "2")  # each thread has a memory pool of its own
-    with open(path, "rb") as f:
-        by_word = cuts(parse(f.read()))
-    checks = None
-    if parity:
-        import sentencepiece
-
-        checks = sentencepiece.SentencePieceProcessor(model_file=path)
-    code = WordCoder(path, checks).code if by_word else lambda texts: _whole(_tokenizer(path), checks, texts)
+    code = _coder(path, parity)
     for batch in batches:
+        names = batch.schema.names
         at = 0
-        for held in groups(batch.column(1), step):  # a bounded amount of text at a time
+        for held in groups(batch.column("text"), step):  # a bounded amount of text at a time
             texts = [(t or "").encode("utf-8", "replace").decode("utf-8") for t in held]
             ids, n, back, same = code(texts)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids, pa.int32()))
             shown = pa.array(same) if parity else pa.nulls(len(texts), pa.bool_())
+            passed = [(c, batch.column(c).slice(at, len(texts))) for c in names if c != "text"]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, len(texts)), lists, pa.array(n, pa.int64()), pa.array(back), shown],
-                names=["doc_id", "ids", "n_tokens", "round_trip", "parity"],
+                [*(x for _, x in passed), lists, pa.array(n, pa.int64()), pa.array(back), shown],
+                names=[*(c for c, _ in passed), "ids", "n_tokens", "round_trip", "parity"],
             )
             at += len(texts)
 
 
-def encode(docs: DataFrame, model_path: str = MODEL, parity: bool = False, step: int = 1 << 20) -> DataFrame:
-    """``doc_id, ids, n_tokens, round_trip, parity`` of every whole text.
+def encode(docs: DataFrame, model_path: str = MODEL, parity: bool = False, step: int = 1 << 20, carry: Mapping[str, Column] | None = None) -> DataFrame:
+    """``doc_id``, the columns of ``carry``, and ``ids, n_tokens, round_trip, parity`` of every whole text.
 
     ``round_trip``: decoding the ids gives the text back (a model that normalises or
     squeezes spaces loses what it normalises).  ``parity``: the ids of every word (of the
-    text, if that isn't cut) equal those of the sentencepiece library; null unless asked for.  The model file must be readable under
-    ``model_path`` on every executor.
+    text, if that isn't cut) equal those of the sentencepiece library; null unless asked
+    for.  ``carry`` has further columns of ``docs`` by the name they get, none of which may
+    be a name of this table.  The model file must be readable under ``model_path`` on every
+    executor.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    carry = carry or {}
+    if taken := {"text", "doc_id", "ids", "n_tokens", "round_trip", "parity"} & set(carry):
+        raise ValueError(f"columns to carry have names of this table: {sorted(taken)}")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(name) for name, c in carry.items()], "text")
+    passed = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:-1])
     return rows.mapInArrow(
         lambda it: _code(it, model_path, parity, step),
-        "doc_id long, ids array<int>, n_tokens long, round_trip boolean, parity boolean",
+        f"doc_id long, {passed}ids array<int>, n_tokens long, round_trip boolean, parity boolean",
     )
 
 
