@@ -203,14 +203,6 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
-def test_html_wrapper_expression():
-    w = html_extract.infer(["<ul><li>a</ul><p>same</p>", "<ul><li>b<li>c</ul><hr><p>same</p>"])
-    assert html_extract.expression(w) == '<#page><ul>(<li>#TEXT</li>)+</ul>(<hr></hr>)?<p>"same"</p></#page>'
-    for html in ("<div " * 20_000, "<b>" * 20_000, "<!--" * 20_000, "<" * 50_000, "<p><b>" * 5_000):
-        html_extract.main_text(html)
-        html_extract.infer([html, html])
-
-
 def test_topk(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(300, 8)).astype(np.float32)
