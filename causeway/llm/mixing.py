@@ -35,12 +35,13 @@ from collections.abc import Mapping
 from fractions import Fraction
 from math import gcd, lcm
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import number_rows
 
-BLOCK_ROWS, PERIOD, MAX_SOURCES, SUB_ROWS = 16, 1000, 200, 1500
+BLOCK_ROWS, PERIOD, MAX_SOURCES, SUB_ROWS = 16, 1000, 512, 1500
 TEMPERATURE = 0.7
 
 
@@ -197,12 +198,26 @@ def mix(
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
-    """The columns of ``docs``, written in the order of the mixture."""
+    """The columns of ``docs`` in the order of the mixture: written as files, the files are
+    numbered and filled in that order.  :func:`places` reads it from such files."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = mix(docs, weights).select("row", "position").repartitionByRange(parts, "position").sortWithinPartitions("position")
     return placed.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
+def places(docs: DataFrame) -> dict[str, Column]:
+    """``mix_part`` and ``mix_row``, whose order is that of the mixture, of a table that
+    :func:`mixed` gave and that was written and read again; readers deal files in another
+    order than they were written in.  Nulls if ``docs`` is not read from files."""
+    number = lambda pattern: F.regexp_extract("_metadata.file_name", pattern, 1).cast("long")
+    found = {"mix_part": number(r"^part-(\d+)") * 1000 + F.coalesce(number(r"-c(\d+)"), F.lit(0)), "mix_row": F.col("_metadata.row_index")}
+    try:
+        docs.select(*found.values())
+    except AnalysisException:
+        return {name: F.lit(None).cast("long") for name in found}
+    return found
+
+
 def op2_query(docs: DataFrame) -> DataFrame:
     placed = mix(docs.select("doc_id", "source"))
     return placed.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "phase", "block", "slot", "position")

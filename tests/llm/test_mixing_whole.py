@@ -47,3 +47,18 @@ def test_pooled_sources_keep_their_weights(docs_of, monkeypatch, given):
     for t, (_, k) in enumerate(first, 1):
         seen[k] += 1
         assert all(abs(seen[s] - t * share[s]) < 2 for s in share)
+
+
+def test_three_hundred_sources_keep_their_weights(docs_of):
+    """All of them are laid out one by one, within a block of the weights given."""
+    names = [f"s{i:03}" for i in range(300)]
+    weights = {s: 1 + i % 7 for i, s in enumerate(names)}
+    rows = [(1000 * i + n, "t", "en", s) for i, s in enumerate(names) for n in range(weights[s] * 3)]
+    placed = mixing.mix(docs_of(rows), weights, block_rows=1).collect()
+    assert len(placed) == len(rows)
+    order = [r.mix_source[2:] for r in sorted(placed, key=lambda r: r.position)]
+    total, seen = sum(weights.values()), dict.fromkeys(names, 0)
+    for t, s in enumerate(order, 1):
+        seen[s] += 1
+        if t % 11 == 0:
+            assert all(abs(seen[k] - Fraction(t * w, total)) < 1 for k, w in weights.items())
