@@ -6,29 +6,32 @@ its languages vote with their margins.  Features are hashed words and character
 of the lower-cased letter runs, averaged over the document, so each machine folds into a
 number a bucket and scoring is a sum over words.
 
-Machines are trained by subgradient descent on the hinge loss (numpy, AdaGrad steps), in
-one task, on a sample of about ``PER_LANGUAGE`` documents of each of the ``LANGUAGES``
-commonest languages (expected size; chosen by a hash of ``doc_id``).  Rows with null
-lang, text or doc_id teach nothing.  lang, source and doc_id are no inputs.
+Machines are trained by subgradient descent on the hinge loss (numpy, AdaGrad steps), each
+in a group of its own, on a sample of about ``PER_LANGUAGE`` documents of every language
+(expected size; chosen by a hash of ``doc_id``), of which a family's machine takes about
+``OTHERS`` of the other families.  Tasks turn the sample into features before it is dealt
+to machines, so no whole text is.  Rows with null lang, text or doc_id teach nothing.
+lang, source and doc_id are no inputs.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter, and for
-all texts if nothing could be learned; a null ``doc_id`` is not held out.
+all texts if nothing could be learned; with one language learned, all texts with a letter
+are of it, with score 1; a null ``doc_id`` is not held out.
 """
 
 from __future__ import annotations
 
-import io
-import json
 import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .subword import WordScores, document_features, fit_in_one_task, groups, remainder, share
+from .common import cut, drop
+from .subword import WordScores, document_features, groups, remainder, share
 
 # Families of languages by their two-letter codes.
 FAMILIES = {
@@ -45,7 +48,7 @@ FAMILIES = {
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
 BUCKETS, LO, HI = 1 << 16, 1, 3
-PER_LANGUAGE, LANGUAGES, EPOCHS, RATE, DECAY = 700, 64, 8, 0.5, 1e-5
+PER_LANGUAGE, OTHERS, EPOCHS, RATE, DECAY = 700, 4_000, 8, 0.5, 1e-5
 FOLDS, HELD_OUT = 4, 2
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -74,32 +77,34 @@ def machine(data: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, rng: np
     return w, bias
 
 
-def train(rows: list[tuple[str, str]], seed: int = 1) -> dict:
-    """Machines from (text, lang) rows: table (BUCKETS, m), biases and what each separates."""
-    rng = np.random.default_rng(seed)
-    data, langs = [], []
-    for text, lang in rows:
-        words = _LETTERS.findall((text or "").lower())
-        if words:
-            at, times = document_features(words, LO, HI, BUCKETS)
-            data.append((at, (times / times.sum()).astype(np.float64)))
-            langs.append(lang)
+def plan(langs: list[str]) -> tuple[dict[str, list[str]], list[tuple[str, str, str]]]:
+    """The families of some languages, and the machines: ("family", f, "") or ("pair", a, b)."""
     families: dict[str, list[str]] = {}
     for x in sorted(set(langs)):
         families.setdefault(family(x), []).append(x)
-    heads, tables, biases = [], [], []
-    fam = np.array([family(x) for x in langs])
-    lang_array = np.array(langs)
-    jobs = [("family", f, "") for f in families] if len(families) > 1 else []
-    jobs += [("pair", a, b) for own in families.values() for a, b in combinations(own, 2)]
-    for kind, a, b in jobs:
-        rows_at = np.arange(len(data)) if kind == "family" else np.flatnonzero((lang_array == a) | (lang_array == b))
-        sign = np.where((fam if kind == "family" else lang_array)[rows_at] == a, 1.0, -1.0)
-        w, bias = machine([data[i] for i in rows_at], sign, rng)
-        heads.append((kind, a, b))
-        tables.append(w)
-        biases.append(bias)
-    return {"heads": heads, "families": families, "table": np.array(tables, np.float32).reshape(-1, BUCKETS).T, "bias": np.array(biases)}
+    heads = [("family", f, "") for f in families] if len(families) > 1 else []
+    return families, heads + [("pair", a, b) for own in families.values() for a, b in combinations(own, 2)]
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows: list[list] = [[], [], [], []]
+        for doc_id, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            words = _LETTERS.findall((text.as_py() or "").lower())
+            if words:
+                at, times = document_features(words, LO, HI, BUCKETS)
+                for c, v in zip(rows, (doc_id, lang, at.astype(np.int32).tobytes(), (times / times.sum()).astype(np.float32).tobytes())):
+                    c.append(v)
+        types = (pa.int64(), pa.string(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=["doc_id", "lang", "at", "x"])
+
+
+def _train(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """One machine, its examples in a fixed order."""
+    rows = rows.sort_values(["doc_id", "lang", "at", "x"], kind="stable")
+    data = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32).astype(np.float64)) for a, x in zip(rows["at"], rows["x"])]
+    w, bias = machine(data, rows["sign"].to_numpy(np.float64), np.random.default_rng([1, int(key[0])]))
+    return pd.DataFrame({"head": [key[0]], "w": [w.astype(np.float32).tobytes()], "bias": [bias]})
 
 
 def decide(model: dict, margins: np.ndarray) -> tuple[str, float]:
@@ -126,25 +131,38 @@ def decide(model: dict, margins: np.ndarray) -> tuple[str, float]:
     return lang, float(score)
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> dict:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, others: int = OTHERS) -> dict:
+    """Machines for every language that has usable rows: table (BUCKETS, m), biases and what
+    each separates.  The driver holds a number for each language and the machines."""
+    spark = docs.sparkSession
     usable = docs.where("lang is not null and text is not null and doc_id is not null")
-    usable = usable.where(remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
-    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not common:
-        return {"heads": [], "families": {}, "table": np.zeros((BUCKETS, 0), np.float32), "bias": np.zeros(0)}
-    fraction = F.create_map(*[F.lit(v) for r in common for v in (r["lang"], per_language / r["count"])])
-    chosen = usable.where(share(F.col("doc_id"), F.coalesce(fraction[F.col("lang")], F.lit(0.0))))
-    rows = chosen.select("text", "lang", F.col("doc_id").cast("long"))
-
-    def run(held: list[tuple]) -> bytes:
-        model = train([r[:2] for r in sorted(held, key=lambda r: (r[2], r[1], r[0]))])
-        out = io.BytesIO()
-        np.savez(out, table=model["table"], bias=model["bias"], about=json.dumps([model["heads"], model["families"]]))
-        return out.getvalue()
-
-    got = np.load(io.BytesIO(fit_in_one_task(rows, run)))
-    heads, families = json.loads(str(got["about"]))
-    return {"heads": heads, "families": families, "table": got["table"], "bias": got["bias"]}
+    usable = usable.where(remainder(F.col("doc_id"), FOLDS) != HELD_OUT).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    usable = usable.where(F.col("text").rlike(r"\p{L}"))
+    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    families, heads = plan(list(sizes))
+    model = {"heads": heads, "families": families, "table": np.zeros((BUCKETS, len(heads)), np.float32), "bias": np.zeros(len(heads))}
+    if not heads:
+        return model
+    taken = {x: min(n, per_language) for x, n in sizes.items()}
+    deals = []
+    for i, (kind, a, b) in enumerate(heads):
+        if kind == "pair":
+            deals += [(a, i, 1.0, 1.0), (b, i, -1.0, 1.0)]
+            continue
+        own = set(families[a])
+        share_of = others / max(1, sum(n for x, n in taken.items() if x not in own))
+        deals += [(x, i, 1.0, 1.0) if x in own else (x, i, -1.0, share_of) for x in sizes]
+    each = spark.createDataFrame([(x, per_language / n) for x, n in sizes.items()], "lang string, part double")
+    chosen = usable.join(F.broadcast(each), "lang").where(share(F.col("doc_id"), F.col("part")))
+    features = cut(chosen.select("doc_id", "lang", "text").mapInArrow(_features, "doc_id long, lang string, at binary, x binary"), "language-sample")
+    # a row for each language and machine, whatever the number of documents
+    dealt = features.join(F.broadcast(spark.createDataFrame(deals, "lang string, head int, sign double, part double")), "lang")
+    dealt = dealt.where(share(F.struct("doc_id", "head"), F.col("part"))).select("head", "doc_id", "lang", "at", "x", "sign")
+    for r in dealt.groupBy("head").applyInPandas(_train, "head int, w binary, bias double").collect():
+        model["table"][:, r["head"]] = np.frombuffer(r["w"], np.float32)
+        model["bias"][r["head"]] = r["bias"]
+    drop(features)
+    return model
 
 
 def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:

@@ -63,7 +63,9 @@ class WordScores:
     """
 
     def __init__(self, table: np.ndarray, lo: int, hi: int, limit: int = 400_000):
-        self.table, self.lo, self.hi, self.limit = table.astype(np.float64), lo, hi, limit
+        self.table, self.lo, self.hi = table, lo, hi
+        # numbers held and worked on at a time, for one score or for hundreds
+        self.limit, self.step = min(limit, 2_000_000 // (table.shape[1] + 1)), max(100, 100_000 // (table.shape[1] + 4))
         self._forget()
 
     def _forget(self) -> None:
@@ -72,9 +74,9 @@ class WordScores:
 
     def _learn(self, words: list[str]) -> None:
         got = []
-        for i in range(0, len(words), 20_000):
-            ids, n = word_features(words[i : i + 20_000], self.lo, self.hi, len(self.table))
-            sums = np.add.reduceat(self.table[ids], np.cumsum(n) - n, axis=0)
+        for i in range(0, len(words), self.step):
+            ids, n = word_features(words[i : i + self.step], self.lo, self.hi, len(self.table))
+            sums = np.add.reduceat(self.table[ids].astype(np.float64), np.cumsum(n) - n, axis=0)
             got.append(np.concatenate([sums, n[:, None]], axis=1))
         self.rows = np.concatenate([self.rows, *got])
 
