@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from hashlib import blake2b
+from itertools import filterfalse
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -53,13 +55,6 @@ def remove(spark: SparkSession, path: str) -> None:
 
 # --- hashing ---------------------------------------------------------------
 
-#: The separators of words: space and \t \n \v \f \r.
-_SEP = np.zeros(256, bool)
-_SEP[[32, 9, 10, 11, 12, 13]] = True
-_B = 0x9E3779B97F4A7C15 | 1
-_C = 0xD6E8FEB86659FD93 | 1
-
-
 class _Powers:
     """Powers of an odd base modulo 2**64 and of its inverse, grown as needed."""
 
@@ -75,7 +70,8 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_bytes, _words = _Powers(_B), _Powers(_C)
+#: A base for each of the two hashes of a window.
+_BASES = _Powers(0x9E3779B97F4A7C15 | 1), _Powers(0xD6E8FEB86659FD93 | 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,40 +83,70 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Byte offsets [start, end) of the words ``[^\\x20\\x09-\\x0D]+``."""
-    sep = np.ones(len(text) + 2, bool)
-    sep[1:-1] = _SEP[np.frombuffer(text, np.uint8)]
-    edge = np.flatnonzero(sep[1:] != sep[:-1])
-    return edge[0::2], edge[1::2]
+class _Digests:
+    """BLAKE2b digests of words, as two 64-bit numbers; a worker keeps those met lately."""
+
+    def __init__(self, limit: int = 200_000):
+        self.limit, self.at = limit, {}
+        self.table = np.zeros((2, 0), np.uint64)
+
+    def get(self, words: list[bytes]) -> np.ndarray:
+        """An array (2, number of words)."""
+        if len(self.at) > self.limit:
+            self.at, self.table = {}, np.zeros((2, 0), np.uint64)
+        at = self.at
+        if new := list(dict.fromkeys(filterfalse(at.__contains__, words))):
+            at.update(zip(new, range(len(at), len(at) + len(new))))
+            digests = b"".join([blake2b(w, digest_size=16).digest() for w in new])
+            fresh = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
+            n = len(at)
+            if n > self.table.shape[1]:
+                self.table = np.concatenate([self.table, np.zeros((2, max(n, 4096)), np.uint64)], axis=1)
+            self.table[:, n - len(new) : n] = fresh
+        return self.table[:, np.fromiter(map(at.__getitem__, words), np.int64, len(words))]
+
+
+_digests = _Digests()
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """One 64-bit polynomial hash for every word of ``text``."""
-    start, end = word_spans(text)
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    up, down = _bytes.get(len(text) + 1)
-    total = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum((np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    """Two independent 64-bit hashes (2, n) of the words ``[^\\x20\\x09-\\x0D]+`` of ``text``."""
+    return _digests.get(text.split())
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Rabin-Karp hash of every run of ``k`` word hashes, by prefix sums."""
-    n = len(words) - k + 1
+    """Two Rabin-Karp hashes (2, m) of every run of ``k`` words, by prefix sums, from theirs.
+
+    Together they identify a run by 128 bits.  As words enter by a cryptographic digest, no
+    pattern of characters makes them equal (patterns of thousands of words could, so ``k``
+    should stay below 1,000).
+    """
+    n = words.shape[1] - k + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
-    up, down = _words.get(len(words) + 1)
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[:-1], out=total[1:])
-    return mix((total[k:] - total[:n]) * down[:n] + np.uint64(k))
+        return np.zeros((2, 0), np.uint64)
+    out = np.empty((2, n), np.uint64)
+    for lane, base in enumerate(_BASES):
+        up, down = base.get(words.shape[1] + 1)
+        total = np.zeros(words.shape[1] + 1, np.uint64)
+        np.cumsum(words[lane] * up[:-1], out=total[1:])
+        out[lane] = mix((total[k:] - total[:n]) * down[:n] + np.uint64(k))
+    return out
+
+
+def folded(pair: np.ndarray) -> np.ndarray:
+    """One 64-bit number for two."""
+    return mix(pair[0] ^ mix(pair[1] + np.uint64(1)))
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the ``k``-word shingles of lower-cased (A-Z) ``text``.
+def shingle_set(text: str | None, k: int) -> tuple[np.ndarray, bytes]:
+    """Sorted distinct hashes of the ``k``-word shingles of lower-cased (A-Z) ``text``, and a
+    digest of the set that goes by all 128 bits of each.
 
     With fewer words the whole sequence is one shingle; without words the set is empty.
     """
     words = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())
-    return np.unique(window_hashes(words, min(k, len(words)))) if len(words) else words
+    if not words.shape[1]:
+        return words[0], blake2b(b"", digest_size=16).digest()
+    pair = window_hashes(words, min(k, words.shape[1]))
+    found, at = np.unique(folded(pair), return_index=True)
+    return found, blake2b(np.ascontiguousarray(pair[:, at]).tobytes(), digest_size=16).digest()

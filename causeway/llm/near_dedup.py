@@ -29,7 +29,6 @@ different texts, the component links through both).  Extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,7 +90,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int
     for batch in batches:
         out: list[list] = [[], [], [], [], []]
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            s = shingle_set(text.as_py(), k)
+            s, digest = shingle_set(text.as_py(), k)
             keys: list | None = None
             sketch = b""
             if len(s):
@@ -101,7 +100,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int
                 for j in range(rows):
                     key = mix(key * np.uint64(0x100000001B3) ^ sig[j : bands * rows : rows].astype(np.uint64))
                 keys = key.view(np.int64).tolist()
-            for col, v in zip(out, (doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch, keys)):
+            for col, v in zip(out, (doc_id, len(s), digest, sketch, keys)):
                 col.append(v)
         types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "n_shingles", "class", "sketch", "bands"])
@@ -287,7 +286,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        packed = [shingle_set(t.as_py(), k).tobytes() for t in batch.column(1)]
+        packed = [shingle_set(t.as_py(), k)[0].tobytes() for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(2), batch.column(3), pa.array(packed, pa.binary())],
             names=["doc_id", "component", "n", "members"],

@@ -5,23 +5,29 @@ Words are the runs ``[^\\x20\\x09-\\x0D]+`` of the whole text, unchanged; a wind
 has a word sequence that also starts in a document with a smaller ``doc_id``; windows
 are judged on the input, not on what is left.
 
-1.  Each task hashes the windows of a few megabytes of text at a time and deals the
-    distinct (hash, document) pairs to buckets of the hash space, packed: sorted
-    hashes, then a two-byte document number for each pair.  A window that a third of
-    all documents share costs two bytes a document, not a row.
-2.  Each bucket is counted by sorting its hashes: the least ``doc_id`` of a repeated
-    hash owns it, and the other documents get it in their removal list.
-3.  The lists go back to the texts, packed for each of the homes to which ``doc_id`` is hashed; positions of listed windows merge into
-    maximal removal intervals, and the kept words are digested.
-
-The number of buckets is a multiple of ``spark.sql.shuffle.partitions``, so a bucket
-stays small as long as that setting follows the input.  Hashes have 64 bits: among n
-windows a false repeat is expected n*n / 2**65 times (0.0005 for 10**8 windows).
+1.  Documents are dealt to *homes*, ranges of ``doc_id`` of about equal numbers, and each
+    home, in the order of ``doc_id``, to *chunks* of ``CHUNK_WINDOWS`` windows.  So the
+    order of chunks is the order of their documents.
+2.  Each chunk sends its distinct window hashes to buckets of the hash space, sorted and
+    packed; nothing is sent for each document.  A window that a third of all documents
+    share costs its bucket one entry a chunk.
+3.  Each bucket is counted by sorting: the first chunk of a hash owns it, every other chunk
+    that has it gets it in its removal list.
+4.  The lists meet their homes.  Inside a chunk the least ``doc_id`` of a hash is found on
+    the spot; positions of listed windows, and of windows that an earlier document of the
+    chunk has, merge into maximal removal intervals, and the kept words are digested.
+
+Windows are told apart by 80 bits of two independent hashes over BLAKE2b digests of their
+words: among n windows a false repeat is expected n*n / 2**81 times (0.004 for 10**11).
+
+Homes and buckets follow ``spark.sql.shuffle.partitions`` and the bytes of text, so a home
+stays at about ``HOME_BYTES``; the driver holds a number for each home.
 
 Defined results: null or blank text has no words; fewer than ``k`` words have no window;
 a null ``doc_id`` neither owns nor loses anything; rows that repeat a ``doc_id`` are one
-document that starts its windows in both texts, and lose what smaller ids own.  Extra
-columns are ignored; an empty table gives an empty result.
+document that starts its windows in both texts, and lose what smaller ids own (they share a
+home, which is for identifiers that hardly repeat).  Extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,15 +37,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import window_hashes, word_hashes, word_spans
+from .common import folded, window_hashes, word_hashes
 
 K = 13
-CHUNK_WORDS = 600_000
-BUCKETS_PER_PARTITION = 4
+CHUNK_WINDOWS = 600_000
+HOME_BYTES, BUCKET_BYTES = 64 << 20, 96 << 20
+PER_PARTITION = 4
+#: More bits of a window than its hash has.
+_CHECK = np.uint64((1 << 16) - 1)
 
 
 def _encoded(text) -> bytes:
@@ -47,231 +55,255 @@ def _encoded(text) -> bytes:
     return value.encode("utf-8", "surrogatepass") if value else b""
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Big-endian byte planes: sorted values have long runs in the first planes."""
-    return np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def _windows(body: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash and 16 more bits of every window."""
+    pair = window_hashes(word_hashes(body), k)
+    return folded(pair), pair[1] & _CHECK
 
 
-def _unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
+def _planes(values: np.ndarray, size: int) -> bytes:
+    """The lower ``size`` bytes as big-endian byte planes: sorted values have long runs in the first."""
+    return np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - size :].T).tobytes()
 
 
-def _pack(hashes: list[np.ndarray], ids: list[int], buckets: int) -> pa.RecordBatch | None:
-    """Rows (bucket, ids, hashes, docs, counts) of one chunk of documents."""
-    h = np.concatenate(hashes)
-    d = np.repeat(np.arange(len(ids), dtype=np.uint16), [len(x) for x in hashes])
-    order = np.argsort(h, kind="stable")  # documents stay in order inside a hash
-    h, d = h[order], d[order]
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    first = new.copy()
-    new[1:] |= d[1:] != d[:-1]
-    h, d, first = h[new], d[new], first[new]
+def _unplanes(data: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(size, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, 8 - size :] = planes.T
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def _runs(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts (h, c), and where in it each distinct pair starts."""
+    order = np.argsort(h)
+    x, y = h[order], c[order]
+    same = x[1:] == x[:-1]
+    if (same & (y[1:] != y[:-1])).any():  # hashes that are equal in their first 64 bits only
+        order = np.lexsort((c, h))
+        x, y = h[order], c[order]
+        same = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+    return order, np.flatnonzero(np.append(True, ~same))
+
+
+def _least(values: np.ndarray, order: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For every place the least value of its run."""
+    out = np.empty_like(values)
+    out[order] = np.repeat(np.minimum.reduceat(values[order], start), np.diff(np.append(start, len(values))))
+    return out
+
+
+def _chunks(doc_ids: np.ndarray, windows: np.ndarray, most: int) -> np.ndarray:
+    """The chunk of every row of a home that is sorted by ``doc_id``: a new one starts with
+    the first identifier after ``most`` windows.  Rows of one identifier stay together."""
+    out = np.zeros(len(doc_ids), np.int64)
+    held = chunk = 0
+    for i, n in enumerate(windows.tolist()):
+        if held >= most and doc_ids[i] != doc_ids[i - 1]:
+            held, chunk = 0, chunk + 1
+        out[i] = chunk
+        held += n
+    return out
+
+
+def _pack(chunk: int, hashes: list[np.ndarray], checks: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Rows (bucket, chunk, hashes, checks) of one chunk."""
+    h, c = np.concatenate(hashes), np.concatenate(checks)
+    order, start = _runs(h, c)
+    h, c = h[order[start]], c[order[start]]
     bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    rows: list[list] = [[], [], [], []]
-    id_array = np.array(ids, np.int64)
-    for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(h)]):
-        at = np.flatnonzero(first[s:e])
-        used, local = np.unique(d[s:e], return_inverse=True)
-        count = np.diff(np.append(at, e - s))
-        docs = local.astype(np.uint8 if len(used) <= 256 else np.uint16)
-        many = np.flatnonzero(count > 1).astype(np.uint32)
-        rows[0].append(int(bucket[s]))
-        rows[1].append(id_array[used].tobytes())
-        rows[2].append(_planes(h[s:e][at]))
-        rows[3].append(
-            len(used).to_bytes(4, "little") + len(many).to_bytes(4, "little") + many.tobytes()
-            + count[many].astype(np.uint32).tobytes() + docs.tobytes()
-        )
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(h)]
+    spans = list(zip(cuts, cuts[1:]))
     return pa.RecordBatch.from_arrays(
-        [pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])],
-        names=["bucket", "ids", "hashes", "docs"],
+        [
+            pa.array([int(bucket[s]) for s, _ in spans], pa.int32()), pa.array([chunk] * len(spans), pa.int64()),
+            pa.array([_planes(h[s:e], 8) for s, e in spans], pa.binary()), pa.array([_planes(c[s:e], 2) for s, e in spans], pa.binary()),
+        ],
+        names=["bucket", "chunk", "hashes", "checks"],
     )
 
 
-def _deal(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _deal(batches: Iterator[pa.RecordBatch], k: int, buckets: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Packed hashes of the chunks, out of rows sorted by home and ``doc_id``."""
+    home = last = None
+    chunk = held = packed = 0
     hashes: list[np.ndarray] = []
-    ids: list[int] = []
-    words = 0
+    checks: list[np.ndarray] = []
+
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for at, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             if doc_id is None:
                 continue
-            h = window_hashes(word_hashes(_encoded(text)), k)
+            ends = at != home or held >= most and doc_id != last
+            if hashes and (ends or packed >= 4 * most):
+                yield _pack(home << 32 | chunk, hashes, checks, buckets)
+                hashes, checks, packed = [], [], 0
+            if ends:
+                chunk = 0 if at != home else chunk + 1
+                home, held = at, 0
+            h, c = _windows(_encoded(text), k)
             if len(h):
                 hashes.append(h)
-                ids.append(doc_id)
-                words += len(h)
-            if words >= CHUNK_WORDS or len(ids) >= 60_000:
-                yield _pack(hashes, ids, buckets)
-                hashes, ids, words = [], [], 0
-    if ids:
-        yield _pack(hashes, ids, buckets)
-
-
-def _unpack(ids: bytes, hashes: bytes, docs: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """All (hash, doc_id) pairs of a row."""
-    h = _unplanes(hashes)
-    id_array = np.frombuffer(ids, np.int64)
-    used, n = int.from_bytes(docs[:4], "little"), int.from_bytes(docs[4:8], "little")
-    many = np.frombuffer(docs, np.uint32, n, 8)
-    count = np.ones(len(h), np.int64)
-    count[many] = np.frombuffer(docs, np.uint32, n, 8 + 4 * n)
-    local = np.frombuffer(docs, np.uint8 if used <= 256 else np.uint16, -1, 8 + 8 * n)
-    return np.repeat(h, count), id_array[local]
-
-
-def _losses(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(doc_id, hash) of every pair whose hash a smaller doc_id has, by doc_id."""
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    repeat = np.zeros(len(h), bool)
-    same = h[1:] == h[:-1]
-    repeat[1:] |= same
-    repeat[:-1] |= same
-    h, d = h[repeat], d[order][repeat]
-    if not len(h):
-        return d, h
-    start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    owner = np.repeat(np.minimum.reduceat(d, start), np.diff(np.append(start, len(h))))
-    lost = d > owner
-    d, h = d[lost], h[lost]
-    order = np.argsort(d, kind="stable")
-    return d[order], h[order]
-
-
-def home(doc_id: int, parts: int) -> int:
-    """The home of a document: ``pmod(xxhash64(doc_id), parts)`` as Spark computes it."""
-    h = xxhash.xxh64_intdigest(int(doc_id).to_bytes(8, "little", signed=True), 42)
-    return (h - (1 << 64) if h >> 63 else h) % parts
-
-
-def _lists(d: np.ndarray, h: np.ndarray, parts: int) -> pa.RecordBatch:
-    """One row for each home: its documents, the length of each one's list, the hashes."""
-    start = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-    length = np.diff(np.append(start, len(d)))
-    homes = np.array([home(x, parts) for x in d[start].tolist()])
-    order = np.argsort(homes, kind="stable")
-    cuts = np.flatnonzero(np.diff(homes[order])) + 1
-    rows: list[list] = [[], [], [], []]
-    for at in np.split(order, cuts):
-        rows[0].append(int(homes[at[0]]))
-        rows[1].append(d[start[at]].tobytes())
-        rows[2].append(length[at].astype(np.int32).tobytes())
-        rows[3].append(b"".join(h[s : s + n].tobytes() for s, n in zip(start[at].tolist(), length[at].tolist())))
+                checks.append(c)
+            held, packed, last = held + len(h), packed + len(h), doc_id
+    if hashes:
+        yield _pack(home << 32 | chunk, hashes, checks, buckets)
+
+
+def _losses(h: np.ndarray, c: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all entries of a bucket, those whose hash an earlier chunk has."""
+    lost = chunk > _least(chunk, *_runs(h, c)) if len(h) else np.zeros(0, bool)
+    return h[lost], c[lost], chunk[lost]
+
+
+def _lists(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """One row for each home: its chunks, the length of each one's list, the hashes."""
+    h, c, chunk = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((h, chunk))
+    h, c, chunk = h[order], c[order], chunk[order]
+    start = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
+    length = np.diff(np.append(start, len(h)))
+    homes = chunk[start] >> 32
+    rows: list[list] = [[], [], [], [], []]
+    for at in np.split(np.arange(len(start)), np.flatnonzero(np.diff(homes)) + 1):
+        s, e = start[at[0]], start[at[-1]] + length[at[-1]]
+        for col, v in zip(rows, (int(homes[at[0]]), (chunk[start[at]] & 0xFFFFFFFF).tobytes(), length[at].tobytes(), _planes(h[s:e], 8), _planes(c[s:e], 2))):
+            col.append(v)
     return pa.RecordBatch.from_arrays(
-        [pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], names=["home", "ids", "lengths", "hashes"]
+        [pa.array(rows[0], pa.int64()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["home", "chunks", "lengths", "hashes", "checks"]
     )
 
 
-def _count(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removal lists, packed for each home, out of rows sorted by bucket."""
-    bucket, hs, ds = None, [], []
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def merged() -> pa.RecordBatch:
-        d = np.concatenate([x for x, _ in out])
-        h = np.concatenate([x for _, x in out])
-        order = np.argsort(d, kind="stable")
-        return _lists(d[order], h[order], parts)
+    bucket, held = None, []
+    out: list[tuple[np.ndarray, ...]] = []
 
     def finish() -> None:
-        if hs:
-            found = _losses(np.concatenate(hs), np.concatenate(ds))
+        if held:
+            found = _losses(*(np.concatenate(x) for x in zip(*held)))
             if len(found[0]):
                 out.append(found)
 
     for batch in batches:
-        for b, ids, hashes, docs in zip(*(c.to_pylist() for c in batch.columns)):
+        for b, chunk, hashes, checks in zip(*(c.to_pylist() for c in batch.columns)):
             if b != bucket:
                 finish()
-                bucket, hs, ds = b, [], []
-                if sum(len(x) for x, _ in out) > 4_000_000:
-                    yield merged()
-                    out.clear()
-            h, d = _unpack(ids, hashes, docs)
-            hs.append(h)
-            ds.append(d)
+                bucket, held = b, []
+                if sum(len(x[0]) for x in out) > 2_000_000:
+                    yield _lists(out)
+                    out = []
+            h = _unplanes(hashes, 8)
+            held.append((h, _unplanes(checks, 2), np.full(len(h), chunk, np.int64)))
     finish()
     if out:
-        yield merged()
-
-
-def removal_lists(docs: DataFrame, parts: int, k: int = K) -> DataFrame:
-    """Packed hashes of the windows that documents lose, a row for each home and task."""
-    buckets = parts * BUCKETS_PER_PARTITION
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        lambda it: _deal(it, k, buckets), "bucket int, ids binary, hashes binary, docs binary"
-    )
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
-        lambda it: _count(it, parts), "home int, ids binary, lengths binary, hashes binary"
-    )
+        yield _lists(out)
 
 
-def intervals(hashes: np.ndarray, lost: np.ndarray, k: int) -> np.ndarray:
-    """Maximal [start, end) word intervals covered by the windows whose hash is lost."""
-    at = np.flatnonzero(np.isin(hashes, lost))
+def intervals(at: np.ndarray, k: int) -> np.ndarray:
+    """Maximal [start, end) word intervals covered by windows that start at ``at``."""
     if not len(at):
         return np.zeros((0, 2), np.int64)
     gap = np.flatnonzero(np.diff(at) > k)
     return np.stack([at[np.append(0, gap + 1)], at[np.append(gap, len(at) - 1)] + k], axis=1)
 
 
-def _remove(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Reads, for each home, first the removal lists (kind 0), then the texts (kind 1)."""
-    here, lists = None, {}
-    for batch in batches:
-        out: list[list] = [[], [], [], [], []]
-        kept_texts = []
-        homes, kinds, doc_ids, ids, lengths, hashes = (batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 6))
-        for i, text in enumerate(batch.column(3)):
-            if homes[i] != here:
-                here, lists = homes[i], {}
-            if kinds[i] == 0:
-                ends = np.cumsum(np.frombuffer(lengths[i], np.int32))
-                pieces = np.split(np.frombuffer(hashes[i], np.uint64), ends[:-1])
-                for d, piece in zip(np.frombuffer(ids[i], np.int64).tolist(), pieces):
-                    lists.setdefault(d, []).append(piece)
-                continue
-            body = _encoded(text)
-            words = body.split()
-            spans = np.zeros((0, 2), np.int64)
-            lost = lists.get(doc_ids[i])
-            if lost:
-                spans = intervals(window_hashes(word_hashes(body), k), np.concatenate(lost), k)
-            n, gone = len(words), int((spans[:, 1] - spans[:, 0]).sum())
-            for s, e in reversed(spans.tolist()):
-                del words[s:e]
-            kept = b" ".join(words)
-            kept_texts.append(kept)
-            for col, v in zip(out, (doc_ids[i], n, gone, hashlib.sha256(kept).hexdigest(), spans.tolist())):
-                col.append(v)
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())))
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array(c, t) for c, t in zip(out, types)), pa.array(kept_texts, pa.binary())],
-            names=["doc_id", "n_words", "n_removed", "kept_sha256", "removed", "kept"],
-        )
-
-
-def substring_dedup(docs: DataFrame, k: int = K) -> DataFrame:
+def _listed(h: np.ndarray, c: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Which (h, c) are in one of the lists; each list is sorted by h."""
+    out = np.zeros(len(h), bool)
+    for lost_h, lost_c in lists:
+        at = np.searchsorted(lost_h, h)
+        for step in (0, 1):  # two windows that share their first 64 bits stand side by side
+            near = np.minimum(at + step, len(lost_h) - 1)
+            out |= (lost_h[near] == h) & (lost_c[near] == c)
+    return out
+
+
+def _remove(texts: pa.Table, lists: pa.Table, k: int, most: int) -> pa.Table:
+    """The rows of a home, and what its chunks lose to other chunks and in themselves."""
+    texts = texts.combine_chunks()
+    lost: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for chunks, lengths, hashes, checks in zip(*(lists.column(n).to_pylist() for n in ("chunks", "lengths", "hashes", "checks"))):
+        cuts = np.cumsum(np.frombuffer(lengths, np.int64))[:-1]
+        pieces = zip(np.split(_unplanes(hashes, 8), cuts), np.split(_unplanes(checks, 2), cuts))
+        for chunk, piece in zip(np.frombuffer(chunks, np.int64).tolist(), pieces):
+            lost.setdefault(chunk, []).append(piece)
+    doc_ids = texts.column("doc_id").to_pylist()
+    order = sorted(range(len(doc_ids)), key=lambda i: (doc_ids[i] is not None, doc_ids[i] or 0))
+    nulls = sum(d is None for d in doc_ids)
+    column = texts.column("text")
+    ids = np.array([doc_ids[i] for i in order[nulls:]], np.int64)
+    n_windows = np.array([max(0, len(_encoded(column[i]).split()) - k + 1) for i in order[nulls:]], np.int64)
+    chunk_of = _chunks(ids, n_windows, most)
+    out: list[list] = [[], [], [], [], [], []]
+
+    def put(i: int, body: bytes, at: np.ndarray) -> None:
+        words, spans = body.split(), intervals(at, k)
+        n, gone = len(words), int((spans[:, 1] - spans[:, 0]).sum())
+        for s, e in reversed(spans.tolist()):
+            del words[s:e]
+        kept = b" ".join(words)
+        for col, v in zip(out, (doc_ids[i], n, gone, hashlib.sha256(kept).hexdigest(), spans.tolist(), kept)):
+            col.append(v)
+
+    for i in order[:nulls]:
+        put(i, _encoded(column[i]), np.zeros(0, np.int64))
+    for rows in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(chunk_of)) + 1):
+        if not len(rows):
+            continue
+        bodies = [_encoded(column[order[nulls + r]]) for r in rows.tolist()]
+        found = [_windows(b, k) for b in bodies]
+        h, c = (np.concatenate(x) for x in zip(*found))
+        size = np.array([len(x) for x, _ in found])
+        gone = np.zeros(len(h), bool)
+        if len(h):
+            owner = np.repeat(ids[rows], size)
+            gone = owner > _least(owner, *_runs(h, c))
+            gone |= _listed(h, c, lost.get(int(chunk_of[rows[0]]), []))
+        for r, b, mine in zip(rows.tolist(), bodies, np.split(gone, np.cumsum(size)[:-1])):
+            put(order[nulls + r], b, np.flatnonzero(mine))
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())), pa.binary())
+    return pa.table([pa.array(x, t) for x, t in zip(out, types)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "removed", "kept"])
+
+
+def _home(doc_id: Column, bounds: list[int]) -> Column:
+    """The number of bounds below ``doc_id``: first among every n-th of them, then in its stretch."""
+    n = max(1, int(len(bounds) ** 0.5))
+    long = [F.lit(b).cast("long") for b in bounds]
+    coarse = F.array(*long[::n])
+    fine = F.array(*[F.array(*long[i : i + n]) for i in range(0, len(bounds), n)])
+
+    def below(edges: Column) -> Column:
+        return F.size(F.filter(edges, lambda b: b < doc_id))
+
+    far = below(coarse)
+    return F.when(far == 0, 0).otherwise((far - 1) * n + below(F.element_at(fine, far))).cast("long")
+
+
+def substring_dedup(docs: DataFrame, k: int = K, chunk_windows: int = CHUNK_WINDOWS) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, removed, kept`` of every row.
 
     ``removed`` lists the maximal removal intervals as word offsets [start, end);
     ``kept`` is the kept text (words joined by one space, UTF-8).
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    doc_id, none = F.col("doc_id").cast("long"), F.lit(None)
-    texts = docs.select(
-        F.pmod(F.xxhash64(doc_id), F.lit(parts)).cast("int").alias("home"), F.lit(1).alias("kind"), doc_id.alias("doc_id"), "text",
-        none.cast("binary").alias("ids"), none.cast("binary").alias("lengths"), none.cast("binary").alias("hashes"),
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    homes = max(PER_PARTITION * parts, -(-size // HOME_BYTES))
+    buckets = max(PER_PARTITION * parts, -(-size // BUCKET_BYTES))
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / homes for i in range(1, homes)], max(10_000, 10 * homes))).head()[0] or [0]
+    # identifiers that are null have homes of their own
+    none = -1 - F.pmod(F.xxhash64("text"), F.lit(homes))
+    home = F.when(F.col("doc_id").isNull(), none).otherwise(_home(F.col("doc_id"), sorted(set(cuts))))
+    texts = rows.select(home.alias("home"), "doc_id", "text").repartition(parts, "home")
+    dealt = texts.sortWithinPartitions("home", "doc_id").mapInArrow(
+        lambda it: _deal(it, k, buckets, chunk_windows), "bucket int, chunk long, hashes binary, checks binary"
     )
-    lists = removal_lists(docs, parts, k).select(
-        "home", F.lit(0).alias("kind"), none.cast("long").alias("doc_id"), none.cast("string").alias("text"), "ids", "lengths", "hashes"
+    lists = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
+        _count, "home long, chunks binary, lengths binary, hashes binary, checks binary"
     )
-    dealt = lists.unionByName(texts).repartition(parts, "home").sortWithinPartitions("home", "kind")
-    return dealt.mapInArrow(
-        lambda it: _remove(it, k),
+    # both sides are dealt by home, so the texts are shuffled once
+    return texts.groupBy("home").cogroup(lists.groupBy("home")).applyInArrow(
+        lambda a, b: _remove(a, b, k, chunk_windows),
         "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<array<long>>, kept binary",
     )
 

@@ -77,6 +77,46 @@ def test_substring_intervals(docs_of):
     assert by[2].removed == [[0, 20], [21, 41]] and by[3].n_removed == 0 and by[4].n_removed == 0
 
 
+def test_substring_chunks_and_homes_change_nothing(spark, docs_of):
+    """Small chunks, repeated identifiers and negative ones against a plain count."""
+    rng = random.Random(9)
+    passages = [[f"p{i}-{j}" for j in range(30)] for i in range(8)]
+    rows = []
+    for i in range(120):
+        words = []
+        for _ in range(rng.randint(0, 4)):
+            words += rng.choice(passages)[rng.randint(0, 9) :] if rng.random() < 0.7 else [f"u{rng.random()}" for _ in range(20)]
+        rows.append((rng.choice([i - 40, i - 40, 3, None]), " ".join(words)))
+    starts = {}
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - 12):
+            if d is not None:
+                starts[tuple(w[i : i + 13])] = min(d, starts.get(tuple(w[i : i + 13]), d))
+    want = []
+    for d, t in rows:
+        w = t.split()
+        gone = {j for i in range(len(w) - 12) if d is not None and starts[tuple(w[i : i + 13])] < d for j in range(i, i + 13)}
+        want.append((str(d), len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    for most in (1, 40, 10**6):
+        got = [(str(r.doc_id), r.n_words, r.n_removed, r.kept.decode()) for r in substring_dedup.substring_dedup(docs_of(rows), chunk_windows=most).collect()]
+        assert sorted(got) == sorted(want)
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_patterns_that_fool_polynomial_hashes(docs_of):
+    """A Thue-Morse word and its complement, equal under any polynomial modulo 2**64, are told apart."""
+    a = thue_morse(1024)
+    b = a.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"t{i}" for i in range(12))
+    df = docs_of([(1, f"{a} {tail}"), (2, f"{b} {tail}"), (3, a), (4, b)])
+    assert [r.n_removed for r in substring_dedup.substring_dedup(df).collect()] == [0] * 4
+    assert all(r.kept for r in near_dedup.near_dedup(df).where("doc_id > 2").collect())
+
+
 def test_near(odd, none):
     rows = near_dedup.near_dedup(odd).collect()
     assert len(rows) == len(ODD)
