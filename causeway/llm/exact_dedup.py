@@ -7,7 +7,15 @@ streaming aggregation keyed by digest, without watermark or expiry, keeps for ea
 digest the identifier and locator of the row that stays and the size of its group
 in a RocksDB state store whose checkpoint lies in the shared folder.  The finished
 state is read back with Spark's state reader and joined to the fingerprints.  Rows
-that hit a digest already held are checked on their full bytes.
+that hit a digest already held are fetched by their locator and checked on their
+full bytes.
+
+A locator is the file that has the row (as a hash of its path) and the row's number in
+it.  Documents that don't come straight from files are written to the shared folder
+first, so that they have locators.
+
+Digests with more than 1/``HOT`` of a shuffle partition's share of the rows are few,
+whatever the data; they meet their rows by broadcast, so no task has all copies of one.
 
 Everything runs as DataFrame operations; no Python runs on the executors.
 
@@ -23,12 +31,15 @@ Defined results
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, scratch
 
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Hot digests are at most so many for each shuffle partition.
+HOT = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,15 +53,27 @@ def normalised(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
+def locator() -> Column:
+    """Where a row of a file-based table stands: hash of the file's path, number of the row."""
+    return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` itself if its rows have locators, else as a table in the shared folder."""
+    try:
+        docs.select(locator())
+        return docs
+    except AnalysisException:
+        named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+        held = cut(named, "documents")
+        return held.select(*[F.col(n).alias(c) for n, c in zip(held.columns, docs.columns)])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, digest, n_bytes, locator`` of every row, written once to the shared folder."""
-    text = normalised(F.col(text_col))
+    """``doc_id, digest, locator`` of every row of a located table, written once to the shared folder."""
     return cut(
         docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.unhex(F.sha2(text, 256)).alias("digest"),
-            F.octet_length(text).cast("long").alias("n_bytes"),
-            F.monotonically_increasing_id().alias("locator"),
+            F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"), locator().alias("locator")
         ),
         "fingerprints",
     )
@@ -59,67 +82,61 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def run_stream(spark: SparkSession, source: str, schema, checkpoint: str) -> DataFrame:
     """Feed the fingerprints through the keyed state; return the state as a batch.
 
-    State: digest -> (n, keeper), where keeper is the largest (doc_id, locator).
+    State: digest -> (n, keeper), where keeper is the largest (doc_id, locator).  The stream
+    runs in a session of its own, whose settings no other query sees.
     """
-    wanted = {
-        "spark.sql.streaming.stateStore.providerClass": _PROVIDER,
-        # no space reserved ahead: with many small stores that outgrows their contents
-        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-    }
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
-    try:
-        rows = spark.readStream.schema(schema).parquet(source)
-        lowest = F.lit(-(2**63)).cast("long")  # a null identifier sorts below all
-        held = rows.groupBy("digest").agg(
-            F.count(F.lit(1)),
-            F.max(F.struct(F.coalesce("doc_id", lowest).alias("rank"), "locator", "doc_id")),
-        )
-        query = (
-            held.writeStream.outputMode("update").format("noop")
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
-        if query.exception() is not None:
-            raise query.exception()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
+    # no space reserved ahead: with many small stores that outgrows their contents
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    rows = own.readStream.schema(schema).parquet(source)
+    lowest = F.lit(-(2**63)).cast("long")  # a null identifier sorts below all
+    held = rows.groupBy("digest").agg(
+        F.count(F.lit(1)), F.max(F.struct(F.coalesce("doc_id", lowest).alias("rank"), "locator", "doc_id"))
+    )
+    query = (
+        held.writeStream.outputMode("update").format("noop")
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
     return (
         spark.read.format("statestore").load(checkpoint)
         .select(F.col("key.digest").alias("digest"), F.col("value.count").alias("n"), F.col("value.max").alias("keeper"))
     )
 
 
-def check_bytes(docs: DataFrame, prints: DataFrame, state: DataFrame, id_col: str, text_col: str) -> None:
-    """Compare the full texts of all rows that hit a digest already held.
+def by_digest(prints: DataFrame, state: DataFrame) -> DataFrame:
+    """``prints`` with ``n`` and ``keeper`` of their digests, hot digests by broadcast."""
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = state.agg(F.sum("n")).head()[0] or 0
+    hot = F.col("n") > max(1, total // (HOT * parts))  # at most HOT * parts digests have as many rows
+    met = prints.join(F.broadcast(state.where(hot).select("digest", F.struct("n", "keeper").alias("of"))), "digest", "left")
+    rest = met.where("of is null").drop("of").join(state.where(~hot), "digest")
+    return met.where("of is not null").select(*prints.columns, "of.n", "of.keeper").unionByName(rest.select(*prints.columns, "n", "keeper"))
+
+
+def check_bytes(docs: DataFrame, decided: DataFrame, text_col: str) -> None:
+    """Compare the full texts of all rows whose digest another row has, fetched by locator.
 
     Texts of a digest are folded to their least and greatest inside each task before
     they are shuffled, so a hot digest sends a row per task, not one per copy.
     """
-    hits = prints.join(state.where("n > 1").select("digest"), "digest", "left_semi").select(
-        F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest")
-    )
-    text = normalised(F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("body"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2("body", 256)))
-    same = rows.join(
-        hits, rows.doc_id.eqNullSafe(hits.hit_id) & (rows.digest == hits.hit_digest), "left_semi"
-    ).groupBy("digest").agg(F.min("body").alias("lo"), F.max("body").alias("hi"))
+    hits = decided.where("group_size > 1").select(F.col("locator").alias("hit"), "digest")
+    rows = docs.select(locator().alias("at"), normalised(F.col(text_col)).alias("body"))
+    same = rows.join(hits, F.col("at") == F.col("hit")).groupBy("digest").agg(F.min("body").alias("lo"), F.max("body").alias("hi"))
     bad = same.where("lo <> hi").select(F.hex("digest")).head()
     if bad is not None:
         raise RuntimeError(f"different texts share the SHA-256 digest {bad[0]}")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", verify: bool = True) -> DataFrame:
-    """One row for every input row: ``doc_id, keep_id, group_size, kept, digest, locator``."""
+def _decided(docs: DataFrame, id_col: str, text_col: str, verify: bool) -> DataFrame:
     spark = docs.sparkSession
     prints = fingerprints(docs, id_col, text_col)
     state = run_stream(spark, prints._scratch_path, prints.schema, scratch(spark, "dedup-state"))
-    if verify:
-        check_bytes(docs, prints, state, id_col, text_col)
-    return prints.join(state, "digest").select(
+    out = by_digest(prints, state).select(
         "doc_id",
         F.col("keeper.doc_id").alias("keep_id"),
         F.col("n").alias("group_size"),
@@ -127,20 +144,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "digest",
         "locator",
     )
+    if verify:
+        check_bytes(docs, out, text_col)
+    return out
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", verify: bool = True) -> DataFrame:
+    """One row for every input row: ``doc_id, keep_id, group_size, kept, digest, locator``."""
+    return _decided(located(docs), id_col, text_col, verify)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text another row already stands for."""
-    decided = exact_dedup(docs, id_col, text_col)
-    kept = decided.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
-    digest = F.unhex(F.sha2(normalised(F.col(text_col)), 256))
-    out = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(kept.kept_id) & (digest == kept.kept_digest), "left_semi")
-    repeated = decided.groupBy("doc_id", "digest").count().where("count > 1").limit(1)
-    if not repeated.isEmpty():  # the same identifier with the same text more than once
-        out = (
-            out.withColumn("_digest", digest).dropDuplicates([id_col, "_digest"]).select(*docs.columns)
-        )
-    return out
+    docs = located(docs)
+    kept = _decided(docs, id_col, text_col, True).where("kept").select(F.col("locator").alias("_kept"))
+    name = "_at"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, locator()).join(kept, F.col(name) == F.col("_kept"), "left_semi").drop(name)
 
 
 def op3_query(docs: DataFrame) -> DataFrame:

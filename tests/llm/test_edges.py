@@ -46,13 +46,23 @@ def test_exact_keeps_one_of_repeated_rows(docs_of):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in exact_dedup.drop_copies(df).collect()) == [(False, 1), (False, 2), (True, 0)]
 
 
+def test_exact_hot_digest_and_session(spark, docs_of):
+    """A digest that most rows share, and one that none does; the session keeps its settings."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    rows = exact_dedup.exact_dedup(docs_of([(i, "Same" if i % 2 else "same") for i in range(200)] + [(i, f"t{i // 2}") for i in range(200, 240)])).collect()
+    assert len(rows) == 240 and [r.doc_id for r in rows if r.kept and r.doc_id < 200] == [199]
+    assert all(r.group_size == (200 if r.doc_id < 200 else 2) for r in rows) and spark.conf.get(key) == before
+    assert len({r.locator for r in rows}) == 240
+
+
 def test_exact_lowers_ascii_only(docs_of):
     df = docs_of([(1, "É"), (2, "é"), (3, "Aİ"), (4, "aİ"), (5, "ß"), (6, "SS")])
     assert {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(df).collect()} == {1: 1, 2: 2, 3: 4, 4: 4, 5: 5, 6: 6}
 
 
 def test_exact_state_survives_several_batches(spark, docs_of, tmp_path):
-    prints = exact_dedup.fingerprints(docs_of([(i, f"t{i % 3}") for i in range(9)]))
+    prints = exact_dedup.fingerprints(exact_dedup.located(docs_of([(i, f"t{i % 3}") for i in range(9)])))
     schema = prints.schema
     for lo in (0, 5):
         prints.where((F.col("doc_id") >= lo) & (F.col("doc_id") < lo + 5)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
