@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import filterfalse
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -53,6 +56,19 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def tidy(batches: Iterator) -> Iterator:
+    """Pass on what a task makes; at its end give memory back that it no longer needs, so a
+    worker that runs many tasks, of one query after the other, holds what the last one holds."""
+    try:
+        yield from batches
+    finally:
+        _digests.forget()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+
 # --- hashing ---------------------------------------------------------------
 
 class _Powers:
@@ -86,14 +102,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 class _Digests:
     """BLAKE2b digests of words, as two 64-bit numbers; a worker keeps those met lately."""
 
-    def __init__(self, limit: int = 200_000):
-        self.limit, self.at = limit, {}
+    def __init__(self, limit: int = 50_000):
+        self.limit = limit
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[bytes, int] = {}
         self.table = np.zeros((2, 0), np.uint64)
 
     def get(self, words: list[bytes]) -> np.ndarray:
         """An array (2, number of words)."""
         if len(self.at) > self.limit:
-            self.at, self.table = {}, np.zeros((2, 0), np.uint64)
+            self.forget()
         at = self.at
         if new := list(dict.fromkeys(filterfalse(at.__contains__, words))):
             at.update(zip(new, range(len(at), len(at) + len(new))))

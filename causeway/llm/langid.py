@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop
+from .common import cut, drop, tidy
 from .subword import WordScores, document_features, groups, remainder, share
 
 # Families of languages by their two-letter codes.
@@ -184,7 +184,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     """``doc_id, lang_pred, score`` of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(lambda it: _predict(it, shared), "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(lambda it: tidy(_predict(it, shared)), "doc_id long, lang_pred string, score double")
 
 
 def op9_query(docs: DataFrame) -> DataFrame:

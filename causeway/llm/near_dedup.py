@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, shingle_set
+from .common import cut, mix, shingle_set, tidy
 from .components import Forest, components
 
 K, PERCENT = 4, 80
@@ -109,7 +109,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int
 def signatures(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Set size, digest of the set, odd sketch and band keys of every document."""
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        lambda it: _signatures(it, k, bands, rows), _SIGNATURE
+        lambda it: tidy(_signatures(it, k, bands, rows)), _SIGNATURE
     )
 
 
@@ -215,7 +215,7 @@ def candidate_edges(reps: DataFrame, floor: float = FLOOR) -> DataFrame:
     units = block_pairs(met, ["key"], "doc_id").select("key", "lo", "hi", "mine", "doc_id", "sketch")
     limit = most_bits(floor)
     return units.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(
-        lambda it: _sketch_edges(it, limit), "a long, b long"
+        lambda it: tidy(_sketch_edges(it, limit)), "a long, b long"
     )
 
 
@@ -299,10 +299,10 @@ def confirmed_edges(docs: DataFrame, groups: DataFrame, k: int = K, percent: int
     sized = groups.join(sizes, "component").select(F.col("vertex").alias("doc_id"), "component", "n")
     # always a merge join: a plan that broadcasts small groups only would change with size
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(sized.hint("merge"), "doc_id").select("doc_id", "text", "component", "n")
-    sets = texts.mapInArrow(lambda it: _sets(it, k), "doc_id long, component long, n long, members binary")
+    sets = texts.mapInArrow(lambda it: tidy(_sets(it, k)), "doc_id long, component long, n long, members binary")
     units = block_pairs(sets, ["component"], "doc_id").select("component", "lo", "hi", "mine", "doc_id", "members")
     return units.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(
-        lambda it: _confirmed(it, percent), "a long, b long"
+        lambda it: tidy(_confirmed(it, percent)), "a long, b long"
     )
 
 

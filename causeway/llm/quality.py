@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .subword import WordScores, document_features, fit_in_one_task, groups, remainder, share
 
 BUCKETS, DIM, LO, HI = 1 << 17, 8, 2, 4
@@ -117,7 +118,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], column: str = "score
     shared = docs.sparkSession.sparkContext.broadcast(model)
     named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") if c != "text" else F.col("text") for i, c in enumerate(docs.columns)])
     schema = ", ".join(f"{c} {named.schema[c].dataType.simpleString()}" for c in named.columns) + ", score double"
-    out = named.mapInArrow(lambda it: _score(it, shared), schema)
+    out = named.mapInArrow(lambda it: tidy(_score(it, shared)), schema)
     return out.select(*[F.col(n).alias(c) for n, c in zip(named.columns, docs.columns)], F.col("score").alias(column))
 
 

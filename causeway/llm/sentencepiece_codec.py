@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .subword import groups
 
 # Fixed values of the published model format: piece types and model types.
@@ -170,7 +171,7 @@ def _tokenizer(path: str):
 
 
 def _coder(path: str, parity: bool):
-    """The function that codes texts, and with ``parity`` compares them with the library."""
+    """What codes texts, and with ``parity`` compares them with the library."""
     if ("code", path, parity) not in _loaded:
         with open(path, "rb") as f:
             by_word = cuts(parse(f.read()))
@@ -179,7 +180,7 @@ def _coder(path: str, parity: bool):
             import sentencepiece
 
             checks = sentencepiece.SentencePieceProcessor(model_file=path)
-        _loaded["code", path, parity] = WordCoder(path, checks).code if by_word else lambda texts: _whole(_tokenizer(path), checks, texts)
+        _loaded["code", path, parity] = WordCoder(path, checks) if by_word else Whole(_tokenizer(path), checks)
     return _loaded["code", path, parity]
 
 
@@ -192,7 +193,7 @@ class WordCoder:
     of ``limit`` seen most stays, so memory does not follow the vocabulary of the corpus.
     """
 
-    def __init__(self, path: str, checks=None, limit: int = 160_000):
+    def __init__(self, path: str, checks=None, limit: int = 80_000):
         with open(path, "rb") as f:
             self.model = parse(f.read())
         self.words = build(self.model)
@@ -204,6 +205,10 @@ class WordCoder:
         self.checks, self.limit = checks, limit
         self.plain = not self.model["charsmap"] and not self.model["squeeze"] and self.model["dummy_prefix"] and self.model["escape"]
         self.find = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
+        self.rest()
+
+    def rest(self) -> None:
+        """Hold no words."""
         self.at: dict[str, int] = {}
         self.start = self.length = self.seen = np.zeros(0, np.int64)
         self.pool, self.back, self.same = np.zeros(0, np.int32), np.zeros(0, bool), np.zeros(0, bool)
@@ -263,8 +268,8 @@ class WordCoder:
         at = self.at
         new = list(dict.fromkeys(filterfalse(at.__contains__, words)))
         at.update(zip(new, range(len(at), len(at) + len(new))))
-        for i in range(0, len(new), 20_000):
-            self._learn(new[i : i + 20_000])
+        for i in range(0, len(new), 4_000):
+            self._learn(new[i : i + 4_000])
         idx = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
         self.seen += np.bincount(idx, minlength=len(self.seen))
         length = self.length[idx]
@@ -282,25 +287,33 @@ class WordCoder:
         return ids, total(length), (bad_back == 0) & ~marks, bad_same == 0
 
 
-def _whole(tok, checks, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The same as :meth:`WordCoder.code` for models whose pieces cross words."""
-    ids = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-    back = tok.decode_batch(ids, skip_special_tokens=False)
-    same = [True] * len(ids) if checks is None else [a == b for a, b in zip(ids, checks.encode(texts, num_threads=1))]
-    flat = np.array([x for i in ids for x in i], np.int32)
-    return flat, np.array([len(i) for i in ids], np.int64), np.array([a == b for a, b in zip(back, texts)], bool), np.array(same, bool)
+class Whole:
+    """The same as :class:`WordCoder` for models whose pieces cross words."""
+
+    def __init__(self, tok, checks=None):
+        self.tok, self.checks = tok, checks
+
+    def rest(self) -> None:
+        """It holds no words."""
+
+    def code(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        back = self.tok.decode_batch(ids, skip_special_tokens=False)
+        same = [True] * len(ids) if self.checks is None else [a == b for a, b in zip(ids, self.checks.encode(texts, num_threads=1))]
+        flat = np.array([x for i in ids for x in i], np.int32)
+        return flat, np.array([len(i) for i in ids], np.int64), np.array([a == b for a, b in zip(back, texts)], bool), np.array(same, bool)
 
 
 def _code(batches: Iterator[pa.RecordBatch], path: str, parity: bool, step: int) -> Iterator[pa.RecordBatch]:
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
     os.environ.setdefault("RAYON_NUM_THREADS", "2")  # each thread has a memory pool of its own
-    code = _coder(path, parity)
+    coder = _coder(path, parity)
     for batch in batches:
         names = batch.schema.names
         at = 0
         for held in groups(batch.column("text"), step):  # a bounded amount of text at a time
             texts = [(t or "").encode("utf-8", "replace").decode("utf-8") for t in held]
-            ids, n, back, same = code(texts)
+            ids, n, back, same = coder.code(texts)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids, pa.int32()))
             shown = pa.array(same) if parity else pa.nulls(len(texts), pa.bool_())
             passed = [(c, batch.column(c).slice(at, len(texts))) for c in names if c != "text"]
@@ -309,9 +322,10 @@ def _code(batches: Iterator[pa.RecordBatch], path: str, parity: bool, step: int)
                 names=[*(c for c, _ in passed), "ids", "n_tokens", "round_trip", "parity"],
             )
             at += len(texts)
+    coder.rest()
 
 
-def encode(docs: DataFrame, model_path: str = MODEL, parity: bool = False, step: int = 1 << 20, carry: Mapping[str, Column] | None = None) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = MODEL, parity: bool = False, step: int = 1 << 18, carry: Mapping[str, Column] | None = None) -> DataFrame:
     """``doc_id``, the columns of ``carry``, and ``ids, n_tokens, round_trip, parity`` of every whole text.
 
     ``round_trip``: decoding the ids gives the text back (a model that normalises or
@@ -327,7 +341,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, parity: bool = False, step:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(name) for name, c in carry.items()], "text")
     passed = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:-1])
     return rows.mapInArrow(
-        lambda it: _code(it, model_path, parity, step),
+        lambda it: tidy(_code(it, model_path, parity, step)),
         f"doc_id long, {passed}ids array<int>, n_tokens long, round_trip boolean, parity boolean",
     )
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import folded, window_hashes, word_hashes
+from .common import folded, tidy, window_hashes, word_hashes
 
 K = 13
 CHUNK_WINDOWS = 600_000
@@ -296,10 +296,10 @@ def substring_dedup(docs: DataFrame, k: int = K, chunk_windows: int = CHUNK_WIND
     home = F.when(F.col("doc_id").isNull(), none).otherwise(_home(F.col("doc_id"), sorted(set(cuts))))
     texts = rows.select(home.alias("home"), "doc_id", "text").repartition(parts, "home")
     dealt = texts.sortWithinPartitions("home", "doc_id").mapInArrow(
-        lambda it: _deal(it, k, buckets, chunk_windows), "bucket int, chunk long, hashes binary, checks binary"
+        lambda it: tidy(_deal(it, k, buckets, chunk_windows)), "bucket int, chunk long, hashes binary, checks binary"
     )
     lists = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
-        _count, "home long, chunks binary, lengths binary, hashes binary, checks binary"
+        lambda it: tidy(_count(it)), "home long, chunks binary, lengths binary, hashes binary, checks binary"
     )
     # both sides are dealt by home, so the texts are shuffled once
     return texts.groupBy("home").cogroup(lists.groupBy("home")).applyInArrow(

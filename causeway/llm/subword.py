@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _Powers, mix
+from .common import _Powers, mix, tidy
 
 
 _chars = _Powers(0xA24BAED4963EE407 | 1)
@@ -62,7 +62,7 @@ class WordScores:
     task computes those of each distinct word once (it forgets them at ``limit`` words).
     """
 
-    def __init__(self, table: np.ndarray, lo: int, hi: int, limit: int = 400_000):
+    def __init__(self, table: np.ndarray, lo: int, hi: int, limit: int = 120_000):
         self.table, self.lo, self.hi = table, lo, hi
         # numbers held and worked on at a time, for one score or for hundreds
         self.limit, self.step = min(limit, 2_000_000 // (table.shape[1] + 1)), max(100, 100_000 // (table.shape[1] + 4))
@@ -139,5 +139,5 @@ def fit_in_one_task(rows: DataFrame, fit: Callable[[list[tuple]], bytes]) -> byt
         held = [tuple(r.values()) for b in batches for r in b.to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([fit(held)], pa.binary())], names=["model"])
 
-    got = rows.repartition(1).mapInArrow(task, "model binary").head()
+    got = rows.repartition(1).mapInArrow(lambda it: tidy(task(it)), "model binary").head()
     return bytes(got[0]) if got else fit([])  # without rows no task runs
