@@ -38,6 +38,15 @@ from pyspark.sql import functions as F
 from .common import cut, scratch
 
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Many small stores on an executor: no space reserved ahead, memory bounded for all of them
+#: together, and those that are done with are soon closed.
+_STORE = {
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
+}
 #: Hot digests are at most so many for each shuffle partition.
 HOT = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -88,8 +97,8 @@ def run_stream(spark: SparkSession, source: str, schema, checkpoint: str) -> Dat
     own = spark.newSession()
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     own.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
-    # no space reserved ahead: with many small stores that outgrows their contents
-    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    for name, value in _STORE.items():
+        own.conf.set(name, value)
     rows = own.readStream.schema(schema).parquet(source)
     lowest = F.lit(-(2**63)).cast("long")  # a null identifier sorts below all
     held = rows.groupBy("digest").agg(

@@ -21,7 +21,7 @@ import os
 import re
 import struct
 from collections.abc import Iterator, Mapping
-from itertools import chain, filterfalse
+from itertools import chain, compress, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: New words coded in one go.
+TOGETHER = 128
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -197,11 +199,13 @@ class WordCoder:
         with open(path, "rb") as f:
             self.model = parse(f.read())
         self.words = build(self.model)
-        # what a piece says; those that stand for bytes or for nothing are left to the decoder
-        self.said = [t if kind in (NORMAL, USER_DEFINED) else None for t, _, kind in self.model.pop("pieces")]
+        # the bytes that a piece says, as the decoder joins them; None if it says nothing
+        self.said = [
+            t.encode() if kind in (NORMAL, USER_DEFINED) else bytes([int(t[3:5], 16)]) if kind == BYTE else None for t, _, kind in self.model.pop("pieces")
+        ]
+        self.first = np.array([t is not None and t.startswith(MARK.encode()) for t in self.said])
         self.normalise = self.words.normalizer.normalize_str
-        self.decode = self.words.decode_batch
-        self.words.normalizer = self.words.pre_tokenizer = None
+        self.words.normalizer = None
         self.checks, self.limit = checks, limit
         self.plain = not self.model["charsmap"] and not self.model["squeeze"] and self.model["dummy_prefix"] and self.model["escape"]
         self.find = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
@@ -210,6 +214,7 @@ class WordCoder:
     def rest(self) -> None:
         """Hold no words."""
         self.at: dict[str, int] = {}
+        self.fresh: list[tuple] = []
         self.start = self.length = self.seen = np.zeros(0, np.int64)
         self.pool, self.back, self.same = np.zeros(0, np.int32), np.zeros(0, bool), np.zeros(0, bool)
 
@@ -226,33 +231,56 @@ class WordCoder:
         self.back, self.same = self.back[keep], self.same[keep]
 
     def _learn(self, new: list[str]) -> None:
+        # words with one mark, at their start, keep apart when they are joined, and their
+        # first pieces are those that start with a mark
+        joins = [self.model["dummy_prefix"] and w[0] == MARK != w[-1] and w.count(MARK) == 1 for w in new]
+        joined, alone = list(compress(new, joins)), [w for w, j in zip(new, joins) if not j]
+        for i in range(0, len(joined), TOGETHER * 16):
+            groups_of = [joined[j : j + TOGETHER] for j in range(i, min(len(joined), i + TOGETHER * 16), TOGETHER)]
+            texts = ["".join(g) for g in groups_of]
+            coded = self.words.encode_batch_fast(texts, add_special_tokens=False)
+            theirs = self.checks.encode([t[1:].replace(MARK, " ") for t in texts], num_threads=1) if self.checks is not None else [None] * len(texts)
+            for g, text, e, other in zip(groups_of, texts, coded, theirs):
+                ids = e.ids
+                try:
+                    good = b"".join([self.said[x] for x in ids]) == text.encode() and (other is None or ids == other)
+                except TypeError:  # a piece that says nothing
+                    good = False
+                starts = np.flatnonzero(self.first[ids]) if good else ()
+                if len(starts) == len(g):
+                    self._hold(g, np.diff(starts, append=len(ids)), ids, True, True)
+                else:  # word by word, to tell which ones differ
+                    self._one_by_one(g)
+        for i in range(0, len(alone), TOGETHER * 16):
+            self._one_by_one(alone[i : i + TOGETHER * 16])
+
+    def _one_by_one(self, new: list[str]) -> None:
         ids = [e.ids for e in self.words.encode_batch_fast(new, add_special_tokens=False)]
+        spaced = [w.replace(MARK, " ") for w in new]
         cut = self.model["dummy_prefix"]
-        # joined pieces that give the word are what the decoder would give
-        said, back = self.said, []
-        for w, i in zip(new, ids):
-            try:
-                back.append("".join([said[x] for x in i]) == w)
-            except TypeError:  # a piece that only the decoder can say
-                back.append(None)
-        if left := [n for n, ok in enumerate(back) if not ok]:
-            # decoding drops the space of the dummy prefix, so it is given one more to drop
-            first = [self.words.token_to_id(MARK)] if cut else []
-            for n, text in zip(left, self.decode([first + ids[n] for n in left], skip_special_tokens=False)):
-                back[n] = text == new[n].replace(MARK, " ")
+        # decoding drops the space of the dummy prefix, so it is given one more to drop
+        first = [self.words.token_to_id(MARK)] if cut else []
+        back = self.words.decode_batch([first + i for i in ids], skip_special_tokens=False)
         same = [True] * len(new)
         if self.checks is not None:
-            spaced = [w.replace(MARK, " ") for w in new]
             theirs = self.checks.encode([x[1:] if cut and x[0] == " " else x for x in spaced], num_threads=1)
             lone = [self.checks.piece_to_id(MARK)]  # a lone space can't be given without its prefix
             same = [x == (lone if w == MARK and cut else y) for w, x, y in zip(new, ids, theirs)]
         length = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._hold(new, length, list(chain.from_iterable(ids)), [x == y for x, y in zip(back, spaced)], same)
+
+    def _hold(self, words: list[str], length: np.ndarray, ids: list[int], back: bool | list[bool], same: bool | list[bool]) -> None:
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words))))
+        self.fresh.append((length, np.array(ids, np.int32), np.full(len(words), back), np.full(len(words), same)))
+
+    def _settle(self) -> None:
+        """Append what was learned to the tables."""
+        length, ids, back, same = (np.concatenate(x) for x in zip(*self.fresh))
+        self.fresh = []
         self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
-        self.seen = np.concatenate([self.seen, np.zeros(len(ids), np.int64)])
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.int32, int(length.sum()))])
-        self.back = np.concatenate([self.back, np.array(back, bool)])
-        self.same = np.concatenate([self.same, np.array(same, bool)])
+        self.seen = np.concatenate([self.seen, np.zeros(len(length), np.int64)])
+        self.pool, self.back, self.same = np.concatenate([self.pool, ids]), np.concatenate([self.back, back]), np.concatenate([self.same, same])
 
     def code(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All ids, and for each text their number, round trip and parity."""
@@ -266,10 +294,9 @@ class WordCoder:
                 words += self.find((" " + t).replace(" ", MARK) if self.plain else self.normalise(t))
             counts.append(len(words) - before)
         at = self.at
-        new = list(dict.fromkeys(filterfalse(at.__contains__, words)))
-        at.update(zip(new, range(len(at), len(at) + len(new))))
-        for i in range(0, len(new), 4_000):
-            self._learn(new[i : i + 4_000])
+        if new := list(dict.fromkeys(filterfalse(at.__contains__, words))):
+            self._learn(new)
+            self._settle()
         idx = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
         self.seen += np.bincount(idx, minlength=len(self.seen))
         length = self.length[idx]
