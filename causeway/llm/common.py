@@ -12,8 +12,10 @@ from itertools import filterfalse
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+HOT = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,6 +71,20 @@ def tidy(batches: Iterator) -> Iterator:
             trim(0)
 
 
+def meet(rows: DataFrame, about: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to ``about``, which has one row for each ``key`` and in ``n`` the number
+    of its rows.  Keys with more than 1/``HOT`` of a shuffle partition's share of all rows are
+    at most ``HOT`` for each partition, so they meet their rows by broadcast, whatever the
+    data, and no task gets all rows of one; the others are shuffled."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = about.agg(F.sum("n")).head()[0] or 0
+    hot = F.col("n") > max(1, total // (HOT * parts))
+    told = [c for c in about.columns if c != key]
+    met = rows.join(F.broadcast(about.where(hot).select(key, F.struct(*told).alias("_about"))), key, "left")
+    rest = met.where("_about is null").drop("_about").join(about.where(~hot), key)
+    return met.where("_about is not null").select(*rows.columns, "_about.*").unionByName(rest.select(*rows.columns, *told))
+
+
 # --- hashing ---------------------------------------------------------------
 
 class _Powers:

@@ -14,8 +14,8 @@ A locator is the file that has the row (as a hash of its path) and the row's num
 it.  Documents that don't come straight from files are written to the shared folder
 first, so that they have locators.
 
-Digests with more than 1/``HOT`` of a shuffle partition's share of the rows are few,
-whatever the data; they meet their rows by broadcast, so no task has all copies of one.
+Digests with many rows meet them by broadcast (:func:`common.meet`), so no task has all
+copies of one.
 
 Everything runs as DataFrame operations; no Python runs on the executors.
 
@@ -35,7 +35,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, scratch
+from .common import cut, meet, scratch
 
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Many small stores on an executor: no space reserved ahead, memory bounded for all of them
@@ -47,8 +47,6 @@ _STORE = {
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
     "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
 }
-#: Hot digests are at most so many for each shuffle partition.
-HOT = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -117,16 +115,6 @@ def run_stream(spark: SparkSession, source: str, schema, checkpoint: str) -> Dat
     )
 
 
-def by_digest(prints: DataFrame, state: DataFrame) -> DataFrame:
-    """``prints`` with ``n`` and ``keeper`` of their digests, hot digests by broadcast."""
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = state.agg(F.sum("n")).head()[0] or 0
-    hot = F.col("n") > max(1, total // (HOT * parts))  # at most HOT * parts digests have as many rows
-    met = prints.join(F.broadcast(state.where(hot).select("digest", F.struct("n", "keeper").alias("of"))), "digest", "left")
-    rest = met.where("of is null").drop("of").join(state.where(~hot), "digest")
-    return met.where("of is not null").select(*prints.columns, "of.n", "of.keeper").unionByName(rest.select(*prints.columns, "n", "keeper"))
-
-
 def check_bytes(docs: DataFrame, decided: DataFrame, text_col: str) -> None:
     """Compare the full texts of all rows whose digest another row has, fetched by locator.
 
@@ -145,7 +133,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, verify: bool) -> DataF
     spark = docs.sparkSession
     prints = fingerprints(docs, id_col, text_col)
     state = run_stream(spark, prints._scratch_path, prints.schema, scratch(spark, "dedup-state"))
-    out = by_digest(prints, state).select(
+    out = meet(prints, state, "digest").select(
         "doc_id",
         F.col("keeper.doc_id").alias("keep_id"),
         F.col("n").alias("group_size"),

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, shingle_set, tidy
+from .common import cut, drop, meet, mix, shingle_set, tidy
 from .components import Forest, components
 
 K, PERCENT = 4, 80
@@ -311,8 +311,8 @@ def near_dedup(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame
     sig = cut(signatures(docs, k), "signatures")
     some = sig.where("n_shingles > 0 and doc_id is not null")
     # one representative of each class of equal sets: the row with the least doc_id
-    lead = some.groupBy("class").agg(F.min("doc_id").alias("rep"))
-    member = cut(some.join(lead, "class").select("doc_id", "rep"), "classes")
+    lead = cut(some.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    member = meet(some.select("doc_id", "class"), lead, "class").select("doc_id", "rep")
     # a doc_id may repeat with several texts, so each row keeps its own signature
     reps = sig.join(lead, (sig["doc_id"] == lead.rep) & (sig["class"] == lead["class"]), "left_semi")
     reps = reps.dropDuplicates(["doc_id", "class"])
@@ -322,6 +322,8 @@ def near_dedup(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame
     # copies hang on to their representative
     copies = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.unionAll(copies))
+    for table in (lead, near, groups):  # what is returned reads the signatures and the components only
+        drop(table)
     out = sig.select("doc_id", "n_shingles").join(found.withColumnRenamed("vertex", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
