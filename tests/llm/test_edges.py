@@ -264,8 +264,7 @@ def test_topk(spark):
     clean = [(i, np.floor(64 * np.array(v, np.float32).astype(np.float64))) for i, v in rows if i is not None and v and len(v) == 8 and None not in v and np.isfinite(v).all()]
     want = []
     for q in range(0, 300, 20):
-        vq = min((v.tobytes() for i, v in clean if i == q)) if q == 60 else next(v for i, v in clean if i == q).tobytes()
-        x = np.frombuffer(vq)
+        x = min((v for i, v in clean if i == q), key=lambda v: v.astype(np.int16).tobytes())
         best = sorted(((-int(x @ v), i) for i, v in clean if i != q))[:20]
         want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
     assert got == want
@@ -274,12 +273,39 @@ def test_topk(spark):
 
 
 def test_topk_visits_few_annuli_of_clustered_vectors():
+    """The share of rows that the bounds leave to a query, given its exact 20th score."""
     rng = np.random.default_rng(1)
-    x = np.concatenate([rng.normal(c, 0.05, (200, 4)) for c in (0, 5, 10)])
+    x = np.floor(64 * np.concatenate([c + rng.normal(0, 0.05, (100, 16)) for c in rng.normal(0, 1, (60, 16))]))
     most = float((x * x).sum(axis=1).max())
     long = topk._longer(x, most)
-    centre, edges = topk.fit_pivots(long, 3, 4)
-    assert np.allclose((long * long).sum(axis=1), most) and edges.shape == (3, 3)
+    centre, edges = topk.fit_pivots(long[::2], topk.PIVOTS, topk.RINGS)
+    annulus, d = topk.assign(long, centre, edges)
+    held = topk.spans(annulus, d)
+    assert sum(n for n, _, _ in held.values()) == len(x)
+    size, low, high = (np.array(v) for v in zip(*held.values()))
+    q = x[::20]
+    scores = np.sort(q @ x.T, axis=1)[:, -21]
+    may = topk.reach(q, centre, low, high, most)
+    for a, n in zip(held, range(len(held))):  # the bound holds for every row of an annulus
+        assert ((q @ x[annulus == a].T).max(axis=1) <= may[:, n] + 1e-6 * np.abs(may[:, n])).all()
+    visited = ((may >= scores[:, None]) * size).sum() / (len(q) * len(x))
+    assert visited < 0.3
+
+
+def test_topk_in_several_rounds_and_lengths(spark, monkeypatch):
+    """Small units and rounds change nothing; lengths keep apart."""
+    monkeypatch.setattr(topk, "UNIT", 16)
+    monkeypatch.setattr(topk, "GROWTH", 3)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in rng.normal(size=5 if i % 3 else 7) * (600 if i % 50 == 0 else 1)]) for i in range(400)]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), k=5).collect())
+    want = []
+    for q, v in rows:
+        if q % 20 == 0:
+            x = np.floor(64 * np.array(v))
+            best = sorted((-int(x @ np.floor(64 * np.array(w))), i) for i, w in rows if i != q and len(w) == len(v))[:5]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert got == want
 
 
 def test_pii_deobfuscation():
