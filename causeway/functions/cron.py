@@ -42,7 +42,7 @@ def _value(text: str, names: list[str], first: int, lo: int, hi: int) -> int:
 def _items(text: str, lo: int, hi: int, names: list[str] = [], first: int = 0) -> list[int]:
     out: set[int] = set()
     m = re.fullmatch(r"(\*|[A-Z0-9]+)(?:-([A-Z0-9]+))?(?:/([0-9]+))?", text)
-    if not m or int(m[3] or 1) < 1:
+    if not m or int(m[3] or 1) < 1 or m[1] == "*" and m[2]:
         raise ValueError(f"bad field {text!r}")
     if m[1] == "*":
         a, b = lo, hi

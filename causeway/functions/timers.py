@@ -18,3 +18,8 @@ def catch_up(behind: Column, interval: Column) -> Column:
 def ready_at(now: Column, until: Column, delay: Column) -> Column:
     """Unix seconds at which a sleep ends."""
     return F.coalesce(until, now) + F.coalesce(delay, F.lit(0))
+
+
+def iso(ts: Column) -> Column:
+    """A time as ISO-8601 text in UTC, to the microsecond (the session's time zone is UTC)."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

@@ -67,3 +67,18 @@ def propagate(importance: DataFrame, edges: DataFrame, share: float, rounds: int
         got = sent.groupBy(F.col("dst_id").alias("id")).agg(F.sum(F.col("importance") * F.col("w") * share).alias("got"))
         now = now.join(got, "id", "left").select("id", (F.col("importance") + F.coalesce("got", F.lit(0.0))).alias("importance"))
     return now
+
+
+def weighted_recall(scores: DataFrame, edges: DataFrame, k: int, hops: int, decay: float, budget: int) -> DataFrame:
+    """``id, score`` of at most ``budget`` memories: the ``k`` best of ``scores(id, score)``, and
+    what ``edges(src_id, dst_id, weight)`` lead to from them in ``hops`` steps.
+
+    A step passes score * weight * decay on; a memory keeps the best it got.  Ties go to the
+    smaller id.  Each step is one join and an aggregate that starts inside tasks.
+    """
+    best = scores.orderBy(F.desc("score"), "id").limit(k).select("id", "score")
+    for _ in range(hops):
+        passed = best.select(F.col("id").alias("src_id"), "score").join(edges, "src_id")
+        passed = passed.select(F.col("dst_id").alias("id"), (F.col("score") * F.col("weight") * decay).alias("score"))
+        best = best.unionByName(passed).groupBy("id").agg(F.max("score").alias("score"))
+    return best.orderBy(F.desc("score"), "id").limit(budget)

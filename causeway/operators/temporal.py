@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cron import matches_day, parse
+from ..sources.shared import cut
 
 MICRO = 1_000_000
 
@@ -90,15 +91,34 @@ def exchange(requests: DataFrame, responses: DataFrame, timeout_us: int = 30 * M
 def once(events: DataFrame, key: str, order: list[str], is_reset: Column, is_fire: Column) -> DataFrame:
     """The first firing of each key, and the first after each reset.
 
-    Counted by epochs: an event's epoch is the number of its key's resets before it.
+    Counted by epochs: an event's epoch is the number of its key's resets before it.  Events
+    are dealt to ranges of (key, order) and counted inside each range, on top of the counts
+    of the ranges before it, so a key with very many events is spread over tasks.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    epochs = events.withColumn("epoch", F.sum(is_reset.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    fires = epochs.where(is_fire)
-    first = fires.groupBy(key, "epoch").agg(F.min(F.struct(*order)).alias("f"))
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = events.select(key, *order, is_reset.cast("int").alias("_reset"), is_fire.alias("_fire"))
+    ranged = cut(rows.repartitionByRange(parts, key, *order).withColumn("_part", F.spark_partition_id()), "epochs")
+    inside = Window.partitionBy("_part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # a row for each range and key in it
+    sums = ranged.groupBy("_part", key).agg(F.sum("_reset").alias("n"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_part", key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    here = ranged.withColumn("_epoch", F.sum("_reset").over(inside))
+    found = here.where("_fire").join(offsets.withColumnRenamed(key, "_key"), (F.col("_key").eqNullSafe(F.col(key))) & (here["_part"] == offsets["_part"]))
+    first = found.groupBy(key, (F.col("_epoch") + F.col("_before")).alias("epoch")).agg(F.min(F.struct(*order)).alias("f"))
     return first.select(key, F.col("epoch").cast("bigint").alias("epoch"), *[F.col(f"f.{c}").alias(c) for c in order])
 
 
+def reboots(schedule: DataFrame, at_us: int) -> DataFrame:
+    """``cron, at_us``: the jobs that a start at ``at_us`` gives the schedules with "@reboot"."""
+    return schedule.where("spec = '@reboot'").select("cron", F.lit(at_us).cast("bigint").alias("at_us"))
+
+
+def echo(calls: DataFrame, action: str) -> DataFrame:
+    """Calls of an action that does nothing, answered with their own parameters."""
+    return calls.where(F.col("action") == action)
+
+
 def dead_letters(calls: DataFrame, concepts: DataFrame, actions: DataFrame, rules: DataFrame) -> DataFrame:
     """``calls`` that reach no rule, with ``category``.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, timers
 from ..operators import append, dag, lookup, score, temporal, transcript
-from ..operators.recall import forest_edges, recall
+from ..operators.recall import forest_edges, induced_edges, recall
 from ..sources import schema
 from ..sources.schema import RecallConfig
 from ..sources.shared import cut
@@ -94,10 +94,11 @@ def mem_point_lookup(spark, sf_dir):
     return lookup.select_memory(m, rowid=53002).select("rowid", "uuid", "kind")
 
 
-@query(GRAPH + "select rowid, uuid from m where conv_id % 10 = 3")
+@query(GRAPH + "select rowid, uuid from m")
 def mem_multi_get(spark, sf_dir):
+    """All identifiers, and one that isn't there."""
     m, _ = _graph(spark, sf_dir)
-    asked = m.where("conv_id % 10 = 3").select("uuid").unionAll(spark.createDataFrame([("no such id",)], "uuid string"))
+    asked = m.select("uuid").unionAll(spark.createDataFrame([("no such id",)], "uuid string"))
     return lookup.select_memories(m, asked).select("rowid", "uuid")
 
 
@@ -180,51 +181,58 @@ def append_dangling(spark, sf_dir):
 # --- recall ----------------------------------------------------------------
 
 
-def _recalls(name: str, config: RecallConfig, roots: str, rounds: int) -> None:
-    """A recall query for the roots that the condition picks, one graph for each root's conv_id % 3."""
+def _recalls(name: str, config: RecallConfig, roots: str, graph_id: str, rounds: int) -> None:
+    """A recall query for all roots that the condition picks, in the graphs of ``graph_id``."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         m, e = _stored(spark, sf_dir)
-        picked = m.where(roots).select((F.col("conv_id") % 3).alias("graph_id"), F.col("rowid").alias("node_id"))
+        last = m.groupBy("conv_id").agg(F.max("turn").alias("last"))
+        picked = m.join(last, "conv_id").where(roots).select(F.expr(graph_id).cast("bigint").alias("graph_id"), F.col("rowid").alias("node_id"))
         return recall(m, e, picked, config).select("graph_id", "node_id", "level", "dir", "parent_id", "refcount")
 
     run.__name__ = name
-    query(GRAPH + recall_sql(f"select conv_id % 3 as graph_id, rowid as node_id from m where {roots}", config, rounds))(run)
+    query(GRAPH + recall_sql(f"select {graph_id} as graph_id, rowid as node_id from m where {roots}", config, rounds))(run)
 
 
-_recalls("recall_refs", RecallConfig(2, -1, 1_000_000), "turn = 1 and conv_id in (20, 33, 47)", 4)
-_recalls("recall_deps", RecallConfig(-1, 3, 1_000_000), "turn = 2 and conv_id in (20, 33, 47)", 5)
-_recalls("recall_both", RecallConfig(2, 3, 1_000_000), "turn = 1 and conv_id in (20, 33, 47)", 5)
-_recalls("recall_budget", RecallConfig(5, 5, 12), "turn = 2 and conv_id % 11 = 4 and conv_id < 60", 8)
-_recalls("recall_many", RecallConfig(2, 2, 200), "turn = 0 and conv_id % 9 = 5", 4)
+# a graph for each conversation, or for ten of them, or one for all
+_recalls("recall_refs", RecallConfig(2, -1, 1_000_000), "turn = 1", "conv_id", 4)
+_recalls("recall_deps", RecallConfig(-1, 3, 1_000_000), "turn = last", "conv_id", 5)
+_recalls("recall_both", RecallConfig(2, 3, 1_000_000), "turn = 1", "conv_id", 5)
+_recalls("recall_budget", RecallConfig(5, 5, 12), "turn = last", "conv_id", 8)
+_recalls("recall_many", RecallConfig(2, 2, 200), "turn = 0", "conv_id - conv_id % 10", 4)
+_recalls("recall_unbounded", RecallConfig(0, 0, 10**9), "turn = last", "0", 24)
 
 
-@query()
-def recall_unbounded(spark, sf_dir):
-    """All that one root reaches without a limit of depth or size (no SQL: the rounds are not known)."""
+def _chat_recall(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The roots of a chat turn: the five latest memories and the last ten of the history, here the users' turns."""
     m, e = _stored(spark, sf_dir)
-    roots = m.where("rowid = 20001").select(F.lit(0).cast("bigint").alias("graph_id"), F.col("rowid").alias("node_id"))
-    return recall(m, e, roots, RecallConfig(0, 0, 10**9)).select("node_id", "level", "dir", "parent_id", "refcount")
+    latest = lookup.page(m.select("rowid"), 1, 5)
+    history = lookup.page(m.where("kind = 'other'").select("rowid"), 1, 10)
+    roots = latest.unionByName(history).select(F.lit(0).cast("bigint").alias("graph_id"), F.col("rowid").alias("node_id"))
+    return recall(m, e, roots, RecallConfig(2, 3, 10)), e
 
 
-def _chat_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, e = _stored(spark, sf_dir)
-    roots = lookup.page(m.select("rowid"), 1, 5).select(F.lit(0).cast("bigint").alias("graph_id"), F.col("rowid").alias("node_id"))
-    return recall(m, e, roots, RecallConfig(2, 3, 10))
+def _chat(then: str) -> str:
+    roots = """select 0 as graph_id, rowid as node_id from (select rowid from m order by rowid desc limit 5)
+ union select 0, rowid from (select rowid from m where kind = 'other' order by rowid desc limit 10)"""
+    return GRAPH + recall_sql(roots, RecallConfig(2, 3, 10), 5, then)
 
 
-_CHAT = GRAPH + recall_sql("select 0 as graph_id, rowid as node_id from (select rowid from m order by rowid desc limit 5)", RecallConfig(2, 3, 10), 5)
+@query(_chat("select * from recalled"))
+def recall_chat(spark, sf_dir):
+    """The flagship: what a chat turn recalls around the latest memories and its history."""
+    return _chat_recall(spark, sf_dir)[0].select("graph_id", "node_id", "level", "dir", "parent_id", "refcount")
 
 
-@query(_CHAT)
-def recall_chat(spark, sf_dir):
-    """The flagship: what a chat turn recalls around the five latest memories."""
-    return _chat_recall(spark, sf_dir).select("graph_id", "node_id", "level", "dir", "parent_id", "refcount")
+@query(_chat("select r.graph_id, e.src_id, e.dst_id from recalled r join e on e.src_id = r.node_id join recalled t on t.graph_id = r.graph_id and t.node_id = e.dst_id"))
+def recall_induced_edges(spark, sf_dir):
+    """The stored edges between the recalled memories."""
+    return induced_edges(*_chat_recall(spark, sf_dir))
 
 
-@query(f"select case dir when 'ref' then node_id else parent_id end as src_id, case dir when 'ref' then parent_id else node_id end as dst_id from ({_CHAT}) where dir <> 'root'")
+@query(_chat("select case dir when 'ref' then node_id else parent_id end as src_id, case dir when 'ref' then parent_id else node_id end as dst_id from recalled where dir <> 'root'"))
 def recall_forest(spark, sf_dir):
-    return forest_edges(_chat_recall(spark, sf_dir)).select("src_id", "dst_id")
+    return forest_edges(_chat_recall(spark, sf_dir)[0]).select("src_id", "dst_id")
 
 
 # --- graphs ----------------------------------------------------------------
@@ -325,6 +333,57 @@ def transcript_replay(spark, sf_dir):
     return transcript.replay(rows)
 
 
+_PARTS = """with d as (select conv_id as graph_id, turn, role, text, row_number() over w as n, lead(role) over w as next, lag(role) over w as prev, lag(turn) over w as before
+  from conversations window w as (partition by conv_id order by turn)),
+t as (select *, (role = 'assistant' and turn % 4 = 1) as calls, coalesce(prev = 'assistant' and before % 4 = 1, false) as owed from d),
+x as (select *, (calls and coalesce(next, 'assistant') = 'assistant')::int as extra from t),
+s as (select *, n + coalesce(sum(extra) over (partition by graph_id order by turn rows between unbounded preceding and 1 preceding), 0) as msg from x)
+"""
+
+
+def _with_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Conversations whose memories have several parts: users' turns a split text and a file,
+    every other answer a thought and two tool calls."""
+    c = graph.table(spark, sf_dir, "conversations")
+    p, text, turn = schema.part, F.col("parts")[0]["content"], F.col("turn")
+    user = F.array(p("text", content=text), p("text", content=F.lit(" (more)")), p("file", file=F.lit("a.png"), mimetype=F.lit("image/png")))
+    tools = [p("tool", name=F.lit(f"tool{i}"), args=F.concat(F.lit('{"turn":'), turn, F.lit("}")), result=F.concat(F.lit(f"r{i} "), turn), call_id=F.concat(F.lit(f"c{i}-"), turn)) for i in (1, 2)]
+    own = F.when(turn % 4 == 1, F.array(p("think", content=F.lit("hm")), p("text", content=text), *tools)).otherwise(F.array(p("text", content=text)))
+    parts = F.when(F.col("kind") == "self", own).otherwise(user)
+    return graph.memories(c).withColumn("parts", parts), graph.inner_edges(c)
+
+
+@query(_PARTS + """select graph_id, msg::bigint as msg_seq, 'response' as msg_type, p.i::bigint as part_seq, p.kind as part_kind, p.content, p.name as tool_name, p.call as call_id from s, lateral (
+  select unnest(case when calls then [{'i': 1, 'kind': 'thinking', 'content': 'hm', 'name': null, 'call': null}, {'i': 2, 'kind': 'text', 'content': text, 'name': null, 'call': null},
+    {'i': 3, 'kind': 'tool-call', 'content': '{"turn":' || turn || '}', 'name': 'tool1', 'call': 'c1-' || turn}, {'i': 4, 'kind': 'tool-call', 'content': '{"turn":' || turn || '}', 'name': 'tool2', 'call': 'c2-' || turn}]
+    else [{'i': 1, 'kind': 'text', 'content': text, 'name': null, 'call': null}] end) as p) where role = 'assistant'
+union all select graph_id, msg, 'request', 1 + 2 * owed::int, 'text', '---' || chr(10) || 'id: ' || n || chr(10) || 'depends: [' ||
+    case when turn = 0 then '' when turn >= 2 and turn % 2 = 0 then (n - 2) || ', ' || (n - 1) else (n - 1)::varchar end
+    || ']' || chr(10) || 'metadata: {"role":"' || role || '"}' || chr(10) || '---' || chr(10) || text || ' (more)', null, null from s where role <> 'assistant'
+union all select graph_id, msg, 'request', 2 + 2 * owed::int, 'file', '[file failed to load image/png a.png]', null, null from s where role <> 'assistant'
+union all select graph_id, msg + 1, 'request', i, 'tool-return', 'r' || i || ' ' || turn, 'tool' || i, 'c' || i || '-' || turn from s, range(1, 3) r(i) where calls""")
+def transcript_parts(spark, sf_dir):
+    """Messages of memories with thoughts, tool calls, files and split texts."""
+    memories, edges = _with_parts(spark, sf_dir)
+    nodes = memories.select(F.col("conv_id").alias("graph_id"), F.col("rowid").alias("id"), "kind", "metadata", "parts")
+    order = dag.toposort(nodes, edges, direction="dependencies")
+    shown = transcript.display_ids(nodes.select("graph_id", F.col("id").alias("node_id"), F.col("id").alias("seq")))
+    return transcript.messages(nodes.join(order, ["graph_id", "id"]), edges, shown)
+
+
+@query("""with d as (select conv_id as graph_id, conv_id * 1000 + turn as id, turn, text, row_number() over (partition by conv_id order by turn) as n from conversations)
+select a.graph_id, a.id + 500 as new_id, b.id as dst_id, a.text as response from d a join d b on b.graph_id = a.graph_id and b.n in (1, a.turn + 2)""")
+def reply_edges(spark, sf_dir):
+    """Replies that name display ids -- the first, the next, the next again and an unknown one -- as edges to memories."""
+    nodes, _ = _conversations(spark, sf_dir)
+    shown = transcript.display_ids(nodes.select("graph_id", F.col("id").alias("node_id"), F.col("id").alias("seq")))
+    c = graph.table(spark, sf_dir, "conversations")
+    after = F.col("turn") + 2
+    data = F.to_json(F.struct(F.array(F.lit(1).cast("bigint"), after, after, F.lit(9999).cast("bigint")).alias("depends"), F.col("text").alias("response")))
+    results = c.select(F.col("conv_id").alias("graph_id"), (F.col("conv_id") * 1000 + F.col("turn") + 500).alias("new_id"), data.alias("data"))
+    return transcript.replies(results, shown)
+
+
 # --- events ----------------------------------------------------------------
 
 CRON = {"quarter": "*/15 9-10 * JAN MON-FRI", "daily": "@daily", "list": "5,35 6 1,15 2 *"}
@@ -538,3 +597,43 @@ def memory_builders(spark, sf_dir):
     rows = lookup.with_edges(m, e)
     users = rows.where("kind = 'other'").select(*schema.create_other(F.col("uuid"), F.col("parts")[0]["content"], F.col("edges")), "rowid")
     return users.select("uuid", "kind", F.size("targets").cast("bigint").alias("n_targets"))
+
+
+@query(GRAPH + """, q as (select rowid as id, (length(text) % 11 + turn % 11) / 2.0 as score from m), k as (select * from q order by score desc, id limit 20),
+w as (select src_id as a, dst_id as b, 1.0 / (1 + src_id - dst_id) as w from e union all select dst_id, src_id, 0.5 / (1 + src_id - dst_id) from e),
+h1 as (select id, max(score) as score from (select * from k union all select b, score * w * 0.5 from k join w on a = id) group by id),
+h2 as (select id, max(score) as score from (select * from h1 union all select b, score * w * 0.5 from h1 join w on a = id) group by id)
+select id, round(score, 9) as score from h2 order by h2.score desc, id limit 50""")
+def recall_weighted(spark, sf_dir):
+    """Hybrid recall: the best memories by score, then what weighted edges lead to, to a budget."""
+    m, e = _graph(spark, sf_dir)
+    scored = m.select(F.col("rowid").alias("id"), ((F.length(F.col("parts")[0]["content"]) % 11 + F.col("turn") % 11) / 2.0).alias("score"))
+    near = 1 / (1 + F.col("src_id") - F.col("dst_id"))
+    links = e.select("src_id", "dst_id", near.alias("weight")).unionAll(e.select(F.col("dst_id"), F.col("src_id"), near * 0.5))
+    return score.weighted_recall(scored, links, 20, 2, 0.5, 50).select("id", F.round("score", 9).alias("score"))
+
+
+@query("select user_id as cron, (select min(epoch_us(ts)) from events) as at_us from (select *, row_number() over (partition by user_id order by event_id desc) as n from events) where n = 1 and event_type = 'signup'")
+def cron_reboot(spark, sf_dir):
+    """Jobs of the schedules that ask for one at the start; each user's last command counts."""
+    e = _events(spark, sf_dir)
+    kind = F.col("event_type")
+    commands = e.select(
+        F.col("user_id").alias("cron"), F.col("event_id").alias("seq"), F.when(kind == "error", "cancel").otherwise("schedule").alias("action"),
+        F.when(kind == "signup", "@reboot").otherwise("@daily").alias("spec"),
+    )
+    return temporal.reboots(temporal.apply_schedule(commands), e.agg(F.min("us")).head()[0])
+
+
+@query("select event_id, event_type as action, props as params from events where event_type = 'view'")
+def echoes(spark, sf_dir):
+    """Actions that answer with what they were given."""
+    calls = graph.table(spark, sf_dir, "events").select(F.col("event_type").alias("action"), F.col("props").alias("params"), F.col("event_id").alias("flow"))
+    return temporal.echo(calls, "view").select(F.col("flow").alias("event_id"), "action", "params")
+
+
+@query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' as at, true as back from events")
+def iso_times(spark, sf_dir):
+    e = graph.table(spark, sf_dir, "events")
+    at = timers.iso(F.col("ts"))
+    return e.select("event_id", at.alias("at"), (F.to_timestamp(at) == F.col("ts").cast("timestamp")).alias("back"))

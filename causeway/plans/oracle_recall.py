@@ -8,7 +8,8 @@ from __future__ import annotations
 from ..sources.schema import RecallConfig
 
 
-def recall_sql(roots: str, config: RecallConfig, rounds: int) -> str:
+def recall_sql(roots: str, config: RecallConfig, rounds: int, then: str = "select * from recalled") -> str:
+    """The result is the table ``recalled``, which ``then`` may read."""
     reach = {0: RecallConfig.reach(config.refs), 1: RecallConfig.reach(config.deps)}
     out = [
         f", r0 as (select distinct * from ({roots}))",
@@ -40,5 +41,6 @@ def recall_sql(roots: str, config: RecallConfig, rounds: int) -> str:
     body = " union all ".join(f"select graph_id, node_id, level, d, parent_id, refcount from {t}" for t in takes)
     return (
         ",\n".join(out)
-        + f"\nselect graph_id, node_id, level, case when level = 0 then 'root' when d = 0 then 'ref' else 'dep' end as dir, parent_id, refcount from ({body})"
+        + f",\nrecalled as (select graph_id, node_id, level, case when level = 0 then 'root' when d = 0 then 'ref' else 'dep' end as dir, parent_id, refcount from ({body}))\n"
+        + then
     )

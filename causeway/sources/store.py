@@ -1,19 +1,25 @@
 """A store of memories and edges as versioned parquet tables.
 
-A version is a pair of table folders added to those before it; a small pointer table names
-the versions that count.  A version is published by writing the pointer last, so a failed
-or cancelled append leaves nothing behind that readers see.  One writer at a time is assumed.
+A version is a pair of table folders added to those before it.  A commit is a small file,
+named by its number, that names the versions of one transaction; it is created without
+overwriting, after all tables are written.  So a transaction of several batches shows whole
+or not at all, and of several writers one gets a number, while the others append anew to
+what they now find.  (The folder needs a file system whose create without overwrite is
+atomic, as HDFS and local ones have.)
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.append import Appended, append
 from .schema import EDGE, MEMORY
+from .shared import remove
 
 
 class CancelTransaction(Exception):
@@ -30,14 +36,18 @@ class Store:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-    def versions(self) -> list[str]:
+    def commits(self) -> list[list[str]]:
+        """The versions of each commit, in order."""
         if not self._exists(f"{self.path}/published"):
             return []
-        rows = self.spark.read.schema("n int, version string").json(f"{self.path}/published").orderBy("n").collect()
-        return [r["version"] for r in rows]
+        rows = self.spark.read.schema("n bigint, versions array<string>").json(f"{self.path}/published").orderBy("n").collect()
+        return [r["versions"] for r in rows]
+
+    def versions(self) -> list[str]:
+        return [v for c in self.commits() for v in c]
 
-    def _table(self, name: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/{v}/{name}" for v in self.versions()]
+    def _table(self, name: str, schema: str, versions: list[str] | None = None) -> DataFrame:
+        paths = [f"{self.path}/{v}/{name}" for v in (self.versions() if versions is None else versions)]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def memories(self) -> DataFrame:
@@ -53,10 +63,27 @@ class Appender(Store):
     def transaction(self) -> Transaction:
         return Transaction(self)
 
+    def publish(self, n: int, versions: list[str]) -> bool:
+        """Create commit ``n``; False if another writer has created it."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/published/{n:012}.json")
+        try:
+            out = path.getFileSystem(conf).create(path, False)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in str(error.java_exception) or path.getFileSystem(conf).exists(path):
+                return False
+            raise
+        out.write(bytearray(json.dumps({"n": n, "versions": versions}).encode()))
+        out.close()
+        return True
+
 
 class Transaction:
-    def __init__(self, store: Appender):
-        self.store, self.version, self.result = store, uuid.uuid4().hex, None
+    """Batches that are published together when the block ends; ``result`` is the last one's."""
+
+    def __init__(self, store: Appender, attempts: int = 20):
+        self.store, self.attempts = store, attempts
+        self.result: Appended | None = None
         self.batches: list[DataFrame] = []
 
     def __enter__(self) -> Transaction:
@@ -65,14 +92,28 @@ class Transaction:
     def add(self, batch: DataFrame) -> None:
         self.batches.append(batch)
 
+    def _stage(self, base: list[str], staged: list[str]) -> None:
+        for batch in self.batches:
+            self.result = append(self.store._table("memories", MEMORY, base + staged), batch)
+            staged.append(f"v-{uuid.uuid4().hex}")
+            self.result.memories.write.parquet(f"{self.store.path}/{staged[-1]}/memories")
+            self.result.edges.write.parquet(f"{self.store.path}/{staged[-1]}/edges")
+
     def __exit__(self, kind, error, trace) -> bool:
         if kind is not None:
             return issubclass(kind, CancelTransaction)
-        for n, batch in enumerate(self.batches):
-            self.result: Appended = append(self.store.memories(), batch)
-            version = f"v-{self.version}-{n}"
-            self.result.memories.write.parquet(f"{self.store.path}/{version}/memories")
-            self.result.edges.write.parquet(f"{self.store.path}/{version}/edges")
-            row = self.store.spark.createDataFrame([(len(self.store.versions()), version)], "n int, version string")
-            row.coalesce(1).write.mode("append").json(f"{self.store.path}/published")
+        for _ in range(self.attempts if self.batches else 0):
+            commits, staged = self.store.commits(), []
+            done = False
+            try:
+                self._stage([v for c in commits for v in c], staged)
+                done = self.store.publish(len(commits), staged)
+            finally:
+                if not done:
+                    for version in staged:
+                        remove(self.store.spark, f"{self.store.path}/{version}")
+            if done:
+                return False
+        if self.batches:
+            raise RuntimeError(f"other writers were first {self.attempts} times")
         return False

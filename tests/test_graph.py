@@ -235,3 +235,43 @@ def test_store_publishes_whole_versions(spark, tmp_path):
         t.add(batch(spark, [("b", [], 1), ("e", ["a", "e"], 2)]))
     assert [(r.rowid, r.uuid) for r in store.memories().orderBy("rowid").collect()] == [(1, "a"), (2, "b"), (3, "e")]
     assert sorted((r.src_id, r.dst_id) for r in store.edges().collect()) == [(2, 1), (3, 1), (3, 3)]
+
+
+def test_store_several_batches_or_none(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from causeway.sources.store import Appender
+
+    store = Appender(spark, f"file://{tmp_path}/store")
+    good = batch(spark, [("a", [], 1)])
+    with pytest.raises(Exception), store.transaction() as t:
+        t.add(good)
+        t.add(batch(spark, [("b", ["a"], 1)]).withColumn("kind", F.raise_error(F.lit("broken")).cast("string")))
+    assert store.memories().count() == 0 and store.commits() == [] and not list((tmp_path / "store").glob("v-*"))
+    with store.transaction() as t:
+        t.add(good)
+        t.add(batch(spark, [("b", ["a"], 1)]))
+    assert [(r.rowid, r.uuid) for r in store.memories().orderBy("rowid").collect()] == [(1, "a"), (2, "b")] and len(store.commits()) == 1
+
+
+def test_store_two_writers(spark, tmp_path, monkeypatch):
+    """A writer that finds its number taken appends anew: no row number repeats, nothing is lost."""
+    from causeway.sources.store import Appender
+
+    one, two = (Appender(spark, f"file://{tmp_path}/store") for _ in range(2))
+    publish = Appender.publish
+    tries = []
+
+    def slow(self, n, versions):
+        tries.append(n)
+        if len(tries) == 1:  # the other writer comes in between
+            with two.transaction() as t:
+                t.add(batch(spark, [("b", [], 1), ("c", ["b"], 2)]))
+        return publish(self, n, versions)
+
+    monkeypatch.setattr(Appender, "publish", slow)
+    with one.transaction() as t:
+        t.add(batch(spark, [("a", [], 1), ("b", [], 2)]))
+    assert tries == [0, 0, 1]
+    assert [(r.rowid, r.uuid) for r in one.memories().orderBy("rowid").collect()] == [(1, "b"), (2, "c"), (3, "a")]
+    assert len(one.commits()) == 2
