@@ -3,37 +3,18 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-HOT = 4
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset (tests on one machine) a temporary folder is made.
-    """
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="causeway-")
-    return _own[app]
+from ..sources.shared import remove, scratch
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+HOT = 4
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -52,12 +33,6 @@ def drop(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def tidy(batches: Iterator) -> Iterator:
     """Pass on what a task makes; at its end give memory back that it no longer needs, so a
     worker that runs many tasks, of one query after the other, holds what the last one holds."""
