@@ -7,15 +7,19 @@ are linked when ``100 * |A & B| >= percent * |A | B|``.  The steps:
     them give ``bands`` band keys, all of them are folded into a parity bitmap, the
     odd sketch, which bit ``h(i, minhash_i)`` toggles.  Documents with equal sets are
     one class, stood for by the least ``doc_id``; only representatives go on.
-2.  banding: representatives that share a band key meet.  A bucket with many members
-    is split into blocks, and each pair of blocks is a unit of its own, so no task
-    holds a whole hot bucket.  Inside a unit the XOR population counts of the odd
-    sketches estimate the similarity; pairs estimated at ``floor`` or more are joined
-    to a forest, of which at most one edge a member leaves the task.
+2.  banding: representatives that share a band key meet.  XOR population counts of the odd
+    sketches estimate the similarity; pairs estimated at ``floor`` or more are joined to a
+    forest, of which at most one edge a member leaves the task.
 3.  groups: connected components of these edges.  All links lie inside a group.
-4.  confirmation: the full shingle sets of grouped representatives are compared
-    exactly, in pairs of blocks of a group; again a forest of confirmed links leaves
-    the task.  Components of the confirmed links are the answer, spread over classes.
+4.  confirmation: the full shingle sets of grouped representatives are compared exactly;
+    again a forest of confirmed links leaves the task.  Components of the confirmed links
+    are the answer, spread over classes.
+
+A bucket or group of up to ``BLOCK`` members is compared at once.  A larger one is dealt to
+blocks, all of which first meet ``CENTRES`` of its members: those of the centres that hang
+together are its core, and members linked to the core are in one component with it, so
+pairs of them need no look.  The other members then meet all, in pairs of blocks.  No task
+holds a whole hot bucket, and a large group of near copies takes linear work.
 
 Nothing is capped.  What can be missed is a link at the threshold that shares no band
 (probability ``(1 - 0.8**4)**24`` = 3e-6) or that the sketch estimates below ``floor``
@@ -29,11 +33,11 @@ different texts, the component links through both).  Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop, meet, mix, shingle_set, tidy
@@ -42,7 +46,7 @@ from .components import Forest, components
 K, PERCENT = 4, 80
 BANDS, ROWS, SAMPLES, BITS = 24, 4, 256, 512
 FLOOR = 0.62
-BLOCK = 512
+BLOCK, CENTRES = 512, 8
 
 _SIGNATURE = "doc_id long, n_shingles long, class binary, sketch binary, bands array<long>"
 
@@ -113,23 +117,6 @@ def signatures(docs: DataFrame, k: int = K, bands: int = BANDS, rows: int = ROWS
     )
 
 
-def block_pairs(members: DataFrame, key: list[str], salt: str, size: int = BLOCK) -> DataFrame:
-    """Deal the members of each key to pairs of blocks (columns ``lo``, ``hi``, ``mine``).
-
-    A key with up to ``size`` members is one unit (0, 0).  Larger ones have
-    ``ceil(n / size)`` blocks; a member goes to every unit its block belongs to.
-    ``members`` has the group size in ``n``.
-    """
-    blocks = F.ceil(F.col("n") / F.lit(float(size))).cast("int")
-    mine = F.pmod(F.xxhash64(salt), blocks).cast("int")
-    units = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda other: F.struct(F.least("mine", other).alias("lo"), F.greatest("mine", other).alias("hi")),
-    )
-    dealt = members.withColumn("blocks", blocks).withColumn("mine", mine)
-    return dealt.withColumn("unit", F.explode(units)).select(*key, "unit.lo", "unit.hi", *[c for c in dealt.columns if c not in (*key, "n", "blocks")])
-
-
 def _runs(batches: Iterator[pa.RecordBatch], n_key: int) -> Iterator[pa.Table]:
     """Tables of rows with equal key columns, out of batches sorted by them."""
     held: list[pa.RecordBatch] = []
@@ -171,32 +158,72 @@ def _forest_of(similar: Iterator[tuple[np.ndarray, np.ndarray]], ids: np.ndarray
     return out
 
 
-def _sides(mine: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Row numbers of the two blocks of a unit; whether it is one block with itself."""
-    if lo == hi:
-        all_rows = np.arange(len(mine))
-        return all_rows, all_rows, True
-    return np.flatnonzero(mine == lo), np.flatnonzero(mine == hi), False
+Compare = Callable[[list[bytes], list[bytes]], np.ndarray]
+
+
+def _core(linked: np.ndarray) -> list[int]:
+    """Of the largest set of members that hang together, each one's neighbour on the way to
+    the first of them, itself for the first; -1 for the others."""
+    best: list[int] = [-1] * len(linked)
+    seen: set[int] = set()
+    for root in range(len(linked)):
+        if root in seen:
+            continue
+        via, todo = {root: root}, [root]
+        for x in todo:
+            for y in np.flatnonzero(linked[x]).tolist():
+                if y not in via:
+                    via[y] = x
+                    todo.append(y)
+        seen |= set(via)
+        if len(via) > sum(x >= 0 for x in best):
+            best = [via.get(i, -1) for i in range(len(linked))]
+    return best
+
+
+def _meet_core(batches: Iterator[pa.RecordBatch], compare: Compare) -> Iterator[pa.RecordBatch]:
+    """For each member of a block (side 1) a member of the core it is linked to, or null; the
+    rows of side 0 are the group's centres."""
+    for run in _runs(batches, 2):
+        ids, side = np.asarray(run.column("doc_id")), np.asarray(run.column("side"))
+        held = run.column("payload").to_pylist()
+        centres, rows = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        centres = centres[np.argsort(ids[centres])]
+        payloads = [held[i] for i in centres]
+        via = _core(compare(payloads, payloads))
+        core = [i for i, v in enumerate(via) if v >= 0]
+        up = {int(ids[centres[i]]): int(ids[centres[via[i]]]) for i in core}
+        found: list[int | None] = []
+        for at in range(0, len(rows), 256):
+            part = rows[at : at + 256]
+            linked = compare([held[i] for i in part], [payloads[i] for i in core])
+            first = linked.argmax(axis=1)
+            hit = linked.any(axis=1)
+            found += [up.get(d, int(ids[centres[core[f]]]) if h else None) for d, f, h in zip(ids[part].tolist(), first.tolist(), hit.tolist())]
+        yield pa.RecordBatch.from_arrays(
+            [run.column("key").combine_chunks().take(pa.array(rows)), pa.array(ids[rows]), pa.array(found, pa.int64())], names=["key", "a", "b"]
+        )
 
 
-def _sketch_edges(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Forest of pairs whose sketches differ in ``limit`` bits at most, for each unit."""
+def _meet_all(batches: Iterator[pa.RecordBatch], compare: Compare) -> Iterator[pa.RecordBatch]:
+    """Forest of the links of each unit: of its members with each other, or of side 0 with side 1."""
     out: list[tuple[int, int]] = []
     for run in _runs(batches, 3):
         if run.num_rows < 2:
             continue
-        ids = np.asarray(run.column("doc_id"))
-        mine = np.asarray(run.column("mine"))
-        x = np.frombuffer(b"".join(run.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
-        left, right, same = _sides(mine, run.column("lo")[0].as_py(), run.column("hi")[0].as_py())
+        ids, side = np.asarray(run.column("doc_id")), np.asarray(run.column("side"))
+        held = run.column("payload").to_pylist()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        same = not len(right)
+        if same:
+            right = left
 
         def similar():
             for at in range(0, len(left), 128):
                 rows = left[at : at + 128]
-                diff = np.bitwise_count(x[rows][:, None, :] ^ x[right][None, :, :]).sum(axis=2, dtype=np.int64)
-                i, j = np.nonzero(diff <= limit)
+                i, j = np.nonzero(compare([held[x] for x in rows], [held[x] for x in right]))
                 i, j = rows[i], right[j]
-                keep = i < j if same else i != j
+                keep = i < j if same else ids[i] != ids[j]
                 yield i[keep], j[keep]
 
         out += _forest_of(similar(), ids)
@@ -206,17 +233,54 @@ def _sketch_edges(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.
     yield _edges(out)
 
 
+def linked(members: DataFrame, compare: Compare) -> DataFrame:
+    """``a, b``: a forest of the links inside every key.
+
+    ``members`` has ``key, n`` (how many members the key has), ``doc_id, payload``; ``compare``
+    gives the matrix of links between two lists of payloads.
+    """
+    blocks, block = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int"), F.xxhash64("doc_id")
+    zero = F.lit(0)
+    large = cut(members.where(F.col("n") > BLOCK).withColumn("mine", F.pmod(block, blocks).cast("int")), "large")
+    order = Window.partitionBy("key").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
+    centres = large.withColumn("r", F.row_number().over(order)).where(F.col("r") <= CENTRES)
+    spread = centres.select("key", F.explode(F.sequence(zero, blocks - 1)).alias("mine"), zero.alias("side"), "doc_id", "payload")
+    met = spread.unionByName(large.select("key", "mine", F.lit(1).alias("side"), "doc_id", "payload"))
+    star = cut(
+        met.repartition("key", "mine").sortWithinPartitions("key", "mine", "side").mapInArrow(
+            lambda it: tidy(_meet_core(it, compare)), "key long, a long, b long"
+        ),
+        "star",
+    )
+    rest = star.where("b is null").select("key", F.col("a").alias("doc_id"))
+    # a row for each large key
+    sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("others")).join(large.groupBy("key").agg(F.max("n").alias("n")), "key")
+    both = meet(large.drop("n"), sizes, "key")
+    other_blocks = F.ceil(F.col("others") / F.lit(float(BLOCK))).cast("int")
+    everyone = both.select("key", F.explode(F.sequence(zero, other_blocks - 1)).alias("lo"), F.col("mine").alias("hi"), F.lit(1).alias("side"), "doc_id", "payload")
+    others = both.join(rest, ["key", "doc_id"], "left_semi").select(
+        "key", F.pmod(block, other_blocks).cast("int").alias("lo"), F.explode(F.sequence(zero, blocks - 1)).alias("hi"), zero.alias("side"), "doc_id", "payload"
+    )
+    small = members.where(F.col("n") <= BLOCK).select("key", zero.alias("lo"), zero.alias("hi"), zero.alias("side"), "doc_id", "payload")
+    units = small.unionByName(everyone).unionByName(others)
+    found = units.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side").mapInArrow(
+        lambda it: tidy(_meet_all(it, compare)), "a long, b long"
+    )
+    return found.unionAll(star.where("b is not null").select("a", "b"))
+
+
 def candidate_edges(reps: DataFrame, floor: float = FLOOR) -> DataFrame:
     """``a, b``: a forest of the sketch-similar pairs of every band bucket."""
-    dealt = reps.select("doc_id", F.posexplode("bands").alias("band", "key")).repartition("key", "band")
-    counts = dealt.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = dealt.join(counts, ["key", "band"]).select("doc_id", "key", "n", "band")
-    met = met.join(reps.select("doc_id", "sketch"), "doc_id")
-    units = block_pairs(met, ["key"], "doc_id").select("key", "lo", "hi", "mine", "doc_id", "sketch")
+    dealt = reps.select("doc_id", F.explode("bands").alias("key")).repartition("key")  # keys differ by band
+    counts = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = dealt.join(counts, "key").select("doc_id", "key", "n")
     limit = most_bits(floor)
-    return units.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(
-        lambda it: tidy(_sketch_edges(it, limit)), "a long, b long"
-    )
+
+    def compare(left: list[bytes], right: list[bytes]) -> np.ndarray:
+        x, y = (np.frombuffer(b"".join(v), np.uint64).reshape(len(v), -1) for v in (left, right))
+        return np.bitwise_count(x[:, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64) <= limit
+
+    return linked(met.join(reps.select("doc_id", F.col("sketch").alias("payload")), "doc_id"), compare)
 
 
 def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -255,55 +319,33 @@ def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
     return out
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Forest of the confirmed links of each unit of a group."""
-    out: list[tuple[int, int]] = []
-    for run in _runs(batches, 3):
-        if run.num_rows < 2:
-            continue
-        ids = np.asarray(run.column("doc_id"))
-        mine = np.asarray(run.column("mine"))
-        sets = [np.frombuffer(v, np.uint64) for v in run.column("members").to_pylist()]
-        size = np.array([len(s) for s in sets])
-        left, right, same = _sides(mine, run.column("lo")[0].as_py(), run.column("hi")[0].as_py())
-        if not len(left) or not len(right):
-            continue
-        if run.num_rows == 2:
-            both = np.array([[len(np.intersect1d(sets[0], sets[1], assume_unique=True))]], np.float32)
-            left, right, same = np.array([0]), np.array([1]), False
-        else:
-            both = _intersections(sets, left, right)
-        union = size[left][:, None] + size[right][None, :] - both
-        i, j = np.nonzero(100 * both.astype(np.int64) >= percent * union.astype(np.int64))
-        i, j = left[i], right[j]
-        keep = i < j if same else i != j
-        out += _forest_of(iter([(i[keep], j[keep])]), ids)
-        if len(out) > 50_000:
-            yield _edges(out)
-            out = []
-    yield _edges(out)
-
-
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         packed = [shingle_set(t.as_py(), k)[0].tobytes() for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), batch.column(3), pa.array(packed, pa.binary())],
-            names=["doc_id", "component", "n", "members"],
+            [batch.column(0), batch.column(2), batch.column(3), pa.array(packed, pa.binary())], names=["doc_id", "key", "n", "payload"]
         )
 
 
 def confirmed_edges(docs: DataFrame, groups: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """``a, b``: a forest of the links, confirmed on the full sets, of every group."""
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    sized = groups.join(sizes, "component").select(F.col("vertex").alias("doc_id"), "component", "n")
+    sized = meet(groups, sizes, "component").select(F.col("vertex").alias("doc_id"), F.col("component").alias("key"), "n")
     # always a merge join: a plan that broadcasts small groups only would change with size
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(sized.hint("merge"), "doc_id").select("doc_id", "text", "component", "n")
-    sets = texts.mapInArrow(lambda it: tidy(_sets(it, k)), "doc_id long, component long, n long, members binary")
-    units = block_pairs(sets, ["component"], "doc_id").select("component", "lo", "hi", "mine", "doc_id", "members")
-    return units.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(
-        lambda it: tidy(_confirmed(it, percent)), "a long, b long"
-    )
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(sized.hint("merge"), "doc_id").select("doc_id", "text", "key", "n")
+    sets = cut(texts.mapInArrow(lambda it: tidy(_sets(it, k)), "doc_id long, key long, n long, payload binary"), "sets")
+
+    def compare(left: list[bytes], right: list[bytes]) -> np.ndarray:
+        held = [np.frombuffer(v, np.uint64) for v in [*left, *right]]
+        size = np.array([len(v) for v in held])
+        if len(held) == 2:
+            both = np.array([[len(np.intersect1d(held[0], held[1], assume_unique=True))]])
+        else:
+            both = _intersections(held, np.arange(len(left)), np.arange(len(left), len(held)))
+        union = size[: len(left), None] + size[None, len(left) :] - both
+        return 100 * both.astype(np.int64) >= percent * union.astype(np.int64)
+
+    return linked(sets, compare)
 
 
 def near_dedup(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:

@@ -153,20 +153,31 @@ def test_near_equals_all_pairs(docs_of, seed):
     assert got == brute_components(rows, 4)
 
 
-def test_near_blocks_of_a_large_group(docs_of, monkeypatch):
-    """A group is compared in pairs of blocks; smaller blocks change nothing."""
-    rng = random.Random(4)
-    base = [f"w{i}" for i in range(60)]
+@pytest.mark.parametrize("edits", [1, 5, 9])
+def test_near_blocks_of_a_large_group(docs_of, monkeypatch, edits):
+    """A large group meets its core, then what is left in pairs of blocks; small blocks change nothing."""
+    rng = random.Random(edits)
     rows = []
-    for i in range(60):
-        text = list(base)
-        text[rng.randrange(60)] = f"e{i}"
-        rows.append((i, " ".join(text)))
-    monkeypatch.setattr(near_dedup.block_pairs, "__defaults__", (8,))
+    for g in range(2):
+        base = [f"w{g}-{i}" for i in range(200)]
+        for i in range(50):
+            text = list(base)
+            for _ in range(rng.randint(1, edits)):
+                text[rng.randrange(200)] = f"e{g}-{i}-{rng.random()}"
+            rows.append((len(rows), " ".join(text)))
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "CENTRES", 3)
     got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs_of(rows)).collect()}
     assert got == brute_components(rows, 4)
 
 
+def test_core_of_a_group():
+    links = np.eye(5, dtype=bool)
+    for i, j in ((0, 1), (2, 3), (3, 4)):
+        links[i, j] = links[j, i] = True
+    assert near_dedup._core(links) == [-1, -1, 2, 2, 3]
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(1)
     for j in (0.6, 0.8, 0.95):
