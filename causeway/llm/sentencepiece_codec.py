@@ -38,6 +38,8 @@ MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: New words coded in one go.
 TOGETHER = 128
+#: Words that a worker remembers, about 300 bytes each.
+WORDS = 80_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -172,9 +174,9 @@ def _tokenizer(path: str):
     return _loaded["whole", path]
 
 
-def _coder(path: str, parity: bool):
+def _coder(path: str, parity: bool, held: int):
     """What codes texts, and with ``parity`` compares them with the library."""
-    if ("code", path, parity) not in _loaded:
+    if ("code", path, parity, held) not in _loaded:
         with open(path, "rb") as f:
             by_word = cuts(parse(f.read()))
         checks = None
@@ -182,8 +184,8 @@ def _coder(path: str, parity: bool):
             import sentencepiece
 
             checks = sentencepiece.SentencePieceProcessor(model_file=path)
-        _loaded["code", path, parity] = WordCoder(path, checks) if by_word else Whole(_tokenizer(path), checks)
-    return _loaded["code", path, parity]
+        _loaded["code", path, parity, held] = WordCoder(path, checks, held) if by_word else Whole(_tokenizer(path), checks)
+    return _loaded["code", path, parity, held]
 
 
 class WordCoder:
@@ -195,7 +197,7 @@ class WordCoder:
     of ``limit`` seen most stays, so memory does not follow the vocabulary of the corpus.
     """
 
-    def __init__(self, path: str, checks=None, limit: int = 80_000):
+    def __init__(self, path: str, checks=None, limit: int = WORDS):
         with open(path, "rb") as f:
             self.model = parse(f.read())
         self.words = build(self.model)
@@ -235,8 +237,8 @@ class WordCoder:
         # first pieces are those that start with a mark
         joins = [self.model["dummy_prefix"] and w[0] == MARK != w[-1] and w.count(MARK) == 1 for w in new]
         joined, alone = list(compress(new, joins)), [w for w, j in zip(new, joins) if not j]
-        for i in range(0, len(joined), TOGETHER * 16):
-            groups_of = [joined[j : j + TOGETHER] for j in range(i, min(len(joined), i + TOGETHER * 16), TOGETHER)]
+        for i in range(0, len(joined), TOGETHER * 64):
+            groups_of = [joined[j : j + TOGETHER] for j in range(i, min(len(joined), i + TOGETHER * 64), TOGETHER)]
             texts = ["".join(g) for g in groups_of]
             coded = self.words.encode_batch_fast(texts, add_special_tokens=False)
             theirs = self.checks.encode([t[1:].replace(MARK, " ") for t in texts], num_threads=1) if self.checks is not None else [None] * len(texts)
@@ -251,8 +253,8 @@ class WordCoder:
                     self._hold(g, np.diff(starts, append=len(ids)), ids, True, True)
                 else:  # word by word, to tell which ones differ
                     self._one_by_one(g)
-        for i in range(0, len(alone), TOGETHER * 16):
-            self._one_by_one(alone[i : i + TOGETHER * 16])
+        for i in range(0, len(alone), TOGETHER * 64):
+            self._one_by_one(alone[i : i + TOGETHER * 64])
 
     def _one_by_one(self, new: list[str]) -> None:
         ids = [e.ids for e in self.words.encode_batch_fast(new, add_special_tokens=False)]
@@ -331,10 +333,10 @@ class Whole:
         return flat, np.array([len(i) for i in ids], np.int64), np.array([a == b for a, b in zip(back, texts)], bool), np.array(same, bool)
 
 
-def _code(batches: Iterator[pa.RecordBatch], path: str, parity: bool, step: int) -> Iterator[pa.RecordBatch]:
+def _code(batches: Iterator[pa.RecordBatch], path: str, parity: bool, step: int = 1 << 18, words: int = WORDS) -> Iterator[pa.RecordBatch]:
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
     os.environ.setdefault("RAYON_NUM_THREADS", "2")  # each thread has a memory pool of its own
-    coder = _coder(path, parity)
+    coder = _coder(path, parity, words)
     for batch in batches:
         names = batch.schema.names
         at = 0
@@ -352,13 +354,13 @@ def _code(batches: Iterator[pa.RecordBatch], path: str, parity: bool, step: int)
     coder.rest()
 
 
-def encode(docs: DataFrame, model_path: str = MODEL, parity: bool = False, step: int = 1 << 18, carry: Mapping[str, Column] | None = None) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = MODEL, parity: bool = False, words: int = WORDS, carry: Mapping[str, Column] | None = None) -> DataFrame:
     """``doc_id``, the columns of ``carry``, and ``ids, n_tokens, round_trip, parity`` of every whole text.
 
     ``round_trip``: decoding the ids gives the text back (a model that normalises or
     squeezes spaces loses what it normalises).  ``parity``: the ids of every word (of the
     text, if that isn't cut) equal those of the sentencepiece library; null unless asked
-    for.  ``carry`` has further columns of ``docs`` by the name they get, none of which may
+    for.  A worker remembers at most ``words`` distinct words.  ``carry`` has further columns of ``docs`` by the name they get, none of which may
     be a name of this table.  The model file must be readable under ``model_path`` on every
     executor.
     """
@@ -368,7 +370,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, parity: bool = False, step:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(name) for name, c in carry.items()], "text")
     passed = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:-1])
     return rows.mapInArrow(
-        lambda it: tidy(_code(it, model_path, parity, step)),
+        lambda it: tidy(_code(it, model_path, parity, words=words)),
         f"doc_id long, {passed}ids array<int>, n_tokens long, round_trip boolean, parity boolean",
     )
 
@@ -387,4 +389,4 @@ def decode(coded: DataFrame, model_path: str = MODEL) -> DataFrame:
 
 
 def op7_query(docs: DataFrame, parity: bool = True) -> DataFrame:
-    return encode(docs, parity=parity)
+    return encode(docs, parity=parity, words=3 * WORDS)
