@@ -20,8 +20,8 @@ are judged on the input, not on what is left.
 Windows are told apart by 80 bits of two independent hashes over BLAKE2b digests of their
 words: among n windows a false repeat is expected n*n / 2**81 times (0.004 for 10**11).
 
-Homes and buckets follow ``spark.sql.shuffle.partitions`` and the bytes of text, so a home
-stays at about ``HOME_BYTES``; the driver holds a number for each home.
+Homes and buckets follow the bytes of text and ``spark.sql.shuffle.partitions``, so a home
+stays at about ``HOME_BYTES`` or less; the driver holds a number for each home.
 
 Defined results: null or blank text has no words; fewer than ``k`` words have no window;
 a null ``doc_id`` neither owns nor loses anything; rows that repeat a ``doc_id`` are one
@@ -44,7 +44,7 @@ from .common import folded, tidy, window_hashes, word_hashes
 
 K = 13
 CHUNK_WINDOWS = 600_000
-HOME_BYTES, BUCKET_BYTES = 64 << 20, 96 << 20
+CHUNK_BYTES, HOME_BYTES, BUCKET_BYTES = 4 << 20, 64 << 20, 96 << 20
 PER_PARTITION = 4
 #: More bits of a window than its hash has.
 _CHECK = np.uint64((1 << 16) - 1)
@@ -208,13 +208,17 @@ def intervals(at: np.ndarray, k: int) -> np.ndarray:
 
 
 def _listed(h: np.ndarray, c: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Which (h, c) are in one of the lists; each list is sorted by h."""
+    """Which (h, c) are in one of the lists."""
     out = np.zeros(len(h), bool)
-    for lost_h, lost_c in lists:
-        at = np.searchsorted(lost_h, h)
-        for step in (0, 1):  # two windows that share their first 64 bits stand side by side
-            near = np.minimum(at + step, len(lost_h) - 1)
-            out |= (lost_h[near] == h) & (lost_c[near] == c)
+    if not lists:
+        return out
+    lost_h, lost_c = (np.concatenate(x) for x in zip(*lists))
+    order = np.argsort(lost_h)
+    lost_h, lost_c = lost_h[order], lost_c[order]
+    at = np.searchsorted(lost_h, h)
+    for step in (0, 1):  # two windows that share their first 64 bits stand side by side
+        near = np.minimum(at + step, len(lost_h) - 1)
+        out |= (lost_h[near] == h) & (lost_c[near] == c)
     return out
 
 
@@ -288,9 +292,11 @@ def substring_dedup(docs: DataFrame, k: int = K, chunk_windows: int = CHUNK_WIND
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    homes = max(PER_PARTITION * parts, -(-size // HOME_BYTES))
-    buckets = max(PER_PARTITION * parts, -(-size // BUCKET_BYTES))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / homes for i in range(1, homes)], max(10_000, 10 * homes))).head()[0] or [0]
+    # small inputs have homes of about a chunk, so that no more rows than that are dealt
+    few = min(PER_PARTITION * parts, -(-size // CHUNK_BYTES))
+    homes, buckets = max(1, few, -(-size // HOME_BYTES)), max(1, few, -(-size // BUCKET_BYTES))
+    shares = [i / homes for i in range(1, homes)] or [0.5]
+    cuts = rows.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * homes))).head()[0] or [0]
     # identifiers that are null have homes of their own
     none = -1 - F.pmod(F.xxhash64("text"), F.lit(homes))
     home = F.when(F.col("doc_id").isNull(), none).otherwise(_home(F.col("doc_id"), sorted(set(cuts))))
