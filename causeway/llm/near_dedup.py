@@ -233,15 +233,16 @@ def _meet_all(batches: Iterator[pa.RecordBatch], compare: Compare) -> Iterator[p
     yield _edges(out)
 
 
-def linked(members: DataFrame, compare: Compare) -> DataFrame:
+def linked(few: DataFrame, many: DataFrame, compare: Compare) -> DataFrame:
     """``a, b``: a forest of the links inside every key.
 
-    ``members`` has ``key, n`` (how many members the key has), ``doc_id, payload``; ``compare``
-    gives the matrix of links between two lists of payloads.
+    Both tables have ``key, n`` (how many members the key has), ``doc_id, payload``: ``few`` the
+    keys of up to ``BLOCK`` members, ``many`` the others.  ``compare`` gives the matrix of links
+    between two lists of payloads.
     """
     blocks, block = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int"), F.xxhash64("doc_id")
     zero = F.lit(0)
-    large = cut(members.where(F.col("n") > BLOCK).withColumn("mine", F.pmod(block, blocks).cast("int")), "large")
+    large = cut(many.withColumn("mine", F.pmod(block, blocks).cast("int")), "large")
     order = Window.partitionBy("key").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
     centres = large.withColumn("r", F.row_number().over(order)).where(F.col("r") <= CENTRES)
     spread = centres.select("key", F.explode(F.sequence(zero, blocks - 1)).alias("mine"), zero.alias("side"), "doc_id", "payload")
@@ -261,7 +262,7 @@ def linked(members: DataFrame, compare: Compare) -> DataFrame:
     others = both.join(rest, ["key", "doc_id"], "left_semi").select(
         "key", F.pmod(block, other_blocks).cast("int").alias("lo"), F.explode(F.sequence(zero, blocks - 1)).alias("hi"), zero.alias("side"), "doc_id", "payload"
     )
-    small = members.where(F.col("n") <= BLOCK).select("key", zero.alias("lo"), zero.alias("hi"), zero.alias("side"), "doc_id", "payload")
+    small = few.select("key", zero.alias("lo"), zero.alias("hi"), zero.alias("side"), "doc_id", "payload")
     units = small.unionByName(everyone).unionByName(others)
     found = units.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side").mapInArrow(
         lambda it: tidy(_meet_all(it, compare)), "a long, b long"
@@ -280,7 +281,8 @@ def candidate_edges(reps: DataFrame, floor: float = FLOOR) -> DataFrame:
         x, y = (np.frombuffer(b"".join(v), np.uint64).reshape(len(v), -1) for v in (left, right))
         return np.bitwise_count(x[:, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64) <= limit
 
-    return linked(met.join(reps.select("doc_id", F.col("sketch").alias("payload")), "doc_id"), compare)
+    members = met.join(reps.select("doc_id", F.col("sketch").alias("payload")), "doc_id")
+    return linked(members.where(F.col("n") <= BLOCK), members.where(F.col("n") > BLOCK), compare)
 
 
 def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -331,9 +333,12 @@ def confirmed_edges(docs: DataFrame, groups: DataFrame, k: int = K, percent: int
     """``a, b``: a forest of the links, confirmed on the full sets, of every group."""
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     sized = meet(groups, sizes, "component").select(F.col("vertex").alias("doc_id"), F.col("component").alias("key"), "n")
-    # always a merge join: a plan that broadcasts small groups only would change with size
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(sized.hint("merge"), "doc_id").select("doc_id", "text", "key", "n")
-    sets = cut(texts.mapInArrow(lambda it: tidy(_sets(it, k)), "doc_id long, key long, n long, payload binary"), "sets")
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+
+    def sets(of: DataFrame) -> DataFrame:
+        # always a merge join: a plan that broadcasts small groups only would change with size
+        met = texts.join(of.hint("merge"), "doc_id").select("doc_id", "text", "key", "n")
+        return met.mapInArrow(lambda it: tidy(_sets(it, k)), "doc_id long, key long, n long, payload binary")
 
     def compare(left: list[bytes], right: list[bytes]) -> np.ndarray:
         held = [np.frombuffer(v, np.uint64) for v in [*left, *right]]
@@ -345,7 +350,7 @@ def confirmed_edges(docs: DataFrame, groups: DataFrame, k: int = K, percent: int
         union = size[: len(left), None] + size[None, len(left) :] - both
         return 100 * both.astype(np.int64) >= percent * union.astype(np.int64)
 
-    return linked(sets, compare)
+    return linked(sets(sized.where(F.col("n") <= BLOCK)), sets(sized.where(F.col("n") > BLOCK)), compare)
 
 
 def near_dedup(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
