@@ -6,7 +6,8 @@ and content locator -- is written to the shared folder and read as a *stream*; a
 streaming aggregation keyed by digest, without watermark or expiry, keeps for each
 digest the identifier and locator of the row that stays and the size of its group
 in a RocksDB state store whose checkpoint lies in the shared folder.  The finished
-state is read back with Spark's state reader and joined to the fingerprints.  Rows
+state is read back once with Spark's state reader, written as a narrow table and joined
+to the fingerprints.  Rows
 that hit a digest already held are fetched by their locator and checked on their
 full bytes.
 
@@ -87,7 +88,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def run_stream(spark: SparkSession, source: str, schema, checkpoint: str) -> DataFrame:
-    """Feed the fingerprints through the keyed state; return the state as a batch.
+    """Feed the fingerprints through the keyed state; return the state as a written table,
+    as each read of the state itself opens the stores of all partitions again.
 
     State: digest -> (n, keeper), where keeper is the largest (doc_id, locator).  The stream
     runs in a session of its own, whose settings no other query sees.
@@ -109,10 +111,8 @@ def run_stream(spark: SparkSession, source: str, schema, checkpoint: str) -> Dat
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
-    return (
-        spark.read.format("statestore").load(checkpoint)
-        .select(F.col("key.digest").alias("digest"), F.col("value.count").alias("n"), F.col("value.max").alias("keeper"))
-    )
+    state = spark.read.format("statestore").load(checkpoint)
+    return cut(state.select(F.col("key.digest").alias("digest"), F.col("value.count").alias("n"), F.col("value.max").alias("keeper")), "state")
 
 
 def check_bytes(docs: DataFrame, decided: DataFrame, text_col: str) -> None:
