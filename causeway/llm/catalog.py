@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, langid, mixing, near_dedup, pii, quality, sentencepiece_codec, substring_dedup, topk
+from . import exact_dedup, html_extract, langid, mixing, near_dedup, packing, pii, quality, sentencepiece_codec, substring_dedup, topk, vector_codes, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,8 +33,14 @@ def queries() -> dict[str, Query]:
             _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
         ),
         "op9_language": _on_documents(langid.op9_query),
+        "op11_packing": _on_documents(packing.op11_query),
+        "op12_vector_codes": lambda spark, sf_dir: vector_codes.op12_query(_table(spark, sf_dir, "embeddings")),
+        "op13_whitening": lambda spark, sf_dir: whitening.whiten(_table(spark, sf_dir, "embeddings")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substring_dedup.ORACLE_SQL, "op3_exact_dedup": exact_dedup.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL}
+    return {
+        "op1_substring_dedup": substring_dedup.ORACLE_SQL, "op3_exact_dedup": exact_dedup.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL,
+        "op12_vector_codes": vector_codes.ORACLE_SQL,
+    }

@@ -18,7 +18,7 @@ def test_each_operator_has_one_query():
     import __spark_entry__
 
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert "pipeline" in __spark_entry__.queries()
 
 
