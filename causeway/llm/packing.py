@@ -27,7 +27,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain, filterfalse
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,9 +42,9 @@ LENGTH, END = 4096, 2
 BUCKETS, DIMS, BITS = 256, 4, 10
 #: Ranges for each shuffle partition, so that hashing them to tasks comes out even.
 RANGES = 8
-#: Words that a worker remembers.
-WORDS = 120_000
-#: Words coded in one go, with a special token between them.
+#: Words that a worker remembers, about 250 bytes each.
+WORDS = 400_000
+#: Words coded in one go.
 TOGETHER = 256
 #: Bits of a sort key that tell rows of one Hilbert key apart.
 SPREAD = 23
@@ -53,6 +53,17 @@ SPREAD = 23
 # --- ids ---------------------------------------------------------------------
 
 
+class _Places(dict):
+    """Places of words; a word that is not there gets the next one and is noted in ``new``."""
+
+    new: list[bytes]
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        self.new.append(word)
+        return at
+
+
 class WordIds:
     """Ids of texts by a tokenizer that drops white space and lower-cases.
 
@@ -61,7 +72,8 @@ class WordIds:
     a special token.  Once ``limit`` words are held, those met once since the last time go.
     """
 
-    loose = re.compile(rb"(?<=[a-z])([.,;:!?])(?=[\x20\x09-\x0D]|$)").sub
+    # the mark comes first in the pattern, so that it is searched for
+    loose = re.compile(rb"[.,;:!?](?<=[a-z].)(?=[\x20\x09-\x0D]|\Z)").sub
 
     def __init__(self, path: str, limit: int = WORDS):
         from tokenizers import Tokenizer
@@ -72,11 +84,16 @@ class WordIds:
         self.between, self.stop = next(iter(sorted(self.special.items())), (None, -1))
         self.starts = tuple({s[:2].encode().lower() for s in self.special})
         self.size, self.limit = self.tok.get_vocab_size(), limit
+        suffix = self.tok.model.end_of_word_suffix
+        #: Which ids end a word; words of letters alone have one such id each, their last.
+        self.last = np.zeros(self.size, bool)
+        if suffix:
+            self.last[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
         self.rest()
 
     def rest(self) -> None:
         """Hold no words."""
-        self.at: dict[bytes, int] = {}
+        self.at = _Places()
         self.start = self.length = self.seen = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int32)
 
@@ -85,7 +102,7 @@ class WordIds:
         if len(keep) > self.limit // 2:
             keep = np.sort(keep[np.argpartition(-self.seen[keep], self.limit // 2)[: self.limit // 2]])
         words = list(self.at)
-        self.at = {words[i]: n for n, i in enumerate(keep.tolist())}
+        self.at = _Places((words[i], n) for n, i in enumerate(keep.tolist()))
         length = self.length[keep]
         ends = np.cumsum(length)
         self.pool = self.pool[np.repeat(self.start[keep] - (ends - length), length) + np.arange(length.sum())]
@@ -94,25 +111,46 @@ class WordIds:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[bytes]) -> None:
-        words = [w.decode("utf-8") for w in new]
-        parts = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
-        found: list[list[int]] = []
+    def _apart(self, words: list[str]) -> list[list[int]]:
+        """Ids of words of any kind: coded together with a special token between them."""
         if self.between is None:
-            found = self._encode(words)
-        else:
-            for part, ids in zip(parts, self._encode([f" {self.between} ".join(p) for p in parts])):
-                marks = [i for i, x in enumerate(ids) if x == self.stop]
-                if len(marks) == len(part) - 1:
-                    found += [ids[a:b] for a, b in zip([0, *(m + 1 for m in marks)], [*marks, len(ids)])]
-                else:  # a word that holds the special token itself
-                    found += self._encode(part)
-        length = np.fromiter(map(len, found), np.int64, len(found))
-        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
+            return self._encode(words)
+        found: list[list[int]] = []
+        parts = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for part, ids in zip(parts, self._encode([f" {self.between} ".join(p) for p in parts])):
+            marks = [i for i, x in enumerate(ids) if x == self.stop]
+            if len(marks) == len(part) - 1:
+                found += [ids[a:b] for a, b in zip([0, *(m + 1 for m in marks)], [*marks, len(ids)])]
+            else:  # a word that holds the special token itself
+                found += self._encode(part)
+        return found
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Append the ids of new words, in their order, to the table."""
+        texts = [w.decode("utf-8") for w in new]
+        letters = np.fromiter(map(str.isalpha, texts), bool, len(texts))
+        plain, other = np.flatnonzero(letters), np.flatnonzero(~letters)
+        order, lengths, ids = [], [], []
+        joined = [plain[i : i + TOGETHER].tolist() for i in range(0, len(plain), TOGETHER)]
+        for own, got in zip(joined, self._encode([" ".join([texts[i] for i in own]) for own in joined])):
+            got = np.array(got, np.int32)
+            stops = np.flatnonzero(self.last[got])
+            if len(stops) == len(own):
+                order.append(own)
+                lengths.append(np.diff(stops, prepend=-1))
+                ids.append(got)
+            else:  # letters that the tokenizer takes apart
+                other = np.append(other, own)
+        found = self._apart([texts[i] for i in other])
+        order.append(other)
+        lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+        ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(lengths[-1].sum())))
+        length, own = np.concatenate(lengths).astype(np.int64), np.concatenate(order).astype(np.int64)
+        back = np.argsort(own)  # from the order of coding to that of the words
+        begin = len(self.pool) + np.cumsum(length) - length
+        self.start, self.length = np.concatenate([self.start, begin[back]]), np.concatenate([self.length, length[back]])
+        self.pool = np.concatenate([self.pool, *ids])
         self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), np.int32, int(length.sum()))])
 
     def code(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number of each text."""
@@ -123,13 +161,13 @@ class WordIds:
         for t in texts:
             raw = t.encode("utf-8", "replace")
             low = raw.lower()
-            own = (raw if any(s in low for s in self.starts) else self.loose(rb" \1", low)).split()
+            own = (raw if any(s in low for s in self.starts) else self.loose(rb" \g<0>", low)).split()
             words += own
             counts.append(len(own))
-        at = self.at
-        if new := list(dict.fromkeys(filterfalse(at.__contains__, words))):
-            self._learn(new)
-        idx = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+        self.at.new = []
+        idx = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        if self.at.new:
+            self._learn(self.at.new)
         self.seen += np.bincount(idx, minlength=len(self.seen))
         length = self.length[idx]
         ends = np.cumsum(length)
