@@ -263,7 +263,7 @@ def cuts(begin: int, end: int, total: int, length: int = LENGTH) -> list[tuple[i
     return out
 
 
-#: What a worker builds from a tokenizer file, kept from task to task.
+#: What a worker builds from a tokenizer file, and the words it has met, kept from task to task.
 _loaded: dict[tuple, tuple[WordIds, Curve]] = {}
 
 
@@ -292,7 +292,6 @@ def _code(batches: Iterator[pa.RecordBatch], path: str, end: int, words: int, st
                 names=["doc_id", "ids", "doc_tokens", "key"],
             )
             at += len(held)
-    coder.rest()
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], first, total: int, length: int) -> Iterator[pa.RecordBatch]:
