@@ -25,18 +25,17 @@ many pieces as it needs.  Without rows there is no sequence.  Extra columns are
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, mix, tidy
-from .subword import groups
 
 LENGTH, END = 4096, 2
 BUCKETS, DIMS, BITS = 256, 4, 10
@@ -56,9 +55,9 @@ SPREAD = 23
 class _Places(dict):
     """Places of words; a word that is not there gets the next one and is noted in ``new``."""
 
-    new: list[bytes]
+    new: list[str]
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: str) -> int:
         at = self[word] = len(self)
         self.new.append(word)
         return at
@@ -72,17 +71,13 @@ class WordIds:
     a special token.  Once ``limit`` words are held, those met once since the last time go.
     """
 
-    # the mark comes first in the pattern, so that it is searched for
-    loose = re.compile(rb"[.,;:!?](?<=[a-z].)(?=[\x20\x09-\x0D]|\Z)").sub
+    loose = r"([a-z])([.,;:!?])([\x20\x09-\x0D]|\z)"
 
     def __init__(self, path: str, limit: int = WORDS):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
-        #: A special token's text stands between words that are coded together.
-        self.between, self.stop = next(iter(sorted(self.special.items())), (None, -1))
-        self.starts = tuple({s[:2].encode().lower() for s in self.special})
+        self.starts = sorted({t.content[:2].lower() for t in self.tok.get_added_tokens_decoder().values()})
         self.size, self.limit = self.tok.get_vocab_size(), limit
         suffix = self.tok.model.end_of_word_suffix
         #: Which ids end a word; words of letters alone have one such id each, their last.
@@ -112,22 +107,19 @@ class WordIds:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _apart(self, words: list[str]) -> list[list[int]]:
-        """Ids of words of any kind: coded together with a special token between them."""
-        if self.between is None:
-            return self._encode(words)
+        """Ids of words of any kind, coded together as words that are cut already."""
         found: list[list[int]] = []
         parts = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
-        for part, ids in zip(parts, self._encode([f" {self.between} ".join(p) for p in parts])):
-            marks = [i for i, x in enumerate(ids) if x == self.stop]
-            if len(marks) == len(part) - 1:
-                found += [ids[a:b] for a, b in zip([0, *(m + 1 for m in marks)], [*marks, len(ids)])]
-            else:  # a word that holds the special token itself
+        for part, e in zip(parts, self.tok.encode_batch(parts, is_pretokenized=True, add_special_tokens=False)):
+            if None in e.word_ids:  # a special token
                 found += self._encode(part)
+                continue
+            ids, at = e.ids, np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))).tolist()
+            found += [ids[a:b] for a, b in zip([0, *at], at)]
         return found
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _learn(self, texts: list[str]) -> None:
         """Append the ids of new words, in their order, to the table."""
-        texts = [w.decode("utf-8") for w in new]
         letters = np.fromiter(map(str.isalpha, texts), bool, len(texts))
         plain, other = np.flatnonzero(letters), np.flatnonzero(~letters)
         order, lengths, ids = [], [], []
@@ -150,32 +142,43 @@ class WordIds:
         begin = len(self.pool) + np.cumsum(length) - length
         self.start, self.length = np.concatenate([self.start, begin[back]]), np.concatenate([self.length, length[back]])
         self.pool = np.concatenate([self.pool, *ids])
-        self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
+        self.seen = np.concatenate([self.seen, np.zeros(len(texts), np.int64)])
 
-    def code(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def code(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number of each text."""
         if len(self.at) > self.limit:
             self._forget()
-        words: list[bytes] = []
-        counts = []
-        for t in texts:
-            raw = t.encode("utf-8", "replace")
-            low = raw.lower()
-            own = (raw if any(s in low for s in self.starts) else self.loose(rb" \g<0>", low)).split()
-            words += own
-            counts.append(len(own))
+        low = pc.ascii_lower(texts)
+        open_ = pc.replace_substring_regex(low, pattern=self.loose, replacement=r"\1 \2\3")
+        for s in self.starts:
+            open_ = pc.if_else(pc.match_substring(low, s), texts, open_)
+        lists = pc.ascii_split_whitespace(open_)
+        # each distinct word of the texts is looked up once
+        words = lists.flatten().dictionary_encode()
         self.at.new = []
-        idx = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        distinct = words.dictionary.to_pylist()
+        own = np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))
         if self.at.new:
             self._learn(self.at.new)
+        idx = own[words.indices.to_numpy(zero_copy_only=False)]
         self.seen += np.bincount(idx, minlength=len(self.seen))
         length = self.length[idx]
         ends = np.cumsum(length)
         ids = self.pool[np.repeat(self.start[idx] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+        counts = lists.value_lengths().to_numpy(zero_copy_only=False)
         sums, stop = np.append(0, ends), np.cumsum(counts)
         return ids, sums[stop] - sums[stop - counts]
 
 
+def slices(column: pa.StringArray, size: int) -> Iterator[tuple[int, pa.StringArray]]:
+    """Parts of a column of about ``size`` bytes of text each, and where they begin; null as empty."""
+    column = pc.fill_null(column, "")
+    weight = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False)) // size
+    at = [0, *(np.flatnonzero(np.diff(weight)) + 1).tolist(), len(column)] if len(column) else []
+    for a, b in zip(at, at[1:]):
+        yield a, column.slice(a, b - a)
+
+
 # --- keys --------------------------------------------------------------------
 
 
@@ -275,13 +278,12 @@ def _coder(path: str, words: int) -> tuple[WordIds, Curve]:
     return _loaded[path, words]
 
 
-def _code(batches: Iterator[pa.RecordBatch], path: str, end: int, words: int, step: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+def _code(batches: Iterator[pa.RecordBatch], path: str, end: int, words: int, step: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     coder, curve = _coder(path, words)
     kind = np.uint16 if max(coder.size, end + 1) <= 1 << 16 else np.uint32
     for batch in batches:
-        at = 0
-        for held in groups(batch.column(1), step):  # a bounded amount of text at a time
-            ids, n = coder.code([t or "" for t in held])
+        for at, held in slices(batch.column(1), step):  # a bounded amount of text at a time
+            ids, n = coder.code(held)
             keys = curve.keys(ids, n)
             # the end mark after every document's ids
             stream = np.insert(ids, np.cumsum(n), end).astype(kind)
@@ -291,7 +293,6 @@ def _code(batches: Iterator[pa.RecordBatch], path: str, end: int, words: int, st
                 [batch.column(0).slice(at, len(held)), packed.cast(pa.binary()), pa.array(n + 1, pa.int64()), pa.array(keys, pa.int64())],
                 names=["doc_id", "ids", "doc_tokens", "key"],
             )
-            at += len(held)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], first, total: int, length: int) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -86,7 +87,7 @@ def test_words_are_coded_as_whole_texts(whole):
     signs = ["a", "B", "É", "ß", "İ", "Σ", "'s", "'LL", ".", ",", "...", "!?", "1", "½", "²", "́", " ", " ", "\x1c", "\x85", "‍", "😀", "漢字", " ", "\n", "\t", "\x0b", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>"]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(600)]
     for at in range(0, 600, 60):
-        ids, n = coder.code(texts[at : at + 60])
+        ids, n = coder.code(pa.array(texts[at : at + 60]))
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [whole(t) for t in texts[at : at + 60]]
 
 
