@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import heapq
-import itertools
-from collections.abc import Iterator
-from functools import reduce
+import logging
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from ..sources.shared import cut, drop, number_rows
 
-LAYERS_HELD = 64
+log = logging.getLogger(__name__)
 
 
 def invert(edges: DataFrame) -> DataFrame:
@@ -110,7 +109,7 @@ def toposort(nodes: DataFrame, edges: DataFrame, key: Column | None = None, reve
 
     ``nodes`` has ``graph_id, id``, ``edges`` has ``graph_id, src_id, dst_id``.  A graph is
     sorted inside one task, so it should be of the size of a recall or a conversation; see
-    :func:`layers` for large ones.  ``direction`` "dependencies" gives the order turned round.
+    :func:`order` for large ones.  ``direction`` "dependencies" gives the order turned round.
     """
     named = nodes.select("graph_id", "id", (key if key is not None else F.lit(None).cast("string")).alias("k"))
     lists = named.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("id", "k"))).alias("nodes"))
@@ -130,25 +129,80 @@ def toposort(nodes: DataFrame, edges: DataFrame, key: Column | None = None, reve
     return lists.join(links, "graph_id", "left").select("graph_id", "nodes", "links").mapInPandas(task, "graph_id bigint, id bigint, pos bigint")
 
 
-def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``id, layer`` of a large graph: the longest path that leads to a node.
+def climb(steps: DataFrame, combine: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """``id, d, done`` from a forest of pointers ``id, up, d``: what the pointers from a node on add up to.
 
-    Ordering by (layer, id) is a topological order, dependents first, though not the one of
-    :func:`toposort`.  Nodes on cycles, or behind one, are left out.  It takes a round for
-    every layer, as many as there are.
+    ``up`` is null where a path ends, else it is a node of the table.  Every round each path doubles: a node takes over the
+    value and the pointer of the node that it points at.  So a path of n steps takes
+    log2(n) + 1 rounds, each a join of the nodes that are still on their way.  Nodes whose
+    path leads into a circle never end: ``done`` is false for them.  ``combine`` of the own
+    and the other value is their sum, unless given.
     """
-    links = edges.where("src_id <> dst_id").join(nodes.select(F.col("id").alias("src_id")), "src_id", "left_semi")
-    links = cut(links.join(nodes.select(F.col("id").alias("dst_id")), "dst_id", "left_semi").select("src_id", "dst_id").distinct(), "links")
-    left = cut(nodes.select("id").distinct(), "left")
-    out = left.withColumn("layer", F.lit(0)).limit(0)
-    parts: list[DataFrame] = []
-    for layer in itertools.count():
-        top = cut(left.join(links.select(F.col("dst_id").alias("id")), "id", "left_anti"), "layer")
-        if top.isEmpty():
+    combine = combine or (lambda mine, other: mine + other)
+    now = cut(steps.select("id", "up", "d"), "climb")
+    n, most, rounds = now.count(), 1, 0
+    while most <= 2 * n:
+        far = now.select(F.col("id").alias("up"), F.col("up").alias("_next"), F.col("d").alias("_far"))
+        on = now.where("up is not null").join(far, "up").select("id", F.col("_next").alias("up"), combine(F.col("d"), F.col("_far")).alias("d"))
+        after = cut(now.where("up is null").select("id", "up", "d").unionAll(on), "climb")
+        drop(now)
+        now, most, rounds = after, 2 * most, rounds + 1
+        if now.where("up is not null").isEmpty():
             break
-        parts.append(top.withColumn("layer", F.lit(layer)))
-        left = cut(left.join(top, "id", "left_anti"), "left")
-        links = cut(links.join(top.select(F.col("id").alias("src_id")), "src_id", "left_anti"), "links")
-        if len(parts) == LAYERS_HELD:  # a plan of thousands of tables can't be compiled
-            out, parts = cut(reduce(DataFrame.unionAll, parts, out), "layers"), []
-    return reduce(DataFrame.unionAll, parts, out)
+    log.debug("%s rounds", rounds)
+    return now.select("id", "d", F.col("up").isNull().alias("done"))
+
+
+#: How deep a node behind a cycle counts as.
+ENDLESS = 1 << 60
+
+
+def layers(nodes: DataFrame, edges: DataFrame, max_turns: int = 10_000) -> DataFrame:
+    """``id, layer``: the longest path that leads to a node, in graphs of any size.
+
+    Ordering by (layer, id) is a topological order, dependents first, though not the one of
+    :func:`toposort`.  Nodes on cycles, or behind one, are left out.
+
+    Each node picks one of those that refer to it; along these picks depths follow by
+    doubling (:func:`climb`).  A node that another one would put deeper picks that one
+    instead, and depths are found again, until none changes: then every depth is one more
+    than the greatest of those that refer to it, which only longest paths fulfil.  A turn
+    lengthens all paths at least by one step, mostly by all that is missing: the first picks
+    are the nearest by id, which is right for chains at once.
+    """
+    links = edges.where("src_id <> dst_id").join(nodes.select(F.col("id").alias("src_id")).distinct(), "src_id", "left_semi")
+    links = cut(links.join(nodes.select(F.col("id").alias("dst_id")).distinct(), "dst_id", "left_semi").select("src_id", "dst_id").distinct(), "links")
+    known = nodes.select("id").distinct()
+    picks = known.join(links.groupBy(F.col("dst_id").alias("id")).agg(F.min("src_id").alias("up")), "id", "left")
+    picks = cut(picks, "picks")
+    for _ in range(max_turns):
+        found = climb(picks.select("id", "up", F.col("up").isNotNull().cast("long").alias("d")))
+        # the picks go along, to be changed where another one is deeper
+        depth = cut(found.select("id", F.when(F.col("done"), F.col("d")).otherwise(F.lit(ENDLESS)).alias("layer")).join(picks, "id"), "depth")
+        deepest = links.join(depth.select(F.col("id").alias("src_id"), "layer"), "src_id").groupBy(F.col("dst_id").alias("id")).agg(
+            F.max(F.struct("layer", "src_id")).alias("best")
+        )
+        better = F.col("best").isNotNull() & (F.least(F.col("best.layer") + 1, F.lit(ENDLESS)) > F.col("layer"))
+        after = cut(depth.join(deepest, "id", "left").select("id", F.when(better, F.col("best.src_id")).otherwise(F.col("up")).alias("up"), F.coalesce(better, F.lit(False)).alias("new")), "picks")
+        drop(picks)
+        picks = after
+        if after.where("new").isEmpty():
+            drop(links)
+            return depth.where(F.col("layer") < ENDLESS).select("id", F.col("layer").cast("int").alias("layer"))
+        drop(depth)
+    raise RuntimeError(f"depths did not settle in {max_turns} turns")
+
+
+def order(nodes: DataFrame, edges: DataFrame, key: str | None = None, direction: str = "dependents") -> DataFrame:
+    """``id, layer, pos``: a topological order of a graph of any size, numbered without one task
+    seeing all nodes: by layer, then by the column ``key`` (nulls first), then by id.
+
+    ``direction`` "dependencies" gives the order turned round.
+    """
+    found = layers(nodes, edges)
+    if key is not None:
+        found = found.join(nodes.select("id", F.col(key).alias("_key")), "id")
+    by = ["layer", *(["_key"] if key is not None else []), "id"]
+    if direction == "dependencies":
+        by = [F.desc(c) for c in by]
+    return number_rows(found, by, "pos").select("id", "layer", "pos")

@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -34,7 +36,38 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    for held in _open:
+        held.append(path)
+    return out
+
+
+#: The lists of the ``scratch_tables`` blocks that are open.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that are cut inside the block are deleted at its end, so results must be written before.
+
+    ``with scratch_tables(spark): recall(...).write.parquet(out)``
+    """
+    held: list[str] = []
+    _open.append(held)
+    try:
+        yield held
+    finally:
+        _open.remove(held)
+        for path in held:
+            remove(spark, path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the table behind a DataFrame made by :func:`cut`."""
+    path = getattr(df, "_scratch_path", None)
+    if path:
+        remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -43,6 +76,28 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def running_sums(df: DataFrame, order: list, value: Column, name: str = "before") -> DataFrame:
+    """``df`` with the sum of ``value`` (whole numbers) over all rows before each one in the given
+    order, without bringing all rows to one task.
+
+    Rows are dealt to ranges, which equal keys may share, and written; each range is summed
+    on its own, on top of the sums of the ranges before it (one small row for each).
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn("_value", value.cast("long")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    held = cut(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    sizes = sorted((r["_part"], r["n"]) for r in held.groupBy("_part").agg(F.sum("_value").alias("n")).collect())
+    if not sizes:
+        return held.select(*df.columns, F.lit(0).cast("long").alias(name))
+    first, total = {}, 0
+    for p, n in sizes:
+        first[p], total = total, total + n
+    offset = F.create_map(*[F.lit(x) for p in first for x in (p, first[p])])[F.col("_part")]
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    return held.select(*df.columns, (offset + F.coalesce(F.sum("_value").over(inside), F.lit(0))).cast("long").alias(name))
+
+
 def number_rows(df: DataFrame, order: list, name: str = "n") -> DataFrame:
     """``df`` with 1, 2, 3 ... in the given order, without bringing all rows to one task.
 
