@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from calendar import monthrange
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -79,6 +82,48 @@ def parse(entry: str) -> Spec:
     return Spec(lists[0], lists[1], sorted(days), lists[2], sorted(weekdays), dom == "*", dow == "*", dom_special, dow_special)
 
 
+def on(spec: Spec, day: date) -> bool:
+    """What :func:`matches_day` says, for one day."""
+    last = monthrange(day.year, day.month)[1]
+    weekday = day.isoweekday() % 7
+
+    def nearest(n: int) -> int:
+        """The weekday nearest to day ``n`` inside the month."""
+        w = day.replace(day=n).weekday()
+        return n + (2 if n == 1 else -1) if w == 5 else n + (-2 if n == last else 1) if w == 6 else n
+
+    def special(s: str) -> bool:
+        if s == "L":
+            return day.day == last
+        n = last if s == "LW" else int(s[:-1])
+        return n <= last and day.day == nearest(n)
+
+    dom = day.day in spec.days or any(map(special, spec.dom_special))
+    dow = weekday in spec.weekdays or any(
+        weekday == d and (day.day + 7 > last if k == "L" else (day.day - 1) // 7 + 1 == int(k)) for k, d in spec.dow_special
+    )
+    both = dom and dow if spec.any_day or spec.any_weekday else dom or dow
+    return day.month in spec.months and both
+
+
+def ticks(spec: Spec, first: datetime, end: datetime) -> Iterator[datetime]:
+    """The minutes from ``first`` up to, not including, ``end`` on which a job runs."""
+    day = first.date()
+    while day <= end.date():
+        if on(spec, day):
+            for h in spec.hours:
+                for m in spec.minutes:
+                    at = datetime(day.year, day.month, day.day, h, m, tzinfo=first.tzinfo)
+                    if first <= at < end:
+                        yield at
+        day += timedelta(days=1)
+
+
+def matches(spec: Spec, at: Column) -> Column:
+    """Whether a job runs in the minute of a time."""
+    return matches_day(spec, F.to_date(at)) & _in(F.hour(at), spec.hours) & _in(F.minute(at), spec.minutes)
+
+
 def _in(value: Column, items: list[int]) -> Column:
     return value.isin(items) if items else F.lit(False)
 

@@ -3,7 +3,8 @@
 Many recalls run at once: ``roots`` has ``graph_id, node_id``, and every step is one join
 over all graphs.  A level is written to the shared folder before the next one starts, so
 lineage stays short and lost executors cost a level at most; the driver sees one row with
-the state of the loop.
+the state of the loop.  Levels are numbered over ranges, so one graph may be as large as the
+store.  Graphs whose roots use up the budget are done before anything is joined.
 
 Order, where it decides ties: roots by id; level 1 by (root, references before dependencies,
 id); later levels by (references before dependencies, discovery of the parent, id).
@@ -14,60 +15,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.adjacency import Adjacency
 from ..sources.schema import RecallConfig
-from ..sources.shared import cut
+from ..sources.shared import cut, number_rows
 
 RECALL = "graph_id bigint, node_id bigint, level int, dir string, parent_id bigint, refcount bigint, seq bigint"
 REF, DEP = 0, 1
 
 
-def _candidates(front: DataFrame, edges: DataFrame, directions: dict[int, tuple[str, str]], cross: bool) -> DataFrame:
+def _candidates(front: DataFrame, edges: DataFrame | Adjacency, directions: dict[int, tuple[str, str]], cross: bool) -> DataFrame:
     """All edges that leave the fringe: (graph_id, child, parent, pseq, dir)."""
     out = None
     for d, (near, far) in directions.items():
         side = front if cross else front.where(F.col("dir") == d)
+        held = edges.near(near) if isinstance(edges, Adjacency) else edges
         got = side.select("graph_id", F.col("node_id").alias("parent"), F.col("seq").alias("pseq"), (F.col("level") + 1).alias("level")).join(
-            edges.select(F.col(near).alias("parent"), F.col(far).alias("child")), "parent"
+            held.select(F.col(near).alias("parent"), F.col(far).alias("child")), "parent"
         ).select("graph_id", "child", "parent", "pseq", "level", F.lit(d).alias("dir"))
         out = got if out is None else out.unionAll(got)
     return out
 
 
-def recall(memories: DataFrame, edges: DataFrame, roots: DataFrame, config: RecallConfig = RecallConfig()) -> DataFrame:
+def recall(memories: DataFrame, edges: DataFrame | Adjacency, roots: DataFrame, config: RecallConfig = RecallConfig()) -> DataFrame:
     """``graph_id, node_id, level, dir, parent_id, refcount, seq``; ``seq`` is the order of insertion."""
     spark = memories.sparkSession
     reach = {REF: RecallConfig.reach(config.refs), DEP: RecallConfig.reach(config.deps)}
     ways = {REF: ("dst_id", "src_id"), DEP: ("src_id", "dst_id")}
     asked = roots.select("graph_id", "node_id").where("node_id is not null").distinct()
     present = memories.select(F.col("rowid").alias("node_id"))
-    by_id = Window.partitionBy("graph_id").orderBy("node_id")
     found = asked.join(present, "node_id", "left_semi").select(
         "graph_id", "node_id", F.lit(0).alias("level"), F.lit(None).cast("int").alias("dir"), F.lit(None).cast("bigint").alias("parent_id"),
-        F.lit(None).cast("bigint").alias("refcount"), F.row_number().over(by_id).cast("bigint").alias("seq"),
+        F.lit(None).cast("bigint").alias("refcount"),
     )
-    root_table = cut(found, "recall")
+    root_table = cut(number_rows(found, ["graph_id", "node_id"], "seq"), "recall")
     # identifiers reached so far, those missing from the store included: they count for the budget
     seen = asked
-    front, level = root_table, 0
+    # what is left of the budget after the roots decides which graphs go on at all
+    room = root_table.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < config.memories).select("graph_id")
+    front, level = root_table.join(room, "graph_id", "left_semi"), 0
     parts, fronts = [root_table], [root_table]
-    while True:
+    while level or not front.isEmpty():
         level += 1
         found = _candidates(front, edges, ways, cross=level == 1)
-        rank = (F.struct("pseq", "dir", "child") if level == 1 else F.struct("dir", "pseq", "child")).alias("rank")
+        by = ["pseq", "dir", "child"] if level == 1 else ["dir", "pseq", "child"]
         best = found.groupBy("graph_id", "child").agg(
-            F.min(F.struct(rank, "parent", "dir", "pseq")).alias("w"), F.count(F.lit(1)).alias("refcount"), F.max("level").alias("level")
+            F.min(F.struct(*by, "parent")).alias("w"), F.count(F.lit(1)).alias("refcount"), F.max("level").alias("level")
         )
         fresh = best.join(seen.select("graph_id", F.col("node_id").alias("child")), ["graph_id", "child"], "left_anti")
-        order = Window.partitionBy("graph_id").orderBy("w.rank")
         # the level comes from the data, so that all rounds share their generated code
         base = F.shiftleft(F.col("level").cast("bigint"), 40)
-        won = cut(
-            fresh.select(
-                "graph_id", F.col("child").alias("node_id"), "level", F.col("w.dir").alias("dir"),
-                F.col("w.parent").alias("parent_id"), "refcount", (F.row_number().over(order) + base).cast("bigint").alias("seq"),
-            ),
-            "recall",
-        )
+        new = fresh.select("graph_id", F.col("child").alias("node_id"), "level", F.col("w.dir").alias("dir"), F.col("w.parent").alias("parent_id"), "refcount", F.col("w.pseq").alias("pseq"))
+        # a level that is wide goes over ranges of (graph, rank)
+        order = ["graph_id", *("node_id" if c == "child" else c for c in by)]
+        won = number_rows(new, order, "seq").select("graph_id", "node_id", "level", "dir", "parent_id", "refcount", (F.col("seq") + base).alias("seq"))
         seen = seen.unionAll(won.select("graph_id", "node_id"))
         kept = won.where(F.when(F.col("dir") == REF, F.lit(level <= reach[REF])).otherwise(F.lit(level <= reach[DEP])))
         # graphs below their budget take the fringe in whole and expand it; the others end here
@@ -82,7 +82,8 @@ def recall(memories: DataFrame, edges: DataFrame, roots: DataFrame, config: Reca
                 have = have.unionAll(f.select("graph_id"))
             have = have.groupBy("graph_id").agg(F.count(F.lit(1)).alias("have"))
             fill = Window.partitionBy("graph_id").orderBy(F.desc("refcount"), "dir", "seq")
-            ended = marked.where(~on).withColumn("place", F.row_number().over(fill)).join(have, "graph_id", "left")
+            # each task keeps no more of a graph than its budget
+            ended = marked.where(~on).withColumn("place", F.row_number().over(fill)).where(F.col("place") <= config.memories).join(have, "graph_id", "left")
             ended = ended.where(F.col("place") <= F.lit(config.memories) - F.coalesce("have", F.lit(0)))
             parts.append(cut(ended.withColumn("seq", (base + F.col("place")).cast("bigint")).select(*won.columns), "recall"))
         if not go:
@@ -95,10 +96,10 @@ def recall(memories: DataFrame, edges: DataFrame, roots: DataFrame, config: Reca
     for p in parts[1:]:
         out = out.unionByName(p)
     name = F.when(F.col("level") == 0, "root").when(F.col("dir") == REF, "ref").otherwise("dep")
-    final = Window.partitionBy("graph_id").orderBy("seq")
-    return out.select(
-        "graph_id", "node_id", "level", name.alias("dir"), "parent_id", "refcount",
-        F.row_number().over(final).cast("bigint").alias("seq"),
+    numbered = number_rows(out, ["graph_id", "seq"], "n")
+    first = numbered.groupBy("graph_id").agg(F.min("n").alias("first"))
+    return numbered.join(first, "graph_id").select(
+        "graph_id", "node_id", "level", name.alias("dir"), "parent_id", "refcount", (F.col("n") - F.col("first") + 1).alias("seq")
     )
 
 

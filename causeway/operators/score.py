@@ -29,11 +29,25 @@ def centroids(vectors: DataFrame, group: str = "label", vec_col: str = "embeddin
     return parts.groupBy(group, "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def hybrid(rows: DataFrame, age_s: Column, relevance: Column, importance: Column, half_life_s: float, weights=(1.0, 1.0, 1.0)) -> DataFrame:
-    """``score``: weighted sum of recency (decaying by half), relevance and importance (0 to 10)."""
+def hybrid(
+    rows: DataFrame, age_s: Column, relevance: Column, importance: Column, half_life_s: float, weights=(1.0, 1.0, 1.0, 1.0), likeness: Column | None = None
+) -> DataFrame:
+    """``score``: weighted sum of recency (decaying by half), relevance, importance (0 to 10) and,
+    if given, likeness to the sona."""
     recency = F.exp(-F.log(F.lit(2.0)) * age_s / half_life_s)
     w = weights
-    return rows.withColumn("score", w[0] * recency + w[1] * relevance + w[2] * importance / 10)
+    score = w[0] * recency + w[1] * relevance + w[2] * importance / 10
+    return rows.withColumn("score", score if likeness is None else score + w[3] * likeness)
+
+
+def sona_likeness(vectors: DataFrame, group: str = "label", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """``id_col, likeness``: cosine of every vector to the centroid of its group (0 where there is none).
+
+    The centroids, a row for each group, are joined as they are: Spark broadcasts them if they are few.
+    """
+    means = centroids(vectors, group, vec_col).groupBy(group).agg(F.sort_array(F.collect_list(F.struct("dim", "mean"))).alias("c"))
+    both = vectors.join(means.select(group, F.transform("c", lambda p: p["mean"]).alias("centre")), group, "left")
+    return both.select(id_col, F.coalesce(cosine(F.col(vec_col), F.col("centre")), F.lit(0.0)).alias("likeness"))
 
 
 def annotations(rows: DataFrame, data: str = "data") -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cron import matches_day, parse
+from ..functions.cron import matches, matches_day, parse
 from ..sources.shared import cut
 
 MICRO = 1_000_000
@@ -15,21 +15,27 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def cron_jobs(spark: SparkSession, specs: dict[str, str], first_day: str, last_day: str) -> DataFrame:
-    """``cron, day, hour, minute`` of every job from ``first_day`` to ``last_day``.
+def cron_jobs(days: DataFrame, specs: dict[str, str]) -> DataFrame:
+    """``cron, day, hour, minute`` of every job on the days ``days(day)``.
 
     Days are matched first and only then opened into hours and minutes, so no grid of
     minutes is joined with anything.
     """
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(first_day).cast("date"), F.lit(last_day).cast("date"))).alias("day"))
-    out = None
-    for name, entry in specs.items():
-        s = parse(entry)
-        hit = days.where(matches_day(s, F.col("day"))).select(
-            F.lit(name).alias("cron"), "day", F.explode(F.array(*map(F.lit, s.hours))).alias("hour")
-        ).withColumn("minute", F.explode(F.array(*map(F.lit, s.minutes))))
-        out = hit if out is None else out.unionAll(hit)
-    return out
+    parsed = {name: parse(entry) for name, entry in specs.items()}
+    hits = F.array(*[
+        F.when(matches_day(s, F.col("day")), F.struct(F.lit(name).alias("cron"), F.array(*map(F.lit, s.hours)).alias("hours"), F.array(*map(F.lit, s.minutes)).alias("minutes")))
+        for name, s in parsed.items()
+    ])
+    found = days.select("day", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"))
+    return found.select(F.col("h.cron").alias("cron"), "day", F.explode("h.hours").alias("hour"), F.col("h.minutes").alias("m")).select(
+        "cron", "day", "hour", F.explode("m").alias("minute")
+    )
+
+
+def cron_hits(rows: DataFrame, at: Column, specs: dict[str, str]) -> DataFrame:
+    """``rows`` with ``cron``, once for each entry on whose minute ``at`` falls: one pass, no join."""
+    hits = [F.when(matches(parse(entry), at), F.lit(name)) for name, entry in specs.items()]
+    return rows.withColumn("cron", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())))
 
 
 def apply_schedule(commands: DataFrame) -> DataFrame:

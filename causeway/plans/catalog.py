@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, timers
-from ..operators import append, dag, lookup, score, temporal, transcript
+from ..operators import append, dag, lookup, reach, score, search, temporal, transcript
 from ..operators.recall import forest_edges, induced_edges, recall
-from ..sources import schema
+from ..sources import schema, stimulus
+from ..sources.adjacency import Adjacency
 from ..sources.schema import RecallConfig
-from ..sources.shared import cut
 from . import graph
 from .oracle_recall import recall_sql
 
@@ -50,10 +51,10 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return graph.memories(c), graph.edges(c)
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The graph with its derived edges written once, as a store has them."""
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Adjacency]:
+    """The graph with its derived edges written for traversal, as a store has them."""
     m, e = _graph(spark, sf_dir)
-    return m, cut(e, "edges")
+    return m, Adjacency(e)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,36 +204,51 @@ _recalls("recall_many", RecallConfig(2, 2, 200), "turn = 0", "conv_id - conv_id
 _recalls("recall_unbounded", RecallConfig(0, 0, 10**9), "turn = last", "0", 24)
 
 
-def _chat_recall(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The roots of a chat turn: the five latest memories and the last ten of the history, here the users' turns."""
+@query(GRAPH + recall_sql("""select 0 as graph_id, rowid as node_id from (select rowid from m order by rowid desc limit 5)
+ union select 0, rowid from (select rowid from m where kind = 'other' order by rowid desc limit 10)""", RecallConfig(2, 3, 10), 5))
+def recall_chat(spark, sf_dir):
+    """A chat turn at the end of the table: the five latest memories and the last ten of the history, here
+    the users' turns.  Where these use up the budget, as they do here, the recall is the roots."""
     m, e = _stored(spark, sf_dir)
     latest = lookup.page(m.select("rowid"), 1, 5)
     history = lookup.page(m.where("kind = 'other'").select("rowid"), 1, 10)
     roots = latest.unionByName(history).select(F.lit(0).cast("bigint").alias("graph_id"), F.col("rowid").alias("node_id"))
+    return recall(m, e, roots, RecallConfig(2, 3, 10)).select("graph_id", "node_id", "level", "dir", "parent_id", "refcount")
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Adjacency]:
+    """A chat turn at the end of every conversation: its latest two memories and its last two users' turns."""
+    m, e = _stored(spark, sf_dir)
+    own = m.select("conv_id", "turn", "rowid", "kind")
+    late = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    latest = own.withColumn("n", F.row_number().over(late)).where("n <= 2")
+    history = own.where("kind = 'other'").withColumn("n", F.row_number().over(late)).where("n <= 2")
+    roots = latest.unionByName(history).select(F.col("conv_id").alias("graph_id"), F.col("rowid").alias("node_id"))
     return recall(m, e, roots, RecallConfig(2, 3, 10)), e
 
 
-def _chat(then: str) -> str:
-    roots = """select 0 as graph_id, rowid as node_id from (select rowid from m order by rowid desc limit 5)
- union select 0, rowid from (select rowid from m where kind = 'other' order by rowid desc limit 10)"""
+def _turns_sql(then: str = "select * from recalled") -> str:
+    roots = """select conv_id as graph_id, rowid as node_id from (select *, row_number() over (partition by conv_id order by turn desc) as n from m) where n <= 2
+ union select conv_id, rowid from (select *, row_number() over (partition by conv_id order by turn desc) as n from m where kind = 'other') where n <= 2"""
     return GRAPH + recall_sql(roots, RecallConfig(2, 3, 10), 5, then)
 
 
-@query(_chat("select * from recalled"))
-def recall_chat(spark, sf_dir):
-    """The flagship: what a chat turn recalls around the latest memories and its history."""
-    return _chat_recall(spark, sf_dir)[0].select("graph_id", "node_id", "level", "dir", "parent_id", "refcount")
+@query(_turns_sql())
+def recall_turns(spark, sf_dir):
+    """The flagship: what a chat turn in every conversation recalls, within the chat's budget."""
+    return _turns(spark, sf_dir)[0].select("graph_id", "node_id", "level", "dir", "parent_id", "refcount")
 
 
-@query(_chat("select r.graph_id, e.src_id, e.dst_id from recalled r join e on e.src_id = r.node_id join recalled t on t.graph_id = r.graph_id and t.node_id = e.dst_id"))
+@query(_turns_sql("select r.graph_id, e.src_id, e.dst_id from recalled r join e on e.src_id = r.node_id join recalled t on t.graph_id = r.graph_id and t.node_id = e.dst_id"))
 def recall_induced_edges(spark, sf_dir):
     """The stored edges between the recalled memories."""
-    return induced_edges(*_chat_recall(spark, sf_dir))
+    recalled, e = _turns(spark, sf_dir)
+    return induced_edges(recalled, e.edges)
 
 
-@query(_chat("select case dir when 'ref' then node_id else parent_id end as src_id, case dir when 'ref' then parent_id else node_id end as dst_id from recalled where dir <> 'root'"))
+@query(_turns_sql("select graph_id, case dir when 'ref' then node_id else parent_id end as src_id, case dir when 'ref' then parent_id else node_id end as dst_id from recalled where dir <> 'root'"))
 def recall_forest(spark, sf_dir):
-    return forest_edges(_chat_recall(spark, sf_dir)[0]).select("src_id", "dst_id")
+    return forest_edges(_turns(spark, sf_dir)[0]).select("graph_id", "src_id", "dst_id")
 
 
 # --- graphs ----------------------------------------------------------------
@@ -305,6 +321,29 @@ def toposort_layers(spark, sf_dir):
     return dag.layers(nodes, edges)
 
 
+RECURSIVE = GRAPH.replace("with m", "with recursive m", 1)
+
+
+@query(RECURSIVE + """, p as (select rowid as id, 0 as layer from m where rowid not in (select dst_id from e) union select e.dst_id, layer + 1 from p join e on e.src_id = p.id)
+select id, max(layer)::int as layer, row_number() over (order by max(layer), id) as pos from p group by id""")
+def toposort_order(spark, sf_dir):
+    """One order of the whole graph, with the links between conversations: by longest path, then by id."""
+    m, e = _graph(spark, sf_dir)
+    return dag.order(m.select(F.col("rowid").alias("id")), e)
+
+
+@query(RECURSIVE + """, p as (select src_id, dst_id from e union select p.src_id, e.dst_id from p join e on e.src_id = p.dst_id),
+a as (select rowid as src_id, (conv_id - b) * 1000 as dst_id from m, (values (0), (1), (2), (5), (11)) v(b))
+select a.src_id, a.dst_id, p.src_id is not null as reaches from a left join p on p.src_id = a.src_id and p.dst_id = a.dst_id""")
+def ancestor_check(spark, sf_dir):
+    """Whether each memory depends on the first of its own and of some earlier conversations, by labels."""
+    m, e = _graph(spark, sf_dir)
+    labels = reach.label(m.select(F.col("rowid").alias("id")), e)
+    back = F.explode(F.array(*map(F.lit, (0, 1, 2, 5, 11)))).alias("back")
+    asked = m.select("rowid", "conv_id", back).select(F.col("rowid").alias("src_id"), ((F.col("conv_id") - F.col("back")) * 1000).alias("dst_id"))
+    return reach.is_ancestor(labels, asked)
+
+
 @query("select conv_id as graph_id, conv_id * 1000 + turn as id, row_number() over (partition by conv_id order by turn)::int as display_id from conversations")
 def display_ids(spark, sf_dir):
     nodes, _ = _conversations(spark, sf_dir)
@@ -387,26 +426,62 @@ def reply_edges(spark, sf_dir):
 # --- events ----------------------------------------------------------------
 
 CRON = {"quarter": "*/15 9-10 * JAN MON-FRI", "daily": "@daily", "list": "5,35 6 1,15 2 *"}
-SPECIAL = {"15W": "0 9 15W * *", "1W": "0 0 1W * *", "LW": "0 0 LW * *", "L": "0 0 L 2 *", "5L": "0 0 * * 5L", "1#2": "0 0 * * 1#2", "either": "0 0 13 * 5"}
-_DAYS = "with d as (select unnest(generate_series(date '2024-01-01', date '2024-12-31', interval 1 day))::date as d)\n"
-
-
-@query(_DAYS + """select 'quarter' as cron, d as day, h::int as hour, mi::int as minute from d, range(9, 11) a(h), range(0, 60, 15) b(mi) where month(d) = 1 and isodow(d) <= 5
+SPECIAL = {"15W": "0 0 15W * *", "1W": "0 0 1W * *", "LW": "0 0 LW * *", "L": "0 0 L 2 *", "5L": "0 0 * * 5L", "1#2": "0 0 * * 1#2", "either": "0 0 13 * 5"}
+@query("""with d as (select distinct ts::date as d from events)
+select 'quarter' as cron, d as day, h::int as hour, mi::int as minute from d, range(9, 11) a(h), range(0, 60, 15) b(mi) where month(d) = 1 and isodow(d) <= 5
 union all select 'daily', d, 0, 0 from d
 union all select 'list', d, 6, mi::int from d, (values (5), (35)) c(mi) where month(d) = 2 and day(d) in (1, 15)""")
 def cron_jobs(spark, sf_dir):
-    return temporal.cron_jobs(spark, CRON, "2024-01-01", "2024-12-31")
-
-
-@query(_DAYS + """, f as (select d, (date_trunc('month', d))::date as a, last_day(d) as z from d),
-w as (select '15W' as cron, d, a + 14 as t, a, z from f union all select '1W', d, a, a, z from f union all select 'LW', d, z, a, z from f)
-select cron, d as day from w where d = case when isodow(t) = 6 then case when t = a then t + 2 else t - 1 end when isodow(t) = 7 then case when t = z then t - 2 else t + 1 end else t end
-union all select 'L', d from f where month(d) = 2 and d = z
-union all select '5L', d from f where isodow(d) = 5 and d + 7 > z
-union all select '1#2', d from f where isodow(d) = 1 and day(d) between 8 and 14
-union all select 'either', d from f where isodow(d) = 5 or day(d) = 13""")
+    """The jobs of the days on which anything happened."""
+    days = graph.table(spark, sf_dir, "events").select(F.to_date("ts").alias("day")).distinct()
+    return temporal.cron_jobs(days, CRON)
+
+
+@query("""with e as (select event_id, (ts::date + (event_id % 366)::int)::date as d from events),
+f as (select event_id, d, (date_trunc('month', d))::date as a, last_day(d) as z from e),
+w as (select '15W' as cron, event_id, d, a + 14 as t, a, z from f union all select '1W', event_id, d, a, a, z from f union all select 'LW', event_id, d, z, a, z from f)
+select event_id, cron from w where d = case when isodow(t) = 6 then case when t = a then t + 2 else t - 1 end when isodow(t) = 7 then case when t = z then t - 2 else t + 1 end else t end
+union all select event_id, 'L' from f where month(d) = 2 and d = z
+union all select event_id, '5L' from f where isodow(d) = 5 and d + 7 > z
+union all select event_id, '1#2' from f where isodow(d) = 1 and day(d) between 8 and 14
+union all select event_id, 'either' from f where isodow(d) = 5 or day(d) = 13""")
 def cron_dom_dow(spark, sf_dir):
-    return temporal.cron_jobs(spark, SPECIAL, "2024-01-01", "2024-12-31").select("cron", "day")
+    """Special days: which entries hold on the day on which each event falls due, up to a year later."""
+    due = F.date_add(F.to_date("ts"), (F.col("event_id") % 366).cast("int"))
+    days = graph.table(spark, sf_dir, "events").select("event_id", due.cast("timestamp").alias("at"))
+    return temporal.cron_hits(days, F.col("at"), SPECIAL).select("event_id", "cron")
+
+
+HITS = {"quarter": "*/15 9-17 * * MON-FRI", "night": "5-20 0-5 * * *", "either": "* * 13 * 5", "workday": "*/2 * LW JAN *"}
+
+
+@query("""select event_id, 'quarter' as cron from events where minute(ts) % 15 = 0 and hour(ts) between 9 and 17 and isodow(ts) <= 5
+union all select event_id, 'night' from events where minute(ts) between 5 and 20 and hour(ts) <= 5
+union all select event_id, 'either' from events where day(ts) = 13 or isodow(ts) = 5
+union all select event_id, 'workday' from events where minute(ts) % 2 = 0 and month(ts) = 1
+  and ts::date = case isodow(last_day(ts)) when 6 then last_day(ts) - 1 when 7 then last_day(ts) - 2 else last_day(ts) end""")
+def cron_hits(spark, sf_dir):
+    """The events that fall on a minute of a calendar entry."""
+    return temporal.cron_hits(graph.table(spark, sf_dir, "events"), F.col("ts"), HITS).select("event_id", "cron")
+
+
+@query("""with e as (select event_id, ts, epoch_us(ts) // 60000000 as mi, epoch_us(timestamp '2024-01-01 00:03:00') // 60000000 as m0 from events)
+select event_id, 'cron' as kind, 'half' as name from e where minute(ts) % 30 = 0
+union all select event_id, 'cron', 'five' from e where minute(ts) = 5 and hour(ts) between 8 and 18 and isodow(ts) <= 5
+union all select event_id, 'timer', 'beat' from e where mi >= m0 and (mi - m0) % 7 = 0""")
+def stimulus_events(spark, sf_dir):
+    """Events in the minute of a tick: the stimulus source, over the span of the table, joined to it."""
+    stimulus.register(spark)
+    e = _events(spark, sf_dir).withColumn("minute", F.floor(F.col("us") / 60_000_000))
+    first, last = e.agg(F.min("minute"), F.max("minute")).head()
+    if first is None:
+        return spark.createDataFrame([], "event_id bigint, kind string, name string")
+    ticks = spark.read.format("stimulus").options(
+        cron=json.dumps({"half": "*/30 * * * *", "five": "5 8-18 * * 1-5"}), timers=json.dumps({"beat": ["2024-01-01T00:03:00", 420]}),
+        start=stimulus.time_of(first).isoformat(), end=stimulus.time_of(last + 1).isoformat(),
+    ).load()
+    at = ticks.select("kind", "name", F.floor(F.unix_micros("at") / 60_000_000).alias("minute"))
+    return e.select("event_id", "minute").join(at, "minute").select("event_id", "kind", "name")
 
 
 @query("""with t as (select user_id as timer, min(epoch_us(ts)) as f, (user_id % 5 + 1) * 3600000000 as i from events group by user_id)
@@ -637,3 +712,62 @@ def iso_times(spark, sf_dir):
     e = graph.table(spark, sf_dir, "events")
     at = timers.iso(F.col("ts"))
     return e.select("event_id", at.alias("at"), (F.to_timestamp(at) == F.col("ts").cast("timestamp")).alias("back"))
+
+
+# --- search ------------------------------------------------------------------
+
+_WORDS = r"""t as (select id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as term from d),
+p as (select id, term, count(*) as tf from t group by all), l as (select id, count(*) as len from t group by id),
+n as (select count(*)::double as n, (select count(*) from t) / count(*)::double as mean from d),
+w as (select term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) as idf from p, n group by term, n),
+x as (select p.id, p.term, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)) as part from p join l using (id) join w using (term), n)
+"""
+
+
+@query("with d as (select conv_id * 1000 + turn as id, text from conversations),\n" + _WORDS + """,
+q as (select conv_id * 1000 as query_id, term, count(*) as times from t join conversations c on t.id = c.conv_id * 1000 and c.turn = 0 where conv_id % 20 = 0 group by all),
+s as (select query_id, id, round(sum(times * part), 6) as score from q join x using (term) where id <> query_id group by all)
+select query_id, id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, id) as rank from s) where rank <= 10""")
+def bm25_search(spark, sf_dir):
+    """The ten memories most relevant to the opening of every twentieth conversation."""
+    c = graph.table(spark, sf_dir, "conversations")
+    said = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    opened = c.where("turn = 0 and conv_id % 20 = 0").select((F.col("conv_id") * 1000).alias("query_id"), "text")
+    return search.bm25(search.index(said), opened, 10, own=False)
+
+
+@query(GRAPH + ", d as (select rowid as id, text from m),\n" + _WORDS + """,
+a as (select text from m where kind = 'other' order by rowid desc limit 1), b as (select term, count(*) as times from (select unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from a) group by term),
+r as (select id, round(sum(times * part), 6) as score from b join x using (term) group by id),
+i as (select rowid as id, count(e.src_id)::double as refs from m left join e on e.dst_id = m.rowid group by rowid),
+g as (select i.id, least(10.0, refs + coalesce((select sum(j.refs) / 2 from e join i j on j.id = e.src_id where e.dst_id = i.id), 0)) as imp from i),
+ce as (select label, list(mean order by dim) as c from (select label, dim, avg(x) as mean from (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as dim from embeddings) group by label, dim) group by label),
+so as (select vec_id, list_cosine_similarity(embedding::double[], c) as sona from embeddings join ce using (label)),
+q as (select rowid as id, round(exp(-ln(2.0) * ((select max(rowid) from m) - rowid) / 10000.0) + coalesce(r.score, 0) / (select max(score) from r) + g.imp / 10 + coalesce(so.sona, 0), 6) as score
+  from m left join r on r.id = m.rowid join g on g.id = m.rowid left join so on so.vec_id = (m.conv_id * 8 + m.turn) % (select count(*) from embeddings)),
+k as (select * from q order by score desc, id limit 20),
+z as (select src_id as a, dst_id as b, 1.0 / (1 + src_id - dst_id) as w from e union all select dst_id, src_id, 0.5 / (1 + src_id - dst_id) from e),
+h1 as (select id, max(score) as score from (select * from k union all select b, score * w * 0.5 from k join z on a = id) group by id),
+h2 as (select id, max(score) as score from (select * from h1 union all select b, score * w * 0.5 from h1 join z on a = id) group by id)
+select id, round(score, 9) as score from h2 order by h2.score desc, id limit 50""")
+def recall_hybrid(spark, sf_dir):
+    """What the last user's turn recalls: recency, full-text relevance, importance by references that is
+    passed along edges, and likeness to the sona make one score; the best lead on along weighted edges."""
+    m, e = _graph(spark, sf_dir)
+    said = m.select(F.col("rowid").alias("id"), F.col("parts")[0]["content"].alias("text"))
+    asked = lookup.page(m.where("kind = 'other'"), 1, 1).select(F.lit(0).alias("query_id"), F.col("parts")[0]["content"].alias("text"))
+    found = search.bm25(search.index(said), asked).select("id", F.col("score").alias("hit"))
+    most, newest = found.agg(F.max("hit")).head()[0], m.agg(F.max("rowid")).head()[0]
+    refs = lookup.indegrees(m, e).select(F.col("rowid").alias("id"), F.col("refs").alias("importance"))
+    passed = score.propagate(refs, e, 0.5).select("id", F.least(F.lit(10.0), "importance").alias("importance"))
+    vectors = graph.table(spark, sf_dir, "embeddings")
+    like = score.sona_likeness(vectors)
+    n = vectors.count()
+    own = m.select(F.col("rowid").alias("id"), ((F.col("conv_id") * 8 + F.col("turn")) % n).alias("vec_id"))
+    rows = own.join(found, "id", "left").join(passed, "id").join(like, "vec_id", "left")
+    scored = score.hybrid(
+        rows, F.lit(newest) - F.col("id"), F.coalesce("hit", F.lit(0.0)) / F.lit(most or 1.0), F.col("importance"), 10_000.0, likeness=F.coalesce("likeness", F.lit(0.0))
+    ).select("id", F.round("score", 6).alias("score"))
+    near = 1 / (1 + F.col("src_id") - F.col("dst_id"))
+    links = e.select("src_id", "dst_id", near.alias("weight")).unionAll(e.select(F.col("dst_id"), F.col("src_id"), near * 0.5))
+    return score.weighted_recall(scored, links, 20, 2, 0.5, 50).select("id", F.round("score", 9).alias("score"))

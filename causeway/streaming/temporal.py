@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..functions.cron import matches_day, parse
 from ..functions.timers import catch_up  # noqa: F401  (the same rule holds for restarts)
+from ..operators.temporal import cron_hits
 
 
 def _one(state):
@@ -164,9 +164,4 @@ def exchange(requests: DataFrame, responses: DataFrame, timeout: str = "30 secon
 def cron_stream(ticks: DataFrame, specs: dict[str, str], ts: Column | None = None) -> DataFrame:
     """``cron, minute`` for every tick (a stream of times, one a minute) that an entry matches."""
     at = F.date_trunc("minute", ts if ts is not None else F.col("timestamp"))
-    hits = []
-    for name, entry in specs.items():
-        s = parse(entry)
-        ok = matches_day(s, F.to_date(at)) & F.hour(at).isin(s.hours) & F.minute(at).isin(s.minutes)
-        hits.append(F.when(ok, F.lit(name)))
-    return ticks.select(at.alias("minute"), F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("cron"))
+    return cron_hits(ticks.select(at.alias("minute")), F.col("minute"), specs)

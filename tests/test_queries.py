@@ -14,7 +14,7 @@ def test_query_equals_its_sql(spark, sf, duck, name):
 def test_entry(spark, duck):
     import __spark_entry__
 
-    found = duck.sql(catalog.SQL["recall_chat"].replace("from conversations", "from '/root/testdata/sf0.001/conversations.parquet'"))
+    found = duck.sql(catalog.SQL["recall_turns"].replace("from conversations", "from '/root/testdata/sf0.001/conversations.parquet'"))
     assert same(__spark_entry__.entry(spark), found)
 
 

@@ -25,7 +25,16 @@ def test_catch_up(spark, td, interval, wait):
     ("@weekly", "2024-01-01", "2024-01-10", ["2024-01-07"]), ("0 0 * * 7", "2024-01-01", "2024-01-10", ["2024-01-07"]),
 ])
 def test_cron_days(spark, spec, first, last, want):
-    assert [str(r.day) for r in temporal.cron_jobs(spark, {"x": spec}, first, last).orderBy("day").collect()] == want
+    days = spark.sql(f"select explode(sequence(date '{first}', date '{last}')) as day")
+    assert [str(r.day) for r in temporal.cron_jobs(days, {"x": spec}).orderBy("day").collect()] == want
+
+
+def test_days_are_the_same_in_python_and_columns(spark):
+    specs = ["0 0 15W * *", "0 0 1W,30W * *", "0 0 LW * *", "0 0 L 2,4 *", "0 0 * * 5L", "0 0 * * 1#2,3#5", "0 0 13 * 5", "0 0 10-20/3 * MON-WED", "0 0 31 * *", "@monthly"]
+    days = spark.sql("select explode(sequence(date '2023-12-01', date '2025-01-31')) as day")
+    parsed = [cron.parse(s) for s in specs]
+    for r in days.select("day", *[cron.matches_day(s, F.col("day")).alias(str(i)) for i, s in enumerate(parsed)]).collect():
+        assert [r[str(i)] for i in range(len(specs))] == [cron.on(s, r.day) for s in parsed], r.day
 
 
 def test_cron_parsing():
@@ -113,7 +122,7 @@ def test_cron_stream(spark, tmp_path):
     days.write.parquet(f"{tmp_path}/in")
     specs = {"q": "*/15 9 * * *", "d": "@daily"}
     got = run(streams.cron_stream(table_stream(spark, f"{tmp_path}/in"), specs), "jobs", spark, tmp_path)
-    want = temporal.cron_jobs(spark, specs, "2024-01-01", "2024-01-02").collect()
+    want = temporal.cron_jobs(days.select(F.to_date("timestamp").alias("day")).distinct(), specs).collect()
     assert sorted((r.cron, r.minute.hour, r.minute.minute) for r in got) == sorted((r.cron, r.hour, r.minute) for r in want)
 
 
