@@ -257,9 +257,14 @@ def added(text: str, base: list[Span]) -> list[Span]:
     """Spans found only in the rewritten text, mapped back; none is equal to or inside another of its kind."""
     found = {(kind, *view.back(s, e)) for view in deobfuscated(text) for kind, s, e in find(view.text)}
     out: list[Span] = []
-    for kind, s, e in sorted(found, key=lambda x: (x[1], -x[2])):
-        if not any(k == kind and a <= s and e <= b for k, a, b in [*base, *out]):
-            out.append((kind, s, e))
+    # from left to right, the longer first and base spans before equal ones: a span lies inside
+    # another of its kind if one that began no later has ended no earlier
+    far: dict[str, int] = {}
+    for s, back, new, kind in sorted([(s, -e, False, k) for k, s, e in base] + [(s, -e, True, k) for k, s, e in found]):
+        if -back > far.get(kind, -1):
+            far[kind] = -back
+            if new:
+                out.append((kind, s, -back))
     return out
 
 
