@@ -21,6 +21,7 @@ are of it, with score 1; a null ``doc_id`` is not held out.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -50,7 +51,9 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 BUCKETS, LO, HI = 1 << 16, 1, 3
 PER_LANGUAGE, OTHERS, EPOCHS, RATE, DECAY = 700, 4_000, 8, 0.5, 1e-5
 FOLDS, HELD_OUT = 4, 2
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Signs that count as word characters without being letters or decimal digits: fractions, circled and Roman numbers.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
 
 
 def family(lang: str) -> str:
