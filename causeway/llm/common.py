@@ -26,6 +26,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Narrow rows that a file of a table should have.
+ROWS_A_FILE = 200_000
+
+
+def cut_narrow(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """:func:`cut` for about ``rows`` rows of a few numbers: into as many files as these fill, or
+    one for each core if that is more, however many partitions the last shuffle had."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return cut(df.coalesce(max(cores, -(-rows // ROWS_A_FILE))), name)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the table behind a DataFrame made by :func:`cut`."""
     path = getattr(df, "_scratch_path", None)

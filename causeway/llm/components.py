@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop
+from .common import cut, cut_narrow, drop
 
 
 class Forest:
@@ -72,6 +72,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     clean = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     now = cut(clean.mapInPandas(_combine, "a long, b long").distinct(), "cc")
+    rows = now.count()  # what follows has fewer
     for _ in range(max_rounds):
         # a > b throughout: every vertex points at a smaller one
         least = now.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("x"))
@@ -90,7 +91,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         moved = both.join(hop, "b", "left").select("a", F.coalesce("up", "b").alias("b"), F.col("b").alias("via"))
         both = moved.select("a", "b").unionAll(moved.where("via <> b").select(F.col("via").alias("a"), "b"))
         both = both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-        after = cut(both.mapInPandas(_combine, "a long, b long").distinct(), "cc")
+        after = cut_narrow(both.mapInPandas(_combine, "a long, b long").distinct(), rows, "cc")
         drop(now)
         now = after
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

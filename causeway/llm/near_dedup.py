@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, meet, mix, shingle_set, tidy
+from .common import cut, cut_narrow, drop, meet, mix, shingle_set, tidy
 from .components import Forest, components
 
 K, PERCENT = 4, 80
@@ -358,13 +358,14 @@ def near_dedup(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame
     sig = cut(signatures(docs, k), "signatures")
     some = sig.where("n_shingles > 0 and doc_id is not null")
     # one representative of each class of equal sets: the row with the least doc_id
-    lead = cut(some.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    rows = sig.count()
+    lead = cut_narrow(some.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), rows, "classes")
     member = meet(some.select("doc_id", "class"), lead, "class").select("doc_id", "rep")
     # a doc_id may repeat with several texts, so each row keeps its own signature
     reps = sig.join(lead, (sig["doc_id"] == lead.rep) & (sig["class"] == lead["class"]), "left_semi")
     reps = reps.dropDuplicates(["doc_id", "class"])
     near = cut(candidate_edges(reps), "candidates")
-    groups = cut(components(near), "groups")
+    groups = cut_narrow(components(near), rows, "groups")
     links = confirmed_edges(docs, groups, k, percent)
     # copies hang on to their representative
     copies = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
