@@ -8,12 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import ids, timers
+from ..functions import actions, ids, timers
 from ..operators import append, dag, lookup, reach, score, search, temporal, transcript
 from ..operators.recall import forest_edges, induced_edges, recall
 from ..sources import schema, stimulus
 from ..sources.adjacency import Adjacency
 from ..sources.schema import RecallConfig
+from ..sources.shared import scratch
+from ..sources.store import Appender, CancelTransaction
 from . import graph
 from .oracle_recall import recall_sql
 
@@ -771,3 +773,70 @@ def recall_hybrid(spark, sf_dir):
     near = 1 / (1 + F.col("src_id") - F.col("dst_id"))
     links = e.select("src_id", "dst_id", near.alias("weight")).unionAll(e.select(F.col("dst_id"), F.col("src_id"), near * 0.5))
     return score.weighted_recall(scored, links, 20, 2, 0.5, 50).select("id", F.round("score", 9).alias("score"))
+
+
+# --- the store ---------------------------------------------------------------
+
+
+@query("select event_id, lpad(event_id::varchar, 32, '0') as uuid, 16 as n_bytes, lpad(event_id::varchar, 32, '0') as back from events")
+def uuid_forms(spark, sf_dir):
+    """Identifiers as text, as 16 bytes, written with dashes, and back."""
+    e = graph.table(spark, sf_dir, "events").select("event_id", ids.uuid_of(F.col("event_id")).alias("uuid"))
+    dashed = F.concat_ws("-", *[F.substring("uuid", a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    return e.select("event_id", "uuid", F.length(ids.to_bytes(F.col("uuid"))).alias("n_bytes"), ids.from_bytes(ids.to_bytes(dashed)).alias("back"))
+
+
+@query(GRAPH + """select uuid, kind, 2 + (turn % 4 = 1)::int as n_parts, (select count(*) from e where e.src_id = m.rowid) as n_targets, true as valid from m where kind = 'self'""")
+def self_builders(spark, sf_dir):
+    """Answers built as memories of their own kind: a thought, the text, and for every other one a tool call."""
+    m, e = _graph(spark, sf_dir)
+    p, text = schema.part, F.col("parts")[0]["content"]
+    said = F.array(p("think", content=F.lit("hm")), p("text", content=text))
+    call = F.array(p("tool", name=F.lit("look"), call_id=F.col("uuid"), args=F.lit("{}"), result=F.lit("1")))
+    parts = F.when(F.col("turn") % 4 == 1, F.concat(said, call)).otherwise(said)
+    rows = lookup.with_edges(m.where("kind = 'self'"), e, m)
+    built = rows.select(*schema.create_self(F.col("uuid"), parts, F.col("edges")))
+    return built.select(
+        "uuid", "kind", F.size("parts").alias("n_parts"), F.size("targets").cast("bigint").alias("n_targets"), schema.valid(F.col("kind"), F.col("parts")).alias("valid")
+    )
+
+
+def _written(spark: SparkSession, sf_dir: str) -> Appender:
+    """A store made by transactions: the first turns, a cancelled batch, then everything again in two batches."""
+    m, e = _graph(spark, sf_dir)
+    rows = lookup.with_edges(m, e)
+    batch = rows.select("uuid", "kind", "metadata", "parts", F.col("edges").alias("targets"), F.col("rowid").alias("arrival"), "turn")
+    store = Appender(spark, scratch(spark, "store"))
+    with store.transaction() as t:
+        t.add(batch.where("turn < 2"))
+    with store.transaction() as t:
+        t.add(batch.where("turn < 4"))
+        raise CancelTransaction
+    with store.transaction() as t:
+        t.add(batch.where("turn < 3"))
+        t.add(batch)
+    return store
+
+
+_STORED = GRAPH + ", r as (select rowid, uuid, kind, row_number() over (order by case when turn < 2 then 0 when turn < 3 then 1 else 2 end, rowid) as n from m), k as (select s.n as src_id, d.n as dst_id from e join r s on s.rowid = e.src_id join r d on d.rowid = e.dst_id where d.n <= s.n)\n"
+
+
+@query(_STORED + "select n as rowid, uuid, kind from r")
+def store_memories(spark, sf_dir):
+    return _written(spark, sf_dir).memories().select("rowid", "uuid", "kind")
+
+
+@query(_STORED + "select r.n as rowid, count(k.src_id) as refs from r left join k on k.dst_id = r.n group by r.n")
+def store_indegrees(spark, sf_dir):
+    """References counted as versions were written; those to memories that came later were dropped."""
+    return _written(spark, sf_dir).indegrees()
+
+
+@query("""with t as (select *, sum((event_type = 'signup')::int) over (partition by user_id order by ts, event_id) as epoch from events)
+select user_id as key, epoch::bigint as epoch, min(event_id) as seq from (select *, row_number() over (partition by user_id, epoch order by ts, event_id) as n from t where event_type = 'click') where n = 1 group by 1, 2""")
+def action_once(spark, sf_dir):
+    """An action as a table function over each user's events: the first click after every sign-up."""
+    e = graph.table(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    calls = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (kind == "signup").alias("reset"), (kind == "click").alias("fire"), "ts")
+    return actions.once(calls.asTable().partitionBy("key").orderBy("ts", "seq"))

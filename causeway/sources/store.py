@@ -22,6 +22,12 @@ from .schema import EDGE, MEMORY
 from .shared import remove
 
 
+#: A commit file.
+COMMIT = "n bigint, versions array<string>"
+#: How many edges of a version lead to each memory.
+DEGREE = "rowid bigint, refs bigint"
+
+
 class CancelTransaction(Exception):
     """Raised inside a transaction to drop it without an error."""
 
@@ -40,7 +46,7 @@ class Store:
         """The versions of each commit, in order."""
         if not self._exists(f"{self.path}/published"):
             return []
-        rows = self.spark.read.schema("n bigint, versions array<string>").json(f"{self.path}/published").orderBy("n").collect()
+        rows = self.spark.read.schema(COMMIT).json(f"{self.path}/published").orderBy("n").collect()
         return [r["versions"] for r in rows]
 
     def versions(self) -> list[str]:
@@ -56,6 +62,11 @@ class Store:
     def edges(self) -> DataFrame:
         return self._table("edges", EDGE)
 
+    def indegrees(self) -> DataFrame:
+        """``rowid, refs`` of all memories: each version counted its own edges, only these counts are read."""
+        counts = self._table("degrees", DEGREE).groupBy("rowid").agg(F.sum("refs").alias("refs"))
+        return self.memories().select("rowid").join(counts, "rowid", "left").select("rowid", F.coalesce("refs", F.lit(0)).alias("refs"))
+
 
 class Appender(Store):
     """The writing side; ``with appender.transaction() as t: t.add(batch)``."""
@@ -98,6 +109,8 @@ class Transaction:
             staged.append(f"v-{uuid.uuid4().hex}")
             self.result.memories.write.parquet(f"{self.store.path}/{staged[-1]}/memories")
             self.result.edges.write.parquet(f"{self.store.path}/{staged[-1]}/edges")
+            degrees = self.store._table("edges", EDGE, [staged[-1]]).groupBy(F.col("dst_id").alias("rowid")).agg(F.count(F.lit(1)).alias("refs"))
+            degrees.write.parquet(f"{self.store.path}/{staged[-1]}/degrees")
 
     def __exit__(self, kind, error, trace) -> bool:
         if kind is not None:
