@@ -53,7 +53,16 @@ PER_LANGUAGE, OTHERS, EPOCHS, RATE, DECAY = 700, 4_000, 8, 0.5, 1e-5
 FOLDS, HELD_OUT = 4, 2
 #: Signs that count as word characters without being letters or decimal digits: fractions, circled and Roman numbers.
 _NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
+_NUMERAL = re.compile(f"[{re.escape(_NUMERALS)}]")
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case."""
+    text = text.lower()
+    if not text.isascii() and _NUMERAL.search(text):
+        text = _NUMERAL.sub(" ", text)
+    return _LETTERS.findall(text)
 
 
 def family(lang: str) -> str:
@@ -93,7 +102,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[list] = [[], [], [], []]
         for doc_id, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            words = _LETTERS.findall((text.as_py() or "").lower())
+            words = words_of(text.as_py() or "")
             if words:
                 at, times = document_features(words, LO, HI, BUCKETS)
                 for c, v in zip(rows, (doc_id, lang, at.astype(np.int32).tobytes(), (times / times.sum()).astype(np.float32).tobytes())):
@@ -174,7 +183,7 @@ def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
     for batch in batches:
         out = []
         for texts in groups(batch.column(1)):
-            words = [_LETTERS.findall((t or "").lower()) for t in texts]
+            words = [words_of(t or "") for t in texts]
             margins = scores.means(words) + model["bias"]
             out += [decide(model, m) if w else ("und", 0.0) for w, m in zip(words, margins)]
         langs, sure = zip(*out) if out else ((), ())
