@@ -52,16 +52,16 @@ BUCKETS, LO, HI = 1 << 16, 1, 3
 PER_LANGUAGE, OTHERS, EPOCHS, RATE, DECAY = 700, 4_000, 8, 0.5, 1e-5
 FOLDS, HELD_OUT = 4, 2
 #: Signs that count as word characters without being letters or decimal digits: fractions, circled and Roman numbers.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_NUMERAL = re.compile(f"[{re.escape(_NUMERALS)}]")
+_NUMERALS = {c: " " for c in range(sys.maxunicode + 1) if chr(c).isnumeric() and not chr(c).isalpha() and not chr(c).isdecimal()}
+_NUMERAL = frozenset(map(chr, _NUMERALS))
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters, in lower case."""
     text = text.lower()
-    if not text.isascii() and _NUMERAL.search(text):
-        text = _NUMERAL.sub(" ", text)
+    if not text.isascii() and not _NUMERAL.isdisjoint(text):
+        text = text.translate(_NUMERALS)
     return _LETTERS.findall(text)
 
 
