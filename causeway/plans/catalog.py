@@ -826,6 +826,14 @@ def store_memories(spark, sf_dir):
     return _written(spark, sf_dir).memories().select("rowid", "uuid", "kind")
 
 
+@query(_STORED + ", f as (select min(uuid) as a, max(uuid) as b, max(n) as c from r) select n as rowid, uuid, kind from r, f where uuid in (a, b) or n in (1, c)")
+def store_lookup(spark, sf_dir):
+    """Memories by uuid and by row number, read from those versions alone whose index may hold them."""
+    store = _written(spark, sf_dir)
+    ends = store.memories().agg(F.min("uuid"), F.max("uuid"), F.max("rowid")).head()
+    return store.find(ends[:2], [1, ends[2]]).select("rowid", "uuid", "kind")
+
+
 @query(_STORED + "select r.n as rowid, count(k.src_id) as refs from r left join k on k.dst_id = r.n group by r.n")
 def store_indegrees(spark, sf_dir):
     """References counted as versions were written; those to memories that came later were dropped."""

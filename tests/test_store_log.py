@@ -40,6 +40,49 @@ def test_readers_see_each_commit_once(spark, tmp_path, add):
     assert seen == [(["a", "b"], 1), (["c", "d"], 3)]
 
 
+def test_point_lookups_open_one_version(spark, tmp_path, add):
+    store = Appender(spark, f"file://{tmp_path}/store")
+    assert store.find(["a"], [1]).collect() == [] and store.holding(["a"]) == []
+    # every version has uuids from all over the range, so only the filters tell them apart
+    for i in range(6):
+        add(store, [(f"{j:03}-{i}", [], j) for j in range(20)])
+    add(store, [("000-0", [], 1)])  # a version without a new memory
+    assert len(store.versions()) == 7
+    hit = store.find(["007-3"])
+    assert [(r.uuid, r.rowid) for r in hit.collect()] == [("007-3", 68)]
+    assert len({f.split("/memories/")[0] for f in hit.inputFiles()}) == 1
+    by_row = store.find(rowids=[41])
+    assert [r.uuid for r in by_row.collect()] == ["000-2"] and len({f.split("/memories/")[0] for f in by_row.inputFiles()}) == 1
+    every = [r.uuid for r in store.memories().collect()]
+    assert sorted(r.uuid for r in store.find(every).collect()) == sorted(every) and len(every) == 120
+    assert sorted(r.uuid for r in store.find(["000-0", "nowhere"], [120, 999]).collect()) == ["000-0", "019-5"]
+    assert store.find(["nowhere"]).collect() == []
+
+
+def test_large_versions_are_found_by_range(spark, tmp_path, add, monkeypatch):
+    from causeway.sources import store as module
+
+    monkeypatch.setattr(module, "MAX_BITS", 64)
+    store = Appender(spark, f"file://{tmp_path}/store")
+    for i in range(3):
+        add(store, [(f"{i}-{j:03}", [], j) for j in range(20)])
+    assert all(k.bloom is None for r in store.log().collect() for k in r["keys"])
+    assert store.holding(["1-004"]) == store.versions()[1:2] and store.find(["1-004"]).count() == 1
+
+
+def test_a_thousand_commits_open_from_one_snapshot(spark, tmp_path):
+    store = Appender(spark, f"file://{tmp_path}/store")
+    for n in range(1003):
+        assert store.publish(n, [f"v-{n}", f"w-{n}"])
+    assert not store.publish(7, ["other"])
+    assert store.commits() == [[f"v-{n}", f"w-{n}"] for n in range(1003)]
+    files = store.log().inputFiles()
+    assert sum("/snapshots/000000001000/" in f for f in files) == 1 and sum("/published/" in f for f in files) == 3 and len(files) == 4
+    # a snapshot that a writer left half done is not read
+    (tmp_path / "store/snapshots/_left").mkdir()
+    assert len(Appender(spark, store.path).commits()) == 1003 and store.holding(["a"]) == store.versions()
+
+
 def test_indegrees_after_appends(spark, tmp_path, add):
     store = Appender(spark, f"file://{tmp_path}/store")
     assert store.indegrees().count() == 0
