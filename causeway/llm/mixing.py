@@ -13,10 +13,9 @@ period is laid out on the driver (or the phase, if that is shorter), and every d
 its slot by arithmetic.  When a source has no block left, a new phase starts with the weights
 of the others scaled up: nothing is dropped, and the bound holds inside each phase.
 
-The driver lays out the ``MAX_SOURCES`` heaviest sources.  The others share a pool that weighs
-the sum of its members' weights and is scheduled as one source; inside it the members' blocks
-go out by the middles of their windows, (j + 1/2) / w, numbered on Spark.  A member of a share
-s of a pool of n is within 1/2 + s * n / 2 blocks of its share of the pool until one runs out.
+The driver lays out up to ``MAX_SOURCES`` sources.  With more, windows and earliest deadline
+first run on Spark (:mod:`.edf`): there the schedule has no period, weights by size are whole
+units of 1 / ``UNITS``, and given weights keep 40 bits after the heaviest.  The bound is the same.
 
 Ranks inside a source are found without bringing a source together: its rows are dealt by
 hash to sub-buckets of about ``SUB_ROWS``, counted, and ranked inside each sub-bucket on top
@@ -39,9 +38,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import number_rows
+from . import edf
 
-BLOCK_ROWS, PERIOD, MAX_SOURCES, SUB_ROWS = 16, 1000, 512, 1500
+BLOCK_ROWS, PERIOD, MAX_SOURCES, SUB_ROWS, UNITS = 16, 1000, 512, 1500, 1024
 TEMPERATURE = 0.7
 
 
@@ -143,20 +142,11 @@ def mix(
     if not top:
         schema = f"row {rows.schema['row'].dataType.simpleString()}, mix_source string, phase int, block long, slot long, position long"
         return spark.createDataFrame([], schema)
-    pooled, top = len(top) > MAX_SOURCES, top[:MAX_SOURCES]
+    if len(top) > MAX_SOURCES:
+        return mix_many(rows, counted, given if weights is not None else None, block_rows, temperature)
     total = {r["name"]: r["count"] for r in top}
     blocks = {k: -(-n // block_rows) for k, n in total.items()}
     target = {r["name"]: r["weight"] if weights is None else Fraction(str(r["weight"])) for r in top}
-    subs_of = F.ceil(F.col("count") / SUB_ROWS).cast("long")
-    if pooled:
-        members = weighed.where(~F.col("name").isin(list(total)))
-        pool = members.select("name", "weight", F.ceil(F.col("count") / block_rows).cast("long").alias("blocks"), subs_of.alias("subs"))
-        if weights is None:
-            sums = pool.agg(F.sum("weight"), F.sum("blocks")).head()
-            target["rest"], blocks["rest"] = sums[0], sums[1]
-        else:
-            sums = pool.groupBy("weight").agg(F.count(F.lit(1)), F.sum("blocks")).collect()
-            target["rest"], blocks["rest"] = sum(Fraction(str(r[0])) * r[1] for r in sums), sum(r[2] for r in sums)
     plan = phases(blocks, target, period if weights is None else None)
     spans = [
         (k, i, p["start"], p["period"], p["first"][k], p["took"][k], p["at"][k])
@@ -167,26 +157,9 @@ def mix(
     )
     sizes = spark.createDataFrame([(k, -(-n // SUB_ROWS)) for k, n in total.items()], "name string, subs long")
 
-    # the tables of the top have at most MAX_SOURCES + 1 sources, spans a period's slots for each phase
-    sized = rows.join(F.broadcast(sizes), "name")
-    if pooled:
-        sized = sized.unionByName(rows.join(pool.select("name", "subs"), "name"))
-    dealt = sized.withColumnRenamed("name", "mix_source").withColumn("sub", F.pmod(F.xxhash64("dice"), F.col("subs")))
-    subs = dealt.groupBy("mix_source", "sub").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("mix_source").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = subs.select("mix_source", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("mix_source", "sub").orderBy("dice")
-    ranked = dealt.withColumn("rank", F.row_number().over(inside)).join(offsets, ["mix_source", "sub"])
-    place = F.col("offset") + F.col("rank") - 1
-    blocked = ranked.withColumn("block", F.floor(place / block_rows).cast("long")).withColumn("within", place % block_rows)
+    # sizes has at most MAX_SOURCES sources, spans a period's slots for each phase
+    blocked = _blocked(rows.join(F.broadcast(sizes), "name"), block_rows)
     blocked = blocked.withColumn("track", F.col("mix_source")).withColumn("turn", F.col("block"))
-    if pooled:
-        each = pool.select("name", "weight", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-        middle = each.withColumn("middle", (F.col("block") + 0.5) / F.col("weight"))
-        turns = number_rows(middle, ["middle", "name", "block"]).select(F.col("name").alias("mix_source"), "block", (F.col("n") - 1).alias("turn"))
-        own = F.col("mix_source").isin(list(total))
-        inner = blocked.where(~own).drop("turn").join(turns, ["mix_source", "block"]).withColumn("track", F.lit("rest"))
-        blocked = blocked.where(own).unionByName(inner)
     there = (F.col("turn") >= F.col("first")) & (F.col("turn") < F.col("first") + F.col("took"))
     out = blocked.join(F.broadcast(spans_df), "track").where(there)
     j = F.col("turn") - F.col("first")
@@ -197,6 +170,41 @@ def mix(
     )
 
 
+def _blocked(sized: DataFrame, block_rows: int) -> DataFrame:
+    """Rows with ``mix_source, block, within`` by their rank in the hash order of their source; ``subs`` is how many
+    sub-buckets the source has."""
+    dealt = sized.withColumnRenamed("name", "mix_source").withColumn("sub", F.pmod(F.xxhash64("dice"), F.col("subs")))
+    subs = dealt.groupBy("mix_source", "sub").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("mix_source").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = subs.select("mix_source", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("mix_source", "sub").orderBy("dice")
+    ranked = dealt.withColumn("rank", F.row_number().over(inside)).join(offsets, ["mix_source", "sub"])
+    place = F.col("offset") + F.col("rank") - 1
+    return ranked.withColumn("block", F.floor(place / block_rows).cast("long")).withColumn("within", place % block_rows)
+
+
+def whole_weights(given: Mapping[str, float]) -> dict[str, int]:
+    """Whole numbers that stand as the weights do; exact if the heaviest then has no more than 40 bits."""
+    whole = fractions(given)
+    most = max(whole.values(), default=1)
+    return whole if most < 1 << 40 else {k: max(1, round(Fraction(n << 40, most))) for k, n in whole.items()}
+
+
+def mix_many(rows: DataFrame, counted: DataFrame, given: Mapping[str, float] | None, block_rows: int, temperature: float) -> DataFrame:
+    """:func:`mix` for sources of any number; none of their lists reaches the driver."""
+    if given is None:
+        weighed = counted.withColumn("weight", F.greatest(F.lit(1), F.round(F.pow("count", F.lit(temperature)) * UNITS)).cast("long"))
+    else:
+        whole = whole_weights(given)
+        known = rows.sparkSession.createDataFrame(list(whole.items()), "name string, weight long")
+        weighed = counted.join(known, "name", "left").withColumn("weight", F.coalesce("weight", F.lit(min(whole.values(), default=1))))
+    sources = edf.cut(weighed.select("name", F.ceil(F.col("count") / block_rows).cast("long").alias("blocks"), "weight", F.ceil(F.col("count") / SUB_ROWS).cast("long").alias("subs")), "mix-sources")
+    slots = edf.schedule(edf.windows(sources)).select(F.col("name").alias("mix_source"), "block", "slot", F.col("phase").cast("int").alias("phase"))
+    # a block has at most block_rows rows; the sources' table is joined as its size tells
+    out = _blocked(rows.join(sources.select("name", "subs"), "name"), block_rows).join(slots, ["mix_source", "block"])
+    return out.select("row", "mix_source", "phase", "block", "slot", (F.col("slot") * block_rows + F.col("within")).cast("long").alias("position"))
+
+
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
     """The columns of ``docs`` in the order of the mixture: written as files, the files are
     numbered and filled in that order.  :func:`places` reads it from such files."""

@@ -4,7 +4,9 @@ from fractions import Fraction
 
 import pytest
 
-from causeway.llm import mixing
+from pyspark.sql import functions as F
+
+from causeway.llm import edf, mixing
 
 
 @pytest.mark.parametrize("weights", [{"a": 0.9, "b": 0.1}, {"a": 0.5, **{f"s{i:02}": 0.5 / 19 for i in range(19)}}, {"a": 0.123457, "b": 2.0, "c": 1 / 3}])
@@ -62,3 +64,73 @@ def test_three_hundred_sources_keep_their_weights(docs_of):
         seen[s] += 1
         if t % 11 == 0:
             assert all(abs(seen[k] - Fraction(t * w, total)) < 1 for k, w in weights.items())
+
+
+def one_by_one(names, blocks, weights):
+    """All slots by one heap over windows made of fractions."""
+    import bisect
+    import heapq
+
+    ends = sorted((Fraction(blocks[k], weights[k]), k) for k in names)
+    gone, stopped = [0], [0]
+    for _, k in ends:
+        gone.append(gone[-1] + blocks[k])
+        stopped.append(stopped[-1] + weights[k])
+    flow = {}
+    for k in names:
+        for j in range(blocks[k] + 1):
+            i = bisect.bisect_left(ends, (Fraction(j, weights[k]), ""))
+            flow[k, j] = gone[i] + Fraction(j * (stopped[-1] - stopped[i]), weights[k])
+    todo = sorted((flow[k, j] // 1, -(-flow[k, j + 1] // 1), k, j) for k in names for j in range(blocks[k]))
+    ready, out = [], {}
+    for t in range(len(todo)):
+        while todo and todo[0][0] <= t:
+            _, d, k, j = todo.pop(0)
+            heapq.heappush(ready, (d, k, j))
+        d, k, j = heapq.heappop(ready)
+        assert t < d
+        out[k, j] = t
+    return out, ends
+
+
+@pytest.mark.parametrize("slots", [64, 997, 1 << 18])
+def test_segments_give_the_one_schedule(spark, slots):
+    names = [f"s{i:03}" for i in range(150)]
+    blocks = {k: 900 if i == 0 else 1 + i * 7 % 23 for i, k in enumerate(names)}
+    weights = {k: 1 + i * i % 41 if i else 500 for i, k in enumerate(names)}
+    sources = spark.createDataFrame([(k, blocks[k], weights[k]) for k in names], "name string, blocks long, weight long")
+    got = edf.schedule(edf.windows(sources), slots).collect()
+    want, ends = one_by_one(names, blocks, weights)
+    assert len(got) == sum(blocks.values()) and {(r.name, r.block): r.slot for r in got} == want
+    assert [r.phase for r in sorted(got, key=lambda r: r.slot)] == sorted(r.phase for r in got)
+    assert edf.schedule(edf.windows(sources.limit(0)), slots).count() == 0
+
+
+def test_chunks_of_a_heavy_source(spark, monkeypatch):
+    monkeypatch.setattr(edf, "CHUNK", 7)
+    sources = spark.createDataFrame([("a", 21, 3), ("b", 7, 1), ("c", 1, 1)], "name string, blocks long, weight long")
+    got = edf.windows(sources).collect()
+    assert sorted((r.name, r.block) for r in got) == [("a", j) for j in range(21)] + [("b", j) for j in range(7)] + [("c", 0)]
+    assert all(r.release < r.deadline for r in got) and [r.name for r in got if r.last].__len__() == 3
+    assert sorted(r.slot for r in edf.schedule(edf.windows(sources), 4).collect()) == list(range(29))
+
+
+@pytest.mark.parametrize("given", [False, True])
+def test_two_thousand_sources_within_a_block_of_their_weights(spark, given):
+    """Sources of sizes and weights of many kinds, one with a quarter of all rows: less than a block from the targets until one runs out."""
+    n = 2000
+    docs = spark.range(n).select(F.col("id").alias("k"), (20 + F.col("id") * 7 % 31).alias("rows")).withColumn("rows", F.when(F.col("k") == 0, 20_000).otherwise(F.col("rows")))
+    docs = docs.select(F.concat(F.lit("s"), "k").alias("source"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("i"), "k", "rows")
+    docs = docs.select((F.col("k") * 100_000 + F.col("i")).alias("doc_id"), "source")
+    size = {f"s{k}": 20_000 if k == 0 else 20 + k * 7 % 31 for k in range(n)}
+    weights = {s: 0.5 + (int(s[1:]) * 13 % 97) / 8 for s in size} if given else None
+    rows = mixing.mix(docs, weights, block_rows=1).collect()
+    assert len(rows) == sum(size.values()) and sorted(r.position for r in rows) == list(range(len(rows)))
+    target = {s: Fraction(str(weights[s])) if given else Fraction(round(size[s] ** mixing.TEMPERATURE * mixing.UNITS)) for s in size}
+    total, seen = sum(target.values()), dict.fromkeys(size, 0)
+    order = [r.mix_source[2:] for r in sorted(rows, key=lambda r: r.position) if r.phase == 0]
+    assert len(order) > 10_000
+    for t, s in enumerate(order, 1):
+        seen[s] += 1
+        if t % 499 == 0:
+            assert all(abs(seen[k] - t * w / total) < 1 for k, w in target.items())
