@@ -14,8 +14,9 @@ from ..operators.recall import forest_edges, induced_edges, recall
 from ..sources import schema, stimulus
 from ..sources.adjacency import Adjacency
 from ..sources.schema import RecallConfig
-from ..sources.shared import scratch
+from ..sources.shared import cut, scratch
 from ..sources.store import Appender, CancelTransaction
+from ..streaming import respond
 from . import graph
 from .oracle_recall import recall_sql
 
@@ -521,14 +522,19 @@ def watchdog_horizon(spark, sf_dir):
     return temporal.watchdog_expiries(e, "user_id", F.col("us"), 86_400_000_000, F.lit(end))
 
 
-def _exchange(spark, sf_dir):
+def _traffic(spark, sf_dir):
+    """Requests and responses made of the events."""
     e = _events(spark, sf_dir)
     req = e.where("event_type = 'view'").select(F.col("event_id").alias("request"), F.col("us").alias("req_us"))
     status = F.when(F.col("event_type") == "error", 500).otherwise(200)
     # a response at an offset from the time of the event that it answers
     resp = e.where("event_type in ('click', 'error')").select((F.col("event_id") - 1).alias("request"), status.alias("status"), F.col("event_type").alias("body"))
     at = e.select(F.col("event_id").alias("request"), (F.col("us") + F.col("event_id") % 40 * 1_000_000).alias("resp_us"))
-    return temporal.exchange(req, resp.join(at, "request"))
+    return req, resp.join(at, "request")
+
+
+def _exchange(spark, sf_dir):
+    return temporal.exchange(*_traffic(spark, sf_dir))
 
 
 _EXCHANGE = """with e as (select event_id, event_type, epoch_us(ts) as us from events),
@@ -548,6 +554,23 @@ def late_responses(spark, sf_dir):
     return _exchange(spark, sf_dir)[1]
 
 
+@query(_EXCHANGE + """select e.event_id::varchar as request, coalesce(r.resp_us // 1000, us // 1000 + 30000)::bigint as at_ms, coalesce(r.status, 504)::int as status,
+coalesce(r.body, 'Response action not invoked.') as body, '' as why from e left join r on r.request = e.event_id and resp_us between us and us + 30000000 where event_type = 'view'
+union all select request::varchar, (resp_us // 1000)::bigint, status::int, body, case when known then 'late' else 'unknown' end from r where not known or resp_us > req_us + 30000000""")
+def response_log(spark, sf_dir):
+    """Requests and responses as streams, settled by event time and written by the sink, read back from its epochs."""
+    req, resp = _traffic(spark, sf_dir)
+    out, at = scratch(spark, "responses"), lambda c: F.timestamp_micros(F.col(c))
+    end = spark.range(1).select(F.lit("end").alias("request"), F.lit("2100-01-01").cast("timestamp").alias("req_ts"))  # moves the watermark past all others
+    asked = cut(req.select(F.col("request").cast("string").alias("request"), at("req_us").alias("req_ts")).unionByName(end), "requests")
+    said = cut(resp.select(F.col("request").cast("string").alias("request"), at("resp_us").alias("resp_ts"), "status", "body"), "said")
+    respond.register(spark)
+    streams = [spark.readStream.schema(t.schema).parquet(t._scratch_path) for t in (asked, said)]
+    sink = respond.settle(*streams).writeStream.format("respond").option("path", out)
+    sink.option("checkpointLocation", scratch(spark, "responses-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return respond.written(spark, out).where("request <> 'end'").select("request", "at_ms", "status", "body", F.coalesce("why", F.lit("")).alias("why"))
+
+
 @query("""select event_id, event_type as concept, case when event_id % 13 = 0 then 'uncaught' when event_type = 'error' then 'concept' when event_id % 5 = 4 then 'no_action'
 when event_id % 5 = 3 then 'event_invoked' when event_id % 5 = 2 then 'ignored' end as category from events
 where event_id % 13 = 0 or event_type = 'error' or event_id % 5 >= 2""")

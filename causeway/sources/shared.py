@@ -76,26 +76,31 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def running_sums(df: DataFrame, order: list, value: Column, name: str = "before") -> DataFrame:
+def running_sums(df: DataFrame, order: list, value: Column | dict[str, Column], name: str = "before") -> DataFrame:
     """``df`` with the sum of ``value`` (whole numbers) over all rows before each one in the given
-    order, without bringing all rows to one task.
+    order, without bringing all rows to one task; several sums if ``value`` names several columns.
 
     Rows are dealt to ranges, which equal keys may share, and written; each range is summed
     on its own, on top of the sums of the ranges before it (one small row for each).
     """
     spark = df.sparkSession
+    values = value if isinstance(value, dict) else {name: value}
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.withColumn("_value", value.cast("long")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    summed = {n: f"_value{i}" for i, n in enumerate(values)}
+    ranged = df.withColumns({summed[n]: v.cast("long") for n, v in values.items()}).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     held = cut(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    sizes = sorted((r["_part"], r["n"]) for r in held.groupBy("_part").agg(F.sum("_value").alias("n")).collect())
+    sizes = sorted(held.groupBy("_part").agg(*[F.sum(c).alias(c) for c in summed.values()]).collect(), key=lambda r: r["_part"])
     if not sizes:
-        return held.select(*df.columns, F.lit(0).cast("long").alias(name))
-    first, total = {}, 0
-    for p, n in sizes:
-        first[p], total = total, total + n
-    offset = F.create_map(*[F.lit(x) for p in first for x in (p, first[p])])[F.col("_part")]
+        return held.select(*df.columns, *[F.lit(0).cast("long").alias(n) for n in values])
     inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    return held.select(*df.columns, (offset + F.coalesce(F.sum("_value").over(inside), F.lit(0))).cast("long").alias(name))
+    sums = []
+    for n, c in summed.items():
+        first, total = {}, 0
+        for r in sizes:
+            first[r["_part"]], total = total, total + (r[c] or 0)
+        offset = F.create_map(*[F.lit(x) for p in first for x in (p, first[p])])[F.col("_part")]
+        sums.append((offset + F.coalesce(F.sum(c).over(inside), F.lit(0))).cast("long").alias(n))
+    return held.select(*df.columns, *sums)
 
 
 def number_rows(df: DataFrame, order: list, name: str = "n") -> DataFrame:

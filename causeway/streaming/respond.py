@@ -51,7 +51,9 @@ class _Settle(StatefulProcessor):
         for pdf in rows:
             for ms, kind, status, body in zip(pdf["ms"], pdf["kind"], pdf["status"], pdf["body"]):
                 self.waiting.appendValue((int(ms), int(kind), None if pd.isna(status) else int(status), body))
-                self.handle.registerTimer(int(ms))
+                # all at once: a timer that is set while timers expire waits for the next batch
+                for wait in (0, self.timeout_ms + 1, self.timeout_ms + self.remember_ms + 1) if kind == 0 else (0,):
+                    self.handle.registerTimer(int(ms) + wait)
         yield self._rows([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -64,10 +66,7 @@ class _Settle(StatefulProcessor):
         request = tuple(self.request.get()) if self.request.exists() else None
         for ms, kind, status, body in due:
             if kind == 0:  # the request; one that is repeated changes nothing
-                if request is None:
-                    request = (ms, False)
-                    for wait in (self.timeout_ms, self.timeout_ms + self.remember_ms):
-                        self.handle.registerTimer(ms + wait + 1)
+                request = request or (ms, False)
             elif request is None:
                 out.append((name, ms, status, body, "unknown"))
             elif ms > request[0] + self.timeout_ms:
