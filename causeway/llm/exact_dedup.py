@@ -9,7 +9,7 @@ in a RocksDB state store whose checkpoint lies in the shared folder.  The finish
 state is read back once with Spark's state reader, written as a narrow table and joined
 to the fingerprints.  Rows
 that hit a digest already held are fetched by their locator and checked on their
-full bytes.
+full bytes; the texts of the others are not shuffled.
 
 A locator is the file that has the row (as a hash of its path) and the row's number in
 it.  Documents that don't come straight from files are written to the shared folder
@@ -48,6 +48,8 @@ _STORE = {
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
     "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
 }
+#: Bits that locators of hits are hashed to: 4,096 rows of 32,768, which are broadcast.
+BITS = 2**27
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,6 +63,11 @@ def normalised(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
+def digest(body: Column) -> Column:
+    """SHA-256 of a normalised text."""
+    return F.unhex(F.sha2(body, 256))
+
+
 def locator() -> Column:
     """Where a row of a file-based table stands: hash of the file's path, number of the row."""
     return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
@@ -81,7 +88,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``doc_id, digest, locator`` of every row of a located table, written once to the shared folder."""
     return cut(
         docs.select(
-            F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"), locator().alias("locator")
+            F.col(id_col).cast("long").alias("doc_id"), digest(normalised(F.col(text_col))).alias("digest"), locator().alias("locator")
         ),
         "fingerprints",
     )
@@ -115,15 +122,36 @@ def run_stream(spark: SparkSession, source: str, schema, checkpoint: str) -> Dat
     return cut(state.select(F.col("key.digest").alias("digest"), F.col("value.count").alias("n"), F.col("value.max").alias("keeper")), "state")
 
 
+def _spot() -> tuple[Column, Column]:
+    """Bucket and bit of a row's locator ``at`` among ``BITS`` bits."""
+    spot = F.pmod(F.xxhash64("at.file", "at.row"), F.lit(BITS)) + 1
+    return F.bitmap_bucket_number(spot).alias("bucket"), F.bitmap_bit_position(spot).cast("int").alias("bit")
+
+
+def fetched(docs: DataFrame, hits: DataFrame, text_col: str) -> DataFrame:
+    """``body`` of every row of ``docs`` whose locator is among ``hits`` (``at``), and of some others.
+
+    The locators become bits, 16 MB whatever their number, which every task that scans the
+    documents gets; a row whose bit is not set is passed over before its text is used, and no
+    text is shuffled.  With h hits about h / ``BITS`` of the other rows are let through.
+    """
+    bits = hits.select(*_spot()).repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bucket, bit = _spot()
+    rows = docs.select(locator().alias("at"), F.col(text_col).alias("text")).select(bucket, bit, "text")
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright("bit", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(bits), "bucket").where(F.getbit(byte, F.col("bit").bitwiseAND(7)) == 1)
+    return met.select(normalised(F.col("text")).alias("body"))
+
+
 def check_bytes(docs: DataFrame, decided: DataFrame, text_col: str) -> None:
     """Compare the full texts of all rows whose digest another row has, fetched by locator.
 
     Texts of a digest are folded to their least and greatest inside each task before
-    they are shuffled, so a hot digest sends a row per task, not one per copy.
+    they are shuffled, so a hot digest sends a row per task, not one per copy.  Rows
+    fetched though nothing hit them have a digest of their own and change nothing.
     """
-    hits = decided.where("group_size > 1").select(F.col("locator").alias("hit"), "digest")
-    rows = docs.select(locator().alias("at"), normalised(F.col(text_col)).alias("body"))
-    same = rows.join(hits, F.col("at") == F.col("hit")).groupBy("digest").agg(F.min("body").alias("lo"), F.max("body").alias("hi"))
+    hits = decided.where("group_size > 1").select(F.col("locator").alias("at"))
+    same = fetched(docs, hits, text_col).groupBy(digest(F.col("body")).alias("digest")).agg(F.min("body").alias("lo"), F.max("body").alias("hi"))
     bad = same.where("lo <> hi").select(F.hex("digest")).head()
     if bad is not None:
         raise RuntimeError(f"different texts share the SHA-256 digest {bad[0]}")

@@ -70,6 +70,23 @@ def test_exact_state_survives_several_batches(spark, docs_of, tmp_path):
     assert sorted((r.n, r.keeper.doc_id) for r in state.collect()) == [(3, 6), (3, 7), (3, 8)]
 
 
+def test_exact_fetches_hits_by_locator(spark, docs_of, tmp_path):
+    docs_of([(i, f"Text {i}") for i in range(500)]).repartition(4).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    hits = docs.where("doc_id % 9 = 0").select(exact_dedup.locator().alias("at"))
+    rows = exact_dedup.fetched(docs, hits, "text")
+    assert sorted(r.body for r in rows.collect()) == sorted(f"text {i}" for i in range(0, 500, 9))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert exact_dedup.fetched(docs, hits.limit(0), "text").count() == 0
+
+
+def test_exact_raises_where_digests_collide(docs_of, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "digest", lambda body: F.unhex(F.substring(F.sha2(body, 256), 1, 1)))
+    with pytest.raises(RuntimeError, match="share the SHA-256 digest"):
+        exact_dedup.exact_dedup(docs_of([(i, f"t{i}") for i in range(40)])).collect()
+
+
 def test_substring(odd, none):
     rows = substring_dedup.substring_dedup(odd).collect()
     assert len(rows) == len(ODD)
