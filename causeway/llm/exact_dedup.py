@@ -48,8 +48,9 @@ _STORE = {
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
     "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
 }
-#: Bits that locators of hits are hashed to: 4,096 rows of 32,768, which are broadcast.
-BITS = 2**27
+#: Bits that locators of hits are hashed to: 2,048 rows of 32,768, which are broadcast; 8 MB is
+#: below what Spark broadcasts by itself.
+BITS = 2**26
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -131,7 +132,7 @@ def _spot() -> tuple[Column, Column]:
 def fetched(docs: DataFrame, hits: DataFrame, text_col: str) -> DataFrame:
     """``body`` of every row of ``docs`` whose locator is among ``hits`` (``at``), and of some others.
 
-    The locators become bits, 16 MB whatever their number, which every task that scans the
+    The locators become bits, 8 MB whatever their number, which every task that scans the
     documents gets; a row whose bit is not set is passed over before its text is used, and no
     text is shuffled.  With h hits about h / ``BITS`` of the other rows are let through.
     """
