@@ -567,7 +567,9 @@ def response_log(spark, sf_dir):
     respond.register(spark)
     streams = [spark.readStream.schema(t.schema).parquet(t._scratch_path) for t in (asked, said)]
     sink = respond.settle(*streams).writeStream.format("respond").option("path", out)
-    sink.option("checkpointLocation", scratch(spark, "responses-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    with respond.keeping(spark):
+        stream = sink.option("checkpointLocation", scratch(spark, "responses-checkpoint")).trigger(availableNow=True).start()
+    stream.awaitTermination()
     return respond.written(spark, out).where("request <> 'end'").select("request", "at_ms", "status", "body", F.coalesce("why", F.lit("")).alias("why"))
 
 

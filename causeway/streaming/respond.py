@@ -11,17 +11,20 @@ names the files that count, in one file under ``epochs`` that shows when it is w
 that is replayed finds that file and drops what its tasks wrote, so responses go out once.
 
     register(spark)
-    settle(requests, responses).writeStream.format("respond").option("path", out).option("checkpointLocation", cp).start()
+    with keeping(spark):
+        settle(requests, responses).writeStream.format("respond").option("path", out).option("checkpointLocation", cp).start()
     answers(spark, out), dead_letters(spark, out)
 
-``path`` is in a file system that driver and executors share (local, HDFS or S3 paths).
+State goes along with the rows, so any store holds it; :func:`keeping` has it kept on disk rather
+than in memory, whatever the session is set to.  ``path`` is in a file system that driver and executors share (local, HDFS or S3 paths).
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pandas as pd
@@ -29,71 +32,84 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, WriterCommitMessage
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.types import StructType
 
 SETTLED = "request string, at_ms bigint, status int, body string, why string"
 NO_ANSWER = "Response action not invoked."
+#: Many small stores on an executor: no space reserved ahead, memory bounded for all of them together.
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
 
 
-class _Settle(StatefulProcessor):
-    """Events of one request wait for the watermark and are then taken in the order of their times."""
+EVENT = "request string, ms bigint, kind int, status int, body string"
+STATE = f"waiting array<struct<{EVENT}>>, requests array<struct<request string, ms bigint, done boolean>>"
+#: Requests share a state by a hash, so that a call into Python, which takes about 10 ms, serves many of them.
+BUCKETS = 1024
 
-    def __init__(self, timeout_ms: int, remember_ms: int):
-        self.timeout_ms, self.remember_ms = timeout_ms, remember_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "ms bigint, kind int, status int, body string")
-        self.request = handle.getValueState("request", "ms bigint, done boolean")
+def _settle(timeout_ms: int, remember_ms: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """Events of a bucket of requests wait for the watermark; each request's are then taken in the order of their times.
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    A bucket has one timeout, for the next time at which there is something to do: all that the
+    watermark has passed is done at once.
+    """
+
+    def task(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, out = state.getCurrentWatermarkMs(), []
+        waiting, asked = state.get if state.exists else ([], [])
+        held = [tuple(r) for r in waiting]
+        requests = {name: (ms, done) for name, ms, done in asked}
         for pdf in rows:
-            for ms, kind, status, body in zip(pdf["ms"], pdf["kind"], pdf["status"], pdf["body"]):
-                self.waiting.appendValue((int(ms), int(kind), None if pd.isna(status) else int(status), body))
-                # all at once: a timer that is set while timers expire waits for the next batch
-                for wait in (0, self.timeout_ms + 1, self.timeout_ms + self.remember_ms + 1) if kind == 0 else (0,):
-                    self.handle.registerTimer(int(ms) + wait)
-        yield self._rows([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, name, out = expiredTimerInfo.getExpiryTimeInMs(), key[0], []
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        due = sorted((r for r in held if r[0] <= now), key=lambda r: (r[0], r[1], r[2] or 0, r[3] or ""))
-        later = [r for r in held if r[0] > now]
-        if due:
-            self.waiting.put(later) if later else self.waiting.clear()
-        request = tuple(self.request.get()) if self.request.exists() else None
-        for ms, kind, status, body in due:
+            status = [None if x is None else int(x) for x in pdf["status"].astype("object").where(pdf["status"].notna(), None)]
+            held += zip(pdf["request"].tolist(), pdf["ms"].tolist(), pdf["kind"].tolist(), status, pdf["body"].tolist())
+
+        def pass_to(name: str, ms: int) -> tuple[int, bool] | None:
+            """What becomes of a request by the time ``ms``."""
+            request = requests.get(name)
+            if request is not None and not request[1] and ms > request[0] + timeout_ms:
+                request = requests[name] = (request[0], True)
+                out.append((name, request[0] + timeout_ms, 504, NO_ANSWER, None))
+            if request is not None and ms > request[0] + timeout_ms + remember_ms:
+                del requests[name]
+                return None
+            return request
+
+        due = sorted((r for r in held if r[1] <= now), key=lambda r: (r[1], r[2], r[3] or 0, r[4] or ""))
+        for name, ms, kind, status, body in due:
+            request = pass_to(name, ms - 1)
             if kind == 0:  # the request; one that is repeated changes nothing
-                request = request or (ms, False)
+                requests.setdefault(name, (ms, False))
             elif request is None:
                 out.append((name, ms, status, body, "unknown"))
-            elif ms > request[0] + self.timeout_ms:
+            elif ms > request[0] + timeout_ms:
                 out.append((name, ms, status, body, "late"))
             elif request[1]:
                 out.append((name, ms, status, body, "repeated"))
             else:
-                request = (request[0], True)
+                requests[name] = (request[0], True)
                 out.append((name, ms, status, body, None))
-        if request is not None and not request[1] and now > request[0] + self.timeout_ms:
-            request = (request[0], True)
-            out.append((name, request[0] + self.timeout_ms, 504, NO_ANSWER, None))
-        if request is not None and now > request[0] + self.timeout_ms + self.remember_ms:
-            self.request.clear()
-        elif request is not None:
-            self.request.update(request)
-        yield self._rows(out)
-
-    def _rows(self, out: list[tuple]) -> pd.DataFrame:
-        df = pd.DataFrame(out, columns=["request", "at_ms", "status", "body", "why"], dtype="object")
-        return df.astype({"at_ms": "int64", "status": "Int32"})
-
-    def close(self) -> None:
-        pass
-
-
-def settle(requests: DataFrame, responses: DataFrame, timeout_ms: int = 30_000, remember_ms: int = 3_600_000, delay: str = "0 seconds") -> DataFrame:
+        for name in list(requests):
+            pass_to(name, now)
+        later = [r for r in held if r[1] > now]
+        ahead = [r[1] for r in later] + [ms + timeout_ms + (remember_ms if done else 0) + 1 for ms, done in requests.values()]
+        if ahead:
+            state.update((later, [(name, *r) for name, r in requests.items()]))
+            state.setTimeoutTimestamp(min(ahead))
+        elif state.exists:
+            state.remove()
+        if out:
+            df = pd.DataFrame(out, columns=["request", "at_ms", "status", "body", "why"], dtype="object")
+            yield df.astype({"at_ms": "int64", "status": "Int32"})
+
+    return task
+
+
+def settle(requests: DataFrame, responses: DataFrame, timeout_ms: int = 30_000, remember_ms: int = 3_600_000, delay: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """``request, at_ms, status, body, why``; ``why`` is null for the one answer that each request gets.
 
     ``requests`` has ``request, req_ts``, ``responses`` has ``request, resp_ts, status, body``; rows without
@@ -107,7 +123,7 @@ def settle(requests: DataFrame, responses: DataFrame, timeout_ms: int = 30_000,
     ]
     both = requests.select(*row("req_ts", 0, F.lit(None), F.lit(None))).unionByName(responses.select(*row("resp_ts", 1, F.col("status"), F.col("body"))))
     rows = both.where("request is not null and ts is not null").withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts"))
-    return rows.groupBy("request").transformWithStateInPandas(_Settle(timeout_ms, remember_ms), SETTLED, "append", "EventTime")
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("request"), F.lit(buckets))).groupBy("bucket").applyInPandasWithState(_settle(timeout_ms, remember_ms), SETTLED, STATE, "append", "EventTimeTimeout")
 
 
 # --- the sink ----------------------------------------------------------------
@@ -184,6 +200,20 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(Respond)
 
 
+@contextmanager
+def keeping(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside the block keep their state in RocksDB, whatever the session is
+    set to; a stream takes a copy of the settings when it starts, the session gets its own back."""
+    before = {name: spark.conf.get(name, None) for name in _STORE}
+    try:
+        for name, value in _STORE.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def written(spark: SparkSession, path: str, schema: str = SETTLED) -> DataFrame:
     """All rows of the epochs that were committed, with ``epoch``."""
     path = path.rstrip("/")

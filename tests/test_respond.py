@@ -73,3 +73,26 @@ def test_wrong_use(spark):
         respond._Writer({"path": "file:///tmp/x"}, spark.createDataFrame([], "request string").schema)
     with pytest.raises(ValueError):
         respond.settle(None, None, 0)
+
+
+def test_the_default_state_store_is_no_hindrance(spark, tmp_path):
+    """Without settings of its own a session has a store that lacks column families: the stream failed there."""
+    respond.register(spark)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    default = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, default)
+    frames = [spark.createDataFrame([("a", at(0)), ("z", at(100_000))], "request string, req_ts timestamp"),
+              spark.createDataFrame([("a", at(1), 200, "ok")], "request string, resp_ts timestamp, status int, body string")]
+    streams = []
+    for i, f in enumerate(frames):
+        f.write.parquet(f"{tmp_path}/in{i}")
+        streams.append(spark.readStream.schema(f.schema).parquet(f"{tmp_path}/in{i}"))
+    path = f"file://{tmp_path}/out"
+    try:
+        with respond.keeping(spark):
+            q = respond.settle(*streams).writeStream.format("respond").option("path", path).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        assert q.awaitTermination(120) and spark.conf.get(key) == default
+    finally:
+        spark.conf.set(key, before)
+    assert [(r.request, r.status) for r in respond.answers(spark, path).where("request = 'a'").collect()] == [("a", 200)]
