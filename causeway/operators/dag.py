@@ -157,40 +157,98 @@ def climb(steps: DataFrame, combine: Callable[[Column, Column], Column] | None =
 ENDLESS = 1 << 60
 
 
-def layers(nodes: DataFrame, edges: DataFrame, max_turns: int = 10_000) -> DataFrame:
+#: Nodes of a block that one task orders.
+BLOCK = 50_000
+
+
+def _in_block(rows: pd.DataFrame, whole: bool) -> pd.DataFrame:
+    """Longest paths inside a block, on top of what is known of the ends of links that enter it.
+
+    ``whole``: ``id, layer`` of each node; else ``id, up, d`` of the exposed ones: a longest
+    path leads back over ``d`` links to ``up`` in another block, or starts there if null.
+    """
+    ids, src, far, exposed = (rows[c] for c in ("id", "src_id", "far", "exposed"))
+    own, entering = src.isna(), far.notna()
+    # depth, steps back to the link that enters, its other end
+    at: dict[int, tuple[int, int, int | None]] = {i: (0, 0, None) for i in ids[own].tolist()}
+    for i, s, d in zip(ids[entering].tolist(), src[entering].astype("int64").tolist(), far[entering].astype("int64").tolist()):
+        at[i] = (min(d + 1, ENDLESS), 1, s)
+    inside = ~own & ~entering
+    after: dict[int, list[int]] = {}
+    waiting = dict.fromkeys(at, 0)
+    for i, s in zip(ids[inside].tolist(), src[inside].astype("int64").tolist()):
+        after.setdefault(s, []).append(i)
+        waiting[i] += 1
+    ready = [i for i, n in waiting.items() if not n]
+    done = 0
+    while ready:
+        i = ready.pop()
+        done += 1
+        depth, steps, end = at[i]
+        for t in after.get(i, ()):
+            if depth + 1 > at[t][0] and at[t][0] < ENDLESS:
+                at[t] = (min(depth + 1, ENDLESS), steps + 1, end)
+            waiting[t] -= 1
+            if not waiting[t]:
+                ready.append(t)
+    if done < len(at):  # on a cycle, or behind one
+        at |= {i: (ENDLESS, 0, None) for i, n in waiting.items() if n}
+    if whole:
+        return pd.DataFrame({"id": list(at), "layer": [x[0] for x in at.values()]}, dtype="int64")
+    found = [(i, at[i]) for i in ids[own & exposed.eq(True)].tolist()]
+    ends = [None if depth >= ENDLESS else end for _, (depth, _, end) in found]
+    length = [ENDLESS if depth >= ENDLESS else steps for _, (depth, steps, _) in found]
+    return pd.DataFrame({"id": pd.array([i for i, _ in found], "int64"), "up": pd.array(ends, "Int64"), "d": pd.array(length, "int64")})
+
+
+def layers(nodes: DataFrame, edges: DataFrame, max_turns: int = 10_000, block: int = BLOCK) -> DataFrame:
     """``id, layer``: the longest path that leads to a node, in graphs of any size.
 
     Ordering by (layer, id) is a topological order, dependents first, though not the one of
     :func:`toposort`.  Nodes on cycles, or behind one, are left out.
 
-    Each node picks one of those that refer to it; along these picks depths follow by
-    doubling (:func:`climb`).  A node that another one would put deeper picks that one
-    instead, and depths are found again, until none changes: then every depth is one more
-    than the greatest of those that refer to it, which only longest paths fulfil.  A turn
-    lengthens all paths at least by one step, mostly by all that is missing: the first picks
-    are the nearest by id, which is right for chains at once.
+    Nodes are dealt to blocks by ranges of ids.  A task finds the longest paths inside its block,
+    on top of the depths of the nodes outside that refer into it, and says for each *exposed*
+    node, which refers out of its block, where its path came in.  Along these
+    pointers depths follow by doubling (:func:`climb`).  Turns go on until no exposed node gets
+    deeper: then every depth is one more than the greatest of those that refer to it, which only
+    longest paths fulfil.  A turn lengthens all paths at least by one block, mostly by all that
+    is missing.
     """
-    links = edges.where("src_id <> dst_id").join(nodes.select(F.col("id").alias("src_id")).distinct(), "src_id", "left_semi")
-    links = cut(links.join(nodes.select(F.col("id").alias("dst_id")).distinct(), "dst_id", "left_semi").select("src_id", "dst_id").distinct(), "links")
-    known = nodes.select("id").distinct()
-    picks = known.join(links.groupBy(F.col("dst_id").alias("id")).agg(F.min("src_id").alias("up")), "id", "left")
-    picks = cut(picks, "picks")
-    for _ in range(max_turns):
-        found = climb(picks.select("id", "up", F.col("up").isNotNull().cast("long").alias("d")))
-        # the picks go along, to be changed where another one is deeper
-        depth = cut(found.select("id", F.when(F.col("done"), F.col("d")).otherwise(F.lit(ENDLESS)).alias("layer")).join(picks, "id"), "depth")
-        deepest = links.join(depth.select(F.col("id").alias("src_id"), "layer"), "src_id").groupBy(F.col("dst_id").alias("id")).agg(
-            F.max(F.struct("layer", "src_id")).alias("best")
-        )
-        better = F.col("best").isNotNull() & (F.least(F.col("best.layer") + 1, F.lit(ENDLESS)) > F.col("layer"))
-        after = cut(depth.join(deepest, "id", "left").select("id", F.when(better, F.col("best.src_id")).otherwise(F.col("up")).alias("up"), F.coalesce(better, F.lit(False)).alias("new")), "picks")
-        drop(picks)
-        picks = after
-        if after.where("new").isEmpty():
-            drop(links)
-            return depth.where(F.col("layer") < ENDLESS).select("id", F.col("layer").cast("int").alias("layer"))
+    known = nodes.select("id").where("id is not null").distinct()
+    blocks = max(1, -(-known.count() // block))
+    known = cut(known.repartitionByRange(blocks, "id").withColumn("block", F.spark_partition_id()), "blocks")
+    src, dst = (known.select(F.col("id").alias(c), F.col("block").alias(b)) for c, b in (("src_id", "from"), ("dst_id", "block")))
+    links = edges.where("src_id <> dst_id").select("src_id", "dst_id").distinct().join(src, "src_id").join(dst, "dst_id")
+    links = cut(links.select("block", F.col("dst_id").alias("id"), "src_id", (F.col("from") != F.col("block")).alias("enters")), "links")
+    entering = links.where("enters").select("block", "id", "src_id")
+    depth = cut(entering.select(F.col("src_id").alias("id")).distinct().withColumn("layer", F.lit(0).cast("long")), "exposed")
+    own = known.join(depth.select("id", F.lit(True).alias("exposed")), "id", "left")
+    none = F.lit(None).cast("long")
+    inner = cut(own.select("block", "id", none.alias("src_id"), none.alias("far"), "exposed").unionAll(
+        links.where("not enters").select("block", "id", "src_id", none, F.lit(None).cast("boolean"))
+    ), "inner")
+
+    def turn(whole: bool) -> DataFrame:
+        deepest = entering.join(depth.select(F.col("id").alias("src_id"), "layer"), "src_id").groupBy("block", "id").agg(F.max(F.struct("layer", "src_id")).alias("best"))
+        rows = inner.unionAll(deepest.select("block", "id", "best.src_id", "best.layer", F.lit(None).cast("boolean")))
+        return rows.groupBy("block").applyInPandas(lambda pdf: _in_block(pdf, whole), "id bigint, layer bigint" if whole else "id bigint, up bigint, d bigint")
+
+    for turns in range(max_turns):
+        if not turns and depth.isEmpty():
+            break
+        found = climb(turn(False))
+        after = cut(found.select("id", F.when(F.col("done"), F.least("d", F.lit(ENDLESS))).otherwise(F.lit(ENDLESS)).alias("layer")), "exposed")
+        deeper = not after.join(depth.withColumnRenamed("layer", "was"), "id").where("layer <> was").isEmpty()
+        drop(found)
         drop(depth)
-    raise RuntimeError(f"depths did not settle in {max_turns} turns")
+        depth = after
+        if not deeper:
+            break
+    else:
+        raise RuntimeError(f"depths did not settle in {max_turns} turns")
+    log.debug("%s turns", turns + 1)
+    return cut(turn(True).where(F.col("layer") < ENDLESS).select("id", F.col("layer").cast("int").alias("layer")), "layers")
 
 
 def order(nodes: DataFrame, edges: DataFrame, key: str | None = None, direction: str = "dependents") -> DataFrame:

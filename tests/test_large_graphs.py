@@ -134,3 +134,25 @@ def test_a_star_and_a_tree_need_no_exceptions(spark):
 def test_a_cycle_has_no_labels(spark):
     with pytest.raises(ValueError, match="cycle"):
         reach.label(*graph(spark, range(3), {(0, 1), (1, 2), (2, 0)}))
+
+
+@pytest.mark.parametrize("seed,cycles", [(0, False), (1, False), (2, True), (3, True)])
+def test_layers_over_blocks(spark, seed, cycles):
+    """Paths that cross blocks of few nodes many times, with and without cycles."""
+    rng = random.Random(seed)
+    n = rng.sample(range(1000), 40)
+    es = [(a, b) for a, b in (rng.sample(n, 2) for _ in range(70)) if cycles or n.index(a) < n.index(b)]
+    nodes, edges = graph(spark, n, es)
+    assert {r.id: r.layer for r in dag.layers(nodes, edges, block=7).collect()} == longest(set(n), es)
+
+
+def test_layers_of_a_chain_between_conversations(spark, monkeypatch):
+    """Conversations that refer to earlier ones, in one path through all: a block each turn at most, mostly all at once.
+    Doubling over single nodes took a turn for every few conversations."""
+    climbs, climb = [], dag.climb
+    monkeypatch.setattr(dag, "climb", lambda *a, **b: climbs.append(1) or climb(*a, **b))
+    es = [(c * 10 + t, c * 10 + t - 1) for c in range(60) for t in range(1, 5)] + [(c * 10 + t, (c - back) * 10 + to) for c in range(5, 60) for t, back, to in ((0, 1, 4), (1, 5, 0)) if t or c % 3]
+    n = {x for e in es for x in e}
+    nodes, edges = graph(spark, sorted(n), es)
+    assert {r.id: r.layer for r in dag.layers(nodes, edges, block=75).collect()} == longest(n, es)
+    assert len(climbs) <= 5
