@@ -95,3 +95,19 @@ def test_no_join_where_roots_use_up_the_budget(spark):
     broken = spark.range(1).select(F.raise_error(F.lit("read")).cast("bigint").alias("src_id"), F.lit(1).cast("bigint").alias("dst_id"))
     roots = spark.range(5).select(F.lit(0).cast("bigint").alias("graph_id"), F.col("id").alias("node_id"))
     assert recall(nodes, broken, roots, RecallConfig(2, 2, 5)).count() == 5
+
+
+def test_best_of_many_queries_over_blocks(spark, monkeypatch):
+    """The best of each query, copies that tie included, without a shuffle of pairs of query and document."""
+    monkeypatch.setattr(search, "BLOCK", 16)
+    rng = random.Random(4)
+    docs = [(i, " ".join(f"w{int(rng.expovariate(0.3))}" for _ in range(rng.randrange(9)))) for i in range(80)] + [(i, "w0 w1 w2") for i in range(80, 120)]
+    held = search.index(spark.createDataFrame(docs, "id bigint, text string"))
+    asked = spark.createDataFrame(docs[::7], "query_id bigint, text string")
+    every = {}
+    for r in search.bm25(held, asked, own=False).collect():
+        every.setdefault(r.query_id, []).append((-r.score, r.id))
+    want = sorted((q, i, -s, n) for q, found in every.items() for n, (s, i) in enumerate(sorted(found)[:5], 1))
+    best = search.bm25(held, asked, 5, own=False)
+    assert sorted((r.query_id, r.id, r.score, r.rank) for r in best.collect()) == want and len(want) > 50
+    assert "Aggregate(keys=[query_id" not in best._jdf.queryExecution().executedPlan().toString().replace("HashAggregate", "Aggregate")
