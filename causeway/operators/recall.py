@@ -3,8 +3,8 @@
 Many recalls run at once: ``roots`` has ``graph_id, node_id``, and every step is one join
 over all graphs.  A level is written to the shared folder before the next one starts, so
 lineage stays short and lost executors cost a level at most; the driver sees one row with
-the state of the loop.  Levels are numbered over ranges, so one graph may be as large as the
-store.  Graphs whose roots use up the budget are done before anything is joined.
+the state of the loop.  Levels are numbered graph by graph, or over ranges where a graph has
+more than ``WIDE`` rows, so one graph may be as large as the store.  Graphs whose roots use up the budget are done before anything is joined.
 
 Order, where it decides ties: roots by id; level 1 by (root, references before dependencies,
 id); later levels by (references before dependencies, discovery of the parent, id).
@@ -21,6 +21,16 @@ from ..sources.shared import cut, number_rows
 
 RECALL = "graph_id bigint, node_id bigint, level int, dir string, parent_id bigint, refcount bigint, seq bigint"
 REF, DEP = 0, 1
+#: Rows of a graph that one task numbers.
+WIDE = 50_000
+
+
+def _in_order(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
+    """``df``, which should be a table, numbered inside each graph."""
+    most = df.groupBy("graph_id").count().agg(F.max("count")).head()[0] or 0
+    if most > WIDE:
+        return number_rows(df, ["graph_id", *order], name)
+    return df.withColumn(name, F.row_number().over(Window.partitionBy("graph_id").orderBy(*order)).cast("bigint"))
 
 
 def _candidates(front: DataFrame, edges: DataFrame | Adjacency, directions: dict[int, tuple[str, str]], cross: bool) -> DataFrame:
@@ -47,7 +57,7 @@ def recall(memories: DataFrame, edges: DataFrame | Adjacency, roots: DataFrame,
         "graph_id", "node_id", F.lit(0).alias("level"), F.lit(None).cast("int").alias("dir"), F.lit(None).cast("bigint").alias("parent_id"),
         F.lit(None).cast("bigint").alias("refcount"),
     )
-    root_table = cut(number_rows(found, ["graph_id", "node_id"], "seq"), "recall")
+    root_table = cut(_in_order(cut(found, "roots"), ["node_id"]), "recall")
     # identifiers reached so far, those missing from the store included: they count for the budget
     seen = asked
     # what is left of the budget after the roots decides which graphs go on at all
@@ -65,15 +75,14 @@ def recall(memories: DataFrame, edges: DataFrame | Adjacency, roots: DataFrame,
         # the level comes from the data, so that all rounds share their generated code
         base = F.shiftleft(F.col("level").cast("bigint"), 40)
         new = fresh.select("graph_id", F.col("child").alias("node_id"), "level", F.col("w.dir").alias("dir"), F.col("w.parent").alias("parent_id"), "refcount", F.col("w.pseq").alias("pseq"))
-        # a level that is wide goes over ranges of (graph, rank)
-        order = ["graph_id", *("node_id" if c == "child" else c for c in by)]
-        won = number_rows(new, order, "seq").select("graph_id", "node_id", "level", "dir", "parent_id", "refcount", (F.col("seq") + base).alias("seq"))
-        seen = seen.unionAll(won.select("graph_id", "node_id"))
+        new = cut(new, "level")
+        won = _in_order(new, ["node_id" if c == "child" else c for c in by]).select("graph_id", "node_id", "level", "dir", "parent_id", "refcount", (F.col("seq") + base).alias("seq"))
+        seen = seen.unionAll(new.select("graph_id", "node_id"))
         kept = won.where(F.when(F.col("dir") == REF, F.lit(level <= reach[REF])).otherwise(F.lit(level <= reach[DEP])))
         # graphs below their budget take the fringe in whole and expand it; the others end here
         size = seen.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
         below = size.where(F.col("n") < config.memories).select("graph_id")
-        marked = kept.join(below.withColumn("below", F.lit(True)), "graph_id", "left")
+        marked = cut(kept.join(below.withColumn("below", F.lit(True)), "graph_id", "left"), "recall")
         on = F.col("below").isNotNull()
         go, end = marked.agg(F.count(F.when(on, 1)), F.count(F.when(~on, 1))).head()
         if end:
@@ -88,15 +97,14 @@ def recall(memories: DataFrame, edges: DataFrame | Adjacency, roots: DataFrame,
             parts.append(cut(ended.withColumn("seq", (base + F.col("place")).cast("bigint")).select(*won.columns), "recall"))
         if not go:
             break
-        # where no graph has ended, the level goes on as it was written
-        front = kept if not end else cut(marked.where(on).select(*won.columns), "recall")
+        front = marked.where(on).select(*won.columns)
         parts.append(front)
         fronts.append(front)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     name = F.when(F.col("level") == 0, "root").when(F.col("dir") == REF, "ref").otherwise("dep")
-    numbered = number_rows(out, ["graph_id", "seq"], "n")
+    numbered = _in_order(out, ["seq"], "n")
     first = numbered.groupBy("graph_id").agg(F.min("n").alias("first"))
     return numbered.join(first, "graph_id").select(
         "graph_id", "node_id", "level", name.alias("dir"), "parent_id", "refcount", (F.col("n") - F.col("first") + 1).alias("seq")

@@ -111,3 +111,19 @@ def test_best_of_many_queries_over_blocks(spark, monkeypatch):
     best = search.bm25(held, asked, 5, own=False)
     assert sorted((r.query_id, r.id, r.score, r.rank) for r in best.collect()) == want and len(want) > 50
     assert "Aggregate(keys=[query_id" not in best._jdf.queryExecution().executedPlan().toString().replace("HashAggregate", "Aggregate")
+
+
+def test_small_graphs_are_numbered_without_ranges(spark, monkeypatch):
+    """Graphs of a chat's size need no ranges, which sampled and wrote every level once more; wide ones still have them."""
+    from causeway.operators import recall as module
+
+    rng = random.Random(3)
+    es = [(b, a) for a in range(50) for b in range(a + 1, 50) if rng.random() < 0.06]
+    nodes, edges = spark.range(50).select(F.col("id").alias("rowid")), spark.createDataFrame(es, "src_id bigint, dst_id bigint")
+    roots = spark.createDataFrame([(0, 45), (0, 3), (1, 20)], "graph_id bigint, node_id bigint")
+    ranges, number_rows = [], module.number_rows
+    monkeypatch.setattr(module, "number_rows", lambda *a: ranges.append(1) or number_rows(*a))
+    got = sorted(map(tuple, recall(nodes, edges, roots, RecallConfig(2, 3, 12)).collect()))
+    assert not ranges and len(got) > 12
+    monkeypatch.setattr(module, "WIDE", 0)
+    assert sorted(map(tuple, recall(nodes, edges, roots, RecallConfig(2, 3, 12)).collect())) == got and ranges
