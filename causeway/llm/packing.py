@@ -24,6 +24,7 @@ many pieces as it needs.  Without rows there is no sequence.  Extra columns are
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from itertools import chain
@@ -41,7 +42,7 @@ LENGTH, END = 4096, 2
 BUCKETS, DIMS, BITS = 256, 4, 10
 #: Ranges for each shuffle partition, so that hashing them to tasks comes out even.
 RANGES = 8
-#: Words that a worker remembers, about 250 bytes each.
+#: Words that a worker remembers, about 60 bytes each, and a hash table while they are looked up.
 WORDS = 400_000
 #: Words coded in one go.
 TOGETHER = 256
@@ -52,31 +53,46 @@ SPREAD = 23
 # --- ids ---------------------------------------------------------------------
 
 
-class _Places(dict):
-    """Places of words; a word that is not there gets the next one and is noted in ``new``."""
+#: What a tokenizer does before its merges if its words may be coded without these rules: words of
+#: Latin letters, lowered, pass all of them as they are.
+_RULES = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
 
-    new: list[str]
 
-    def __missing__(self, word: str) -> int:
-        at = self[word] = len(self)
-        self.new.append(word)
-        return at
+def _merges_alone(path: str):
+    """The tokenizer without its rules, cutting at white space; the whole one if its rules are others."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    tok = Tokenizer.from_file(path)
+    held = json.loads(tok.to_str())
+    if (held["normalizer"], held["pre_tokenizer"]) == _RULES:
+        tok.normalizer = normalizers.Sequence([])
+        tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return tok
 
 
 class WordIds:
     """Ids of texts by a tokenizer that drops white space and lower-cases.
 
-    Words are what lies between ASCII white space; a mark after an ASCII letter is cut off,
-    as the tokenizer does itself.  ASCII letters are lowered first, unless a text might hold
-    a special token.  Once ``limit`` words are held, those met once since the last time go.
+    Words are what lies between ASCII white space; a run of ASCII marks after a Latin letter
+    is cut off, as the tokenizer does itself.  ASCII letters are lowered first, unless a text
+    might hold a special token.  Words are looked up as Arrow strings; only new ones become
+    Python's.  Once ``limit`` words are held, those met once since the last time go.
     """
 
-    loose = r"([a-z])([.,;:!?])([\x20\x09-\x0D]|\z)"
+    # all marks but the apostrophe, which may begin an ending
+    loose = r"([a-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~]+)([\x20\x09-\x0D]|\z)"
+    latin = r"^[a-zÀ-ÖØ-öø-ÿ]+$"
 
     def __init__(self, path: str, limit: int = WORDS):
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
+        self.tok, self.merges = Tokenizer.from_file(path), _merges_alone(path)
         self.starts = sorted({t.content[:2].lower() for t in self.tok.get_added_tokens_decoder().values()})
         self.size, self.limit = self.tok.get_vocab_size(), limit
         suffix = self.tok.model.end_of_word_suffix
@@ -88,7 +104,7 @@ class WordIds:
 
     def rest(self) -> None:
         """Hold no words."""
-        self.at = _Places()
+        self.words = pa.array([], pa.string())
         self.start = self.length = self.seen = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int32)
 
@@ -96,8 +112,7 @@ class WordIds:
         keep = np.flatnonzero(self.seen > 1)
         if len(keep) > self.limit // 2:
             keep = np.sort(keep[np.argpartition(-self.seen[keep], self.limit // 2)[: self.limit // 2]])
-        words = list(self.at)
-        self.at = _Places((words[i], n) for n, i in enumerate(keep.tolist()))
+        self.words = self.words.take(pa.array(keep))
         length = self.length[keep]
         ends = np.cumsum(length)
         self.pool = self.pool[np.repeat(self.start[keep] - (ends - length), length) + np.arange(length.sum())]
@@ -106,6 +121,14 @@ class WordIds:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _latin(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words of Latin letters, and the number of each word."""
+        bounds = np.append(np.arange(0, len(words), TOGETHER), len(words)).astype(np.int32)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), pc.utf8_lower(words)), " ").to_pylist()
+        found = [np.array(e.ids, np.int32) for e in self.merges.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, np.int32), *found])
+        return ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+
     def _apart(self, words: list[str]) -> list[list[int]]:
         """Ids of words of any kind, coded together as words that are cut already."""
         found: list[list[int]] = []
@@ -118,23 +141,31 @@ class WordIds:
             found += [ids[a:b] for a, b in zip([0, *at], at)]
         return found
 
-    def _learn(self, texts: list[str]) -> None:
+    def _learn(self, words: pa.StringArray) -> None:
         """Append the ids of new words, in their order, to the table."""
+        latin = pc.match_substring_regex(words, self.latin).to_numpy(zero_copy_only=False)
+        order, lengths, ids = [np.flatnonzero(latin)], [], []
+        got, length = self._latin(words.filter(pa.array(latin)))
+        if len(length) != len(order[0]):  # the tokenizer tells no ends of words
+            latin, order, got, length = np.zeros(len(words), bool), [np.zeros(0, np.int64)], got[:0], length[:0]
+        lengths.append(length)
+        ids.append(got)
+        places = np.flatnonzero(~latin)
+        texts = words.take(pa.array(places)).to_pylist()
         letters = np.fromiter(map(str.isalpha, texts), bool, len(texts))
         plain, other = np.flatnonzero(letters), np.flatnonzero(~letters)
-        order, lengths, ids = [], [], []
         joined = [plain[i : i + TOGETHER].tolist() for i in range(0, len(plain), TOGETHER)]
         for own, got in zip(joined, self._encode([" ".join([texts[i] for i in own]) for own in joined])):
             got = np.array(got, np.int32)
             stops = np.flatnonzero(self.last[got])
             if len(stops) == len(own):
-                order.append(own)
+                order.append(places[own])
                 lengths.append(np.diff(stops, prepend=-1))
                 ids.append(got)
             else:  # letters that the tokenizer takes apart
                 other = np.append(other, own)
         found = self._apart([texts[i] for i in other])
-        order.append(other)
+        order.append(places[other])
         lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
         ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(lengths[-1].sum())))
         length, own = np.concatenate(lengths).astype(np.int64), np.concatenate(order).astype(np.int64)
@@ -142,11 +173,12 @@ class WordIds:
         begin = len(self.pool) + np.cumsum(length) - length
         self.start, self.length = np.concatenate([self.start, begin[back]]), np.concatenate([self.length, length[back]])
         self.pool = np.concatenate([self.pool, *ids])
-        self.seen = np.concatenate([self.seen, np.zeros(len(texts), np.int64)])
+        self.seen = np.concatenate([self.seen, np.zeros(len(words), np.int64)])
+        self.words = pa.concat_arrays([self.words, words])
 
     def code(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number of each text."""
-        if len(self.at) > self.limit:
+        if len(self.words) > self.limit:
             self._forget()
         low = pc.ascii_lower(texts)
         open_ = pc.replace_substring_regex(low, pattern=self.loose, replacement=r"\1 \2\3")
@@ -155,11 +187,12 @@ class WordIds:
         lists = pc.ascii_split_whitespace(open_)
         # each distinct word of the texts is looked up once
         words = lists.flatten().dictionary_encode()
-        self.at.new = []
-        distinct = words.dictionary.to_pylist()
-        own = np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))
-        if self.at.new:
-            self._learn(self.at.new)
+        distinct = words.dictionary.cast(pa.string())
+        own = pc.fill_null(pc.index_in(distinct, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(own < 0)
+        if len(new):
+            own[new] = len(self.words) + np.arange(len(new))
+            self._learn(distinct.take(pa.array(new)))
         idx = own[words.indices.to_numpy(zero_copy_only=False)]
         self.seen += np.bincount(idx, minlength=len(self.seen))
         length = self.length[idx]
@@ -278,7 +311,7 @@ def _coder(path: str, words: int) -> tuple[WordIds, Curve]:
     return _loaded[path, words]
 
 
-def _code(batches: Iterator[pa.RecordBatch], path: str, end: int, words: int, step: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _code(batches: Iterator[pa.RecordBatch], path: str, end: int, words: int, step: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     coder, curve = _coder(path, words)
     kind = np.uint16 if max(coder.size, end + 1) <= 1 << 16 else np.uint32
     for batch in batches:

@@ -91,6 +91,29 @@ def test_words_are_coded_as_whole_texts(whole):
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [whole(t) for t in texts[at : at + 60]]
 
 
+def test_latin_words_pass_by_the_rules(whole):
+    """Words of Latin letters, with any run of marks behind, cost the merges alone."""
+    coder = packing.WordIds(PATH)
+    assert coder.tok.to_str() != coder.merges.to_str()
+    told = []
+
+    class Watched:
+        def encode_batch_fast(self, texts, **kw):
+            told.extend(w for t in texts for w in t.split())
+            return tok.encode_batch_fast(texts, **kw)
+
+        def encode_batch(self, parts, **kw):
+            told.extend(w for p in parts for w in p)
+            return tok.encode_batch(parts, **kw)
+
+    tok, coder.tok = coder.tok, Watched()
+    texts = ["Été à Österreich!!! Straße... éçané###\nword.*** ÀÉÎ& plain", "don't l'été ... x² a1 Σας", "", "ÿes.'s no.]~"]
+    ids, n = coder.code(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [whole(t) for t in texts]
+    assert not {w for w in told if w.isalpha()} - {"Σας"}
+    assert {"!!!", "...", "###", ".***", "&"} <= set(told)
+
+
 @pytest.mark.parametrize("dims,bits", [(2, 4), (3, 3), (4, 2)])
 def test_hilbert_places_are_a_walk(dims, bits):
     cells = np.array(list(itertools.product(range(1 << bits), repeat=dims)))
