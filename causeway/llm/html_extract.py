@@ -1,15 +1,20 @@
 """Main text of web pages by wrappers inferred for each host.
 
 A page is a stream of tokens, tags and texts.  For every host a union-free regular
-expression over such streams, its *wrapper*, is inferred from a sample of at most
-``SAMPLE`` different pages: starting from one page, the others are aligned to it one by
-one.  Equal tags match; texts that differ become slots; an element that one side has and
-the other lacks becomes optional; like siblings are folded into repeated groups.
+expression over such streams, its *wrapper*, is inferred from all its different pages:
+starting from one page, the others are aligned to it one by one.  Equal tags match; texts
+that differ become slots; an element that one side has and the other lacks becomes
+optional; like siblings are folded into repeated groups.  The pages of a large host are
+dealt to leaves by the hash of their html; each leaf is aligned in the order of the hashes,
+then the leaves' wrappers are, ``FAN`` at a time, so the result does not depend on how rows
+are partitioned.  An element with more than ``WIDE`` different ones inside tells these apart
+by their names only, so a wrapper grows with the ways a host builds its pages and not with
+their number.
 
 The wrapper then says what is what.  Its *content* is the article or main element, else
 the deepest element that holds most of the varying prose (links and constants weigh
-nothing).  Inside it, blocks whose whole text stayed constant over ``CONSTANT`` sampled
-pages or more while most of the rest varied are no article text, nor are repeated groups in the shape of
+nothing).  Inside it, blocks whose whole text stayed constant over ``CONSTANT`` pages or
+more while most of the rest varied are no article text, nor are repeated groups in the shape of
 reader comments, nor elements that are menus, asides, footers or forms by their nature.
 Only where this leaves a tie -- a block of its own whose text varies -- the whole class
 or id decides, if it is one of the plain names of adverts, notices, comments and the
@@ -17,8 +22,9 @@ like; a word inside a longer name never does.
 
 Every whole page is matched against the wrapper of its host: its tokens walk along the
 expression, in one pass, and the texts that fall into slots of the content go out.  A
-page that the wrapper doesn't fit (another template, or nothing sampled) is read by the
-expression of that page alone.
+page that the wrapper doesn't fit (another template) is read by the expression of that
+page alone.  A text is constant if it stands on 0.95 or more of the pages that have its
+place, and never if on less than ``STEADY`` of them: a vote keeps one text for each place.
 
 White space inside a block becomes one space, blocks are joined by one space, character
 references are decoded; nothing else is dropped.
@@ -37,7 +43,6 @@ import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -46,7 +51,11 @@ from pyspark.sql import functions as F
 
 from .common import tidy
 
-SAMPLE, CONSTANT = 8, 3
+CONSTANT, STEADY = 3, 0.9
+#: Pages of a host in one leaf, about; leaves aligned at a time, as a power of two; different elements in one.
+LEAF, FAN, WIDE = 512, 6, 256
+#: Pages that a task remembers to pass over copies.
+MET = 100_000
 #: Elements that nest deeper hang on to the last one; a key that occurs oftener among siblings is one group.
 DEEPEST, OFTEN = 120, 8
 
@@ -76,6 +85,10 @@ _NAMES = frozenset(
     "sharing social social-share social-links related related-articles related-links related-posts recommended widget pagination pager toolbar".split()
 )
 
+#: Element names that wide elements tell apart.
+_KNOWN = _VOID | _RAW | _INLINE | _SILENT | _DROPPED | _CLOSES_P | _HOLDERS | frozenset("html body caption thead tbody tfoot figcaption summary".split()).union(
+    _WITHIN
+)
 # Beginnings of longer names that say the same.
 _BEGINNINGS = tuple(f"{x}-" for x in sorted(_NAMES) if x.startswith(("cookie-", "comment-", "comments-")))
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -213,9 +226,10 @@ def read_page(html: str) -> list[tuple[str, str, str, int]]:
 
 
 # --- wrappers --------------------------------------------------------------
-# A node is a dict: {"sig", "name", "says", "kids", "opt", "rep", "seen"} for an element,
-# {"text", "size", "opt", "rep", "seen"} for a text: a constant, or a slot if "text" is None.
-# "seen" counts the sampled pages that have the node, "size" sums their characters.
+# A node is a dict: {"sig", "name", "says", "kids", "opt", "rep", "wide", "seen"} for an element,
+# {"text", "size", "opt", "rep", "seen", "same"} for a text.  "seen" counts the pages that have the
+# node, "size" sums their characters; "text" stands on at least "same" of them, None on none.
+# The elements in a "wide" one are told apart by name.
 
 
 def told(text: str) -> str:
@@ -225,7 +239,7 @@ def told(text: str) -> str:
 
 
 def _element(sig: str, name: str, says: int) -> dict:
-    return {"sig": sig, "name": name, "says": says, "kids": [], "opt": False, "rep": False, "seen": 1}
+    return {"sig": sig, "name": name, "says": says, "kids": [], "opt": False, "rep": False, "wide": False, "seen": 1}
 
 
 def tree(html: str) -> dict:
@@ -235,7 +249,7 @@ def tree(html: str) -> dict:
     for kind, value, name, says in read_page(html):
         if kind == "text":
             if size := len(" ".join(value.split())):
-                path[-1]["kids"].append({"text": told(value), "size": size, "opt": False, "rep": False, "seen": 1})
+                path[-1]["kids"].append({"text": told(value), "size": size, "opt": False, "rep": False, "seen": 1, "same": 1})
         elif kind == "open":
             if len(path) > DEEPEST:
                 below += 1
@@ -263,11 +277,13 @@ def _alike(a: dict, b: dict) -> bool:
 
 def _fold(kids: list[dict]) -> list[dict]:
     """Like siblings as one repeated group: neighbours, and any of a key that occurs often."""
-    times = Counter(map(_key, kids))
+    keys = list(map(_key, kids))
+    if len(set(keys)) == len(keys):
+        return kids
+    times = Counter(keys)
     out: list[dict] = []
     at: dict[str, int] = {}
-    for node in kids:
-        key = _key(node)
+    for node, key in zip(kids, keys):
         if out and _key(out[-1]) == key and _alike(out[-1], node):
             place = len(out) - 1
         elif times[key] > OFTEN and key in at:
@@ -281,9 +297,20 @@ def _fold(kids: list[dict]) -> list[dict]:
     return out
 
 
+def by_name(name: str, says: int) -> str:
+    """What tells an element in a wide one from others."""
+    return f"{name if name in _KNOWN else '#'}~{says}"
+
+
+def _widened(kids: list[dict]) -> list[dict]:
+    return _fold([{**k, "sig": by_name(k["name"], k["says"])} if "sig" in k else k for k in kids])
+
+
 def _matched(left: list[str], right: list[str]) -> list[tuple[int, int]]:
     """Pairs of places with equal keys, in order on both sides: a longest such list in
     which the n-th of a key meets the n-th."""
+    if left == right:
+        return [(i, i) for i in range(len(left))]
     def numbered(keys: list[str]) -> list[tuple[str, int]]:
         count: Counter = Counter()
         out = []
@@ -313,9 +340,18 @@ def align(a: dict, b: dict, pages: bool = True) -> dict:
     The nodes are of different ``pages``, or siblings in one."""
     common = {"opt": a["opt"] or b["opt"], "rep": a["rep"] or b["rep"], "seen": a["seen"] + b["seen"] if pages else max(a["seen"], b["seen"])}
     if "sig" not in a:
-        same = a["text"] is not None and a["text"] == b["text"]
-        return {"text": a["text"] if same else None, "size": a["size"] + b["size"], **common}
+        text, same = a["text"], max(a["same"], b["same"])
+        if text != b["text"] and pages:  # the text that has more votes keeps what it has more
+            text, same = (a if a["same"] >= b["same"] else b)["text"], abs(a["same"] - b["same"])
+        elif text != b["text"]:
+            same = 0
+        elif pages:
+            same = a["same"] + b["same"]
+        return {"text": text if same else None, "size": a["size"] + b["size"], "same": same, **common}
     left, right = a["kids"], b["kids"]
+    wide = a["wide"] or b["wide"]
+    if wide:
+        left, right = (k["kids"] if k["wide"] else _widened(k["kids"]) for k in (a, b))
     kids: list[dict] = []
     i = j = 0
     for x, y in [*_matched(list(map(_key, left)), list(map(_key, right))), (len(left), len(right))]:
@@ -323,11 +359,14 @@ def align(a: dict, b: dict, pages: bool = True) -> dict:
         if x < len(left):
             kids.append(align(left[x], right[y], pages))
         i, j = x + 1, y + 1
-    return {**a, "kids": _fold(kids), **common}
+    kids = _fold(kids)
+    if pages and not wide and len(kids) > WIDE:
+        kids, wide = _widened(kids), True
+    return {**a, "kids": kids, "wide": wide, **common}
 
 
 def infer(pages: list[str]) -> dict:
-    """The wrapper of some pages of a host."""
+    """The wrapper of the pages of a host."""
     return aligned([tree(p) for p in pages if p])
 
 
@@ -340,17 +379,42 @@ def aligned(trees: list[dict]) -> dict:
     return out
 
 
+def packed(node: dict) -> str:
+    """A wrapper as a short text; :func:`unpacked` takes it back."""
+
+    def row(n: dict) -> list:
+        how = n["opt"] + 2 * n["rep"]
+        if "sig" not in n:
+            return [n["text"], n["size"], how, n["seen"], n["same"]]
+        return [n["sig"], n["name"], n["says"], how + 4 * n["wide"], n["seen"], [row(k) for k in n["kids"]]]
+
+    return json.dumps(row(node), separators=(",", ":"))
+
+
+def unpacked(text: str) -> dict:
+    def node(row: list) -> dict:
+        if len(row) == 5:
+            held, size, how, seen, same = row
+            return {"text": held, "size": size, "opt": how & 1 > 0, "rep": how & 2 > 0, "seen": seen, "same": same}
+        sig, name, says, how, seen, kids = row
+        return {
+            "sig": sig, "name": name, "says": says, "kids": [node(k) for k in kids], "opt": how & 1 > 0, "rep": how & 2 > 0, "wide": how & 4 > 0, "seen": seen,
+        }
+
+    return node(json.loads(text))
+
+
 def expression(node: dict) -> str:
     """The wrapper written as a regular expression over tokens."""
     if "sig" not in node:
-        body = "#TEXT" if node["text"] is None else json.dumps(node["text"], ensure_ascii=False)
+        body = "#TEXT" if node["same"] < node["seen"] else json.dumps(node["text"], ensure_ascii=False)
     else:
         body = f"<{node['sig']}>" + "".join(map(expression, node["kids"])) + f"</{node['sig'].split('.')[0]}>"
     return f"({body})+" if node["rep"] else f"({body})?" if node["opt"] else body
 
 
 def _constant(node: dict) -> bool:
-    return node["text"] is not None and node["seen"] >= CONSTANT
+    return node["same"] >= max(CONSTANT, STEADY * node["seen"])
 
 
 def _prose(node: dict, least: int = 1) -> float:
@@ -477,8 +541,9 @@ def read(events: list[tuple[str, str, str, int]], wrapper: dict) -> str:
                     node["at"] = defaultdict(list)
                     for i, k in enumerate(node.get("k", ())):
                         node["at"][k["s"]].append(i)
-                if value in node["at"]:
-                    places = node["at"][value]
+                key = value if value in node["at"] else by_name(name, says)
+                if key in node["at"]:
+                    places = node["at"][key]
                     at = places[min(bisect_left(places, place), len(places) - 1)]
                     found = node["k"][at]
                     # a repeated element stays at its place, another gives way to the next
@@ -510,60 +575,117 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)), F.lit(""))
 
 
-def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each batch, the page of least hash in every (host, slot), as a folded tree."""
+def _rows(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
+
+
+_LEAF = {"host": pa.string(), "bucket": pa.int32(), "tree": pa.string()}
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The folded tree of every page, of most copies once."""
+    met: set[tuple[str, int]] = set()
     for batch in batches:
-        hosts, slots, dice = (batch.column(i).to_pylist() for i in range(3))
-        best: dict[tuple[str, int], int] = {}
-        for i, key in enumerate(zip(hosts, slots)):
-            if key not in best or dice[i] < dice[best[key]]:
-                best[key] = i
-        rows = [(h, s, dice[i], json.dumps(tree(batch.column(3)[i].as_py()))) for (h, s), i in best.items()]
-        columns = list(zip(*rows)) if rows else [()] * 4
-        types = (pa.string(), pa.int32(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "slot", "dice", "tree"])
-
-
-def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``host, wrapper, plan``: the expression inferred from at most ``sample`` pages of each
-    host, and what applying it takes.
-
-    The sample has the page of least hash in each of ``sample`` slots of the hash space of
-    the html, so copies of a page count once.  Tasks send folded trees of their own least
-    pages only, not the pages.
+        rows = []
+        for at, (h, bucket, dice) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)))):
+            if (h, dice) not in met:
+                if len(met) >= MET:
+                    met.clear()
+                met.add((h, dice))
+                rows.append((h, bucket, packed(tree(batch.column(3)[at].as_py())), dice))
+        yield _rows(rows, {**_LEAF, "dice": pa.int64()})
+
+
+def _align_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wrapper of each (host, bucket) from its trees, sorted by hash; equal hashes are copies."""
+    here = last = wrapper = None
+    for batch in batches:
+        done = []
+        for h, bucket, text, dice in zip(*(c.to_pylist() for c in batch.columns)):
+            if (h, bucket) != here:
+                if here:
+                    done.append((*here, packed(wrapper)))
+                here, wrapper = (h, bucket), unpacked(text)
+            elif dice != last:
+                wrapper = align(wrapper, unpacked(text))
+            last = dice
+        yield _rows(done, _LEAF)
+    if here:
+        yield _rows([(*here, packed(wrapper))], _LEAF)
+
+
+def _align_wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for h, bucket, trees in zip(*(b.column(i) for i in range(3))):
+            held = [t["tree"] for t in trees.as_py()]
+            yield _rows([(h.as_py(), bucket.as_py(), held[0] if len(held) == 1 else packed(aligned(list(map(unpacked, held)))))], _LEAF)
+
+
+def large_hosts(pages: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """``host, parts``: hosts of more than ``leaf`` pages and into how many leaves, a power of two,
+    they are dealt.  There is at most one such host for every ``leaf`` pages."""
+    n = pages.groupBy(host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
+    return n.where(F.col("n") > leaf).select("host", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / leaf))).cast("int").alias("parts"))
+
+
+def _dealt(rows: DataFrame, large: DataFrame, by: Column) -> DataFrame:
+    """``rows`` with ``host`` and ``bucket``, a leaf of the host."""
+    met = rows.withColumn("host", host(F.col("url"))).join(F.broadcast(large), "host", "left")
+    return met.withColumn("bucket", F.pmod(by, F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+
+
+def wrappers(pages: DataFrame, leaf: int = LEAF, large: DataFrame | None = None) -> DataFrame:
+    """``host, wrapper, plan``: the expression inferred from all pages of each host, and what
+    applying it takes.
+
+    Copies of a page (by the hash of its html) count once.  Only folded trees are shuffled, not
+    the pages; a task aligns about ``leaf`` pages of a host and holds their wrapper.
     """
-    dice = F.xxhash64("html")
-    keyed = pages.where("html is not null").select(
-        host(F.col("url")).alias("host"), F.pmod(dice, F.lit(sample)).cast("int").alias("slot"), dice.alias("dice"), "html"
-    )
-    trees = keyed.mapInArrow(_skeletons, "host string, slot int, dice long, tree string")
-    least = trees.groupBy("host", "slot").agg(F.min(F.struct("dice", "tree")).alias("least"))
-    lists = least.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "least.tree"))).alias("trees"))
-
-    def align_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    large = large_hosts(pages, leaf) if large is None else large
+    keyed = _dealt(pages.where("html <> ''").withColumn("dice", F.xxhash64("html")), large, F.col("dice"))
+    trees = keyed.select("host", "bucket", "dice", "html").mapInArrow(_trees, "host string, bucket int, tree string, dice long")
+    kind = "host string, bucket int, tree string"
+    held = trees.repartition("host", "bucket").sortWithinPartitions("host", "bucket", "dice").mapInArrow(_align_leaves, kind)
+    most = large.agg(F.max("parts")).head()[0] or 1
+    for _ in range(-(-(most.bit_length() - 1) // FAN)):
+        lists = held.groupBy("host", F.shiftright("bucket", FAN).alias("above")).agg(F.sort_array(F.collect_list(F.struct("bucket", "tree"))).alias("trees"))
+        held = lists.mapInArrow(_align_wrappers, kind)
+
+    def told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [aligned([json.loads(t["tree"]) for t in ts]) for ts in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(map(expression, found), pa.string()), pa.array([json.dumps(plan(w)) for w in found], pa.string())],
-                names=["host", "wrapper", "plan"],
+            found = list(map(unpacked, b.column(1).to_pylist()))
+            yield _rows(
+                [(h, expression(w), json.dumps(plan(w))) for h, w in zip(b.column(0).to_pylist(), found)],
+                {"host": pa.string(), "wrapper": pa.string(), "plan": pa.string()},
             )
 
-    return lists.mapInArrow(align_hosts, "host string, wrapper string, plan string")
+    return held.select("host", "tree").mapInArrow(told_apart, "host string, wrapper string, plan string")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parsed = lru_cache(256)(json.loads)
+    """Texts of pages that are sorted by leaf, each leaf's after a row with its host's plan."""
+    here = wrapper = None
     for b in batches:
-        texts = [main_text(h.as_py(), parsed(w) if w else None) for h, w in zip(b.column(2), b.column(3).to_pylist())]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-            names=["page_id", "url", "text", "n_chars"],
-        )
+        rows = []
+        for at, (key, text) in enumerate(zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), b.column(2).to_pylist())):
+            if text is not None:
+                here, wrapper = key, json.loads(text)
+                continue
+            found = main_text(b.column(5)[at].as_py(), wrapper if key == here else None)
+            rows.append((b.column(3)[at].as_py(), b.column(4)[at].as_py(), found, len(found)))
+        yield _rows(rows, {"page_id": pa.int64(), "url": pa.string(), "text": pa.string(), "n_chars": pa.int64()})
+
 
+def extract(pages: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """``page_id, url, text, n_chars`` of every page.
 
-def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``page_id, url, text, n_chars`` of every page."""
+    Pages meet their host's plan in leaves, into each of which a copy of the plan is dealt.
+    """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    known = wrappers(pages, sample).select("host", "plan")
-    rows = pages.withColumn("host", host(F.col("url"))).join(known.hint("merge"), "host", "left")
-    return rows.select("page_id", "url", "html", "plan").mapInArrow(lambda it: tidy(_extract(it)), "page_id long, url string, text string, n_chars long")
+    large = large_hosts(pages, leaf)
+    known = wrappers(pages, leaf, large).select("host", "plan").join(F.broadcast(large), "host", "left")
+    plans = known.select("host", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)")).alias("bucket"), "plan")
+    rows = _dealt(pages, large, F.xxhash64("page_id", "html")).unionByName(plans, allowMissingColumns=True)
+    ready = rows.repartition("host", "bucket").sortWithinPartitions("host", "bucket", F.col("plan").desc_nulls_last())
+    return ready.select("host", "bucket", "plan", "page_id", "url", "html").mapInArrow(lambda it: tidy(_extract(it)), "page_id long, url string, text string, n_chars long")
